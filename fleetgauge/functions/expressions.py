@@ -91,7 +91,7 @@ def gb_to_bytes(gb: float) -> int:
 def size_gb(size: Column | str) -> Column:
     """Bytes as gigabytes with two decimals, rounded half away from zero."""
     size = _c(size).cast("long")
-    whole = int_div(size, F.lit(BYTES_PER_GB))
+    whole = F.shiftright(size, 30)
     rest = size - whole * F.lit(BYTES_PER_GB)
     return (whole * F.lit(100) + round_half_up_div(rest, F.lit(BYTES_PER_GB).cast("long"), 100)) / F.lit(100.0)
 
@@ -103,37 +103,40 @@ def size_pretty(size: Column | str) -> Column:
     size = F.abs(size)
     out = F.when(size < 10 * 1024, F.concat(size.cast("string"), F.lit(" bytes")))
     for step, unit in enumerate(PRETTY_UNITS):
-        half_units = int_div(size, F.lit(1 << (9 + 10 * step)))
-        text = F.concat(int_div(half_units + F.lit(1), F.lit(2)).cast("string"), F.lit(f" {unit}"))
+        half_units = F.shiftright(size, 9 + 10 * step)
+        text = F.concat(F.shiftright(half_units + 1, 1).cast("string"), F.lit(f" {unit}"))
         last = step == len(PRETTY_UNITS) - 1
         out = out.otherwise(text) if last else out.when(half_units < 20 * 1024 - 1, text)
     return F.when(size.isNotNull(), F.concat(sign, out))
 
 
 def _binary_size(size: Column, digits: int) -> Column:
-    """Size text with a fixed number of decimals, ties to even, exact for any BIGINT."""
+    """Size text with a fixed number of decimals, ties to even, exact for any BIGINT.
+
+    The unit is picked once, as a bit shift; the digits then come from shifts alone.
+    """
+    bits, unit = F.lit(10 * (len(REPORT_UNITS) - 1)), F.lit(REPORT_UNITS[-1])
+    for power in reversed(range(len(REPORT_UNITS) - 1)):
+        fits = size < F.lit(1 << (10 * (power + 1))).cast("long")
+        bits = F.when(fits, F.lit(10 * power)).otherwise(bits)
+        unit = F.when(fits, F.lit(REPORT_UNITS[power])).otherwise(unit)
+
+    def down(x: Column) -> Column:
+        return F.call_function("shiftright", x, bits)
+
+    def up(x: Column) -> Column:
+        return F.call_function("shiftleft", x, bits)
+
     scale = 10**digits
-    out = None
-    for power, unit in enumerate(REPORT_UNITS):
-        base = 1 << (10 * power)
-        whole = int_div(size, F.lit(base))
-        scaled = (size - whole * F.lit(base)) * F.lit(scale)
-        frac = int_div(scaled, F.lit(base))
-        twice_rest = (scaled - frac * F.lit(base)) * F.lit(2)
-        up = (twice_rest > base) | ((twice_rest == base) & (frac % 2 == 1))
-        units = whole * F.lit(scale) + frac + F.when(up, 1).otherwise(0)
-        text = F.concat(
-            int_div(units, F.lit(scale)).cast("string"),
-            F.lit("."),
-            F.lpad((units % scale).cast("string"), digits, "0"),
-            F.lit(f" {unit}"),
-        )
-        if power == len(REPORT_UNITS) - 1:
-            out = out.otherwise(text)
-        else:
-            fits = size < (1 << (10 * (power + 1)))
-            out = F.when(fits, text) if out is None else out.when(fits, text)
-    return out
+    one = F.lit(1).cast("long")
+    whole = down(size)
+    scaled = (size - up(whole)) * scale
+    frac = down(scaled)
+    twice_rest = (scaled - up(frac)) * 2
+    above = (twice_rest > up(one)) | ((twice_rest == up(one)) & (frac % 2 == 1))
+    units = whole * scale + frac + F.when(above, 1).otherwise(0)
+    # A decimal with that scale prints exactly the wanted digits.
+    return F.concat((units.cast("decimal(20,0)") / F.lit(scale)).cast(f"decimal(22,{digits})").cast("string"), F.lit(" "), unit)
 
 
 def format_bytes(size: Column | str) -> Column:

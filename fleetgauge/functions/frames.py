@@ -34,9 +34,11 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.withColumn(one, F.lit(1)).join(right.withColumn(one, F.lit(1)), one, how).drop(one)
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    """Join condition on equal or both-NULL columns; stays hash- and sort-joinable."""
-    return functools.reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both-NULL columns, keeping the left copy; stays hash- and sort-joinable."""
+    other = {c: f"_right_{c}" for c in cols}
+    on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(r)) for c, r in other.items()])
+    return left.join(right.withColumnsRenamed(other), on, how).drop(*other.values())
 
 
 @dataclass(frozen=True)

@@ -56,14 +56,14 @@ def wal_archiver_status(
     Without any file size the directory is estimated as a tenth of the database.
     """
     keys = list(keys)
-    files = wal_files.groupBy(*keys).agg(F.sum("size").alias("wal_bytes"))
+    files = wal_files.groupBy(*keys).agg(F.sum("size").alias("_wal_files_bytes"))
     out = keyed_join(archiver, files, keys, "left")
-    size = F.col("wal_bytes")
+    size = F.col("_wal_files_bytes")
     if databases is not None:
         d = databases if database is None else databases.filter(F.col("datname") == database)
-        sizes = d.groupBy(*keys).agg(F.sum("size_bytes").alias("database_bytes"))
+        sizes = d.groupBy(*keys).agg(F.sum("size_bytes").alias("_database_bytes"))
         out = keyed_join(out, sizes, keys, "left")
-        size = F.coalesce(size, F.round(F.col("database_bytes") / F.lit(10.0)).cast("long"))
+        size = F.coalesce(size, F.round(F.col("_database_bytes") / F.lit(10.0)).cast("long"))
     cols = [
         "archived_count",
         "last_archived_wal",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import KEYS
 from fleetgauge.functions.expressions import age_micros, age_seconds, exclude_like, left_text, older_than
-from fleetgauge.functions.frames import Rule, findings, keyed_join, null_safe_on, settings_wide, text, topn
+from fleetgauge.functions.frames import Rule, findings, keyed_join, null_safe_join, settings_wide, text, topn
 from fleetgauge.operators.health import blocking_edges
 
 LONG_QUERY_SECONDS = 300
@@ -106,17 +106,21 @@ def lock_waiters(
         F.col("query").alias("blocking_query"),
         F.col("mode").alias("_blocking_mode"),
     )
-    pairs = w.join(o, null_safe_on(w, o, obj) & (w["blocked_pid"] != o["blocking_pid"])).select(
-        *[w[k] for k in keys],
-        "blocked_pid",
-        "blocked_user",
-        "blocked_query",
-        "blocking_pid",
-        "blocking_user",
-        "blocking_query",
-        "blocked_mode",
-        "_blocking_mode",
-        w["relation"].alias("blocked_relation"),
+    pairs = (
+        null_safe_join(w, o, obj)
+        .filter(F.col("blocked_pid") != F.col("blocking_pid"))
+        .select(
+            *keys,
+            "blocked_pid",
+            "blocked_user",
+            "blocked_query",
+            "blocking_pid",
+            "blocking_user",
+            "blocking_query",
+            "blocked_mode",
+            "_blocking_mode",
+            F.col("relation").alias("blocked_relation"),
+        )
     )
     order = [F.asc("blocked_pid"), F.asc("blocking_pid"), F.asc("blocked_mode"), F.asc("_blocking_mode")]
     return topn(pairs, limit, order, keys).drop("_blocking_mode")
@@ -137,38 +141,21 @@ def lock_wait_graph(locks: DataFrame, activity: DataFrame, keys: Sequence[str] =
     per_pid = lk.groupBy(*obj, "pid").agg(F.count(F.lit(1)).alias("own"))
     per_object = per_pid.groupBy(*obj).agg(F.sum("own").alias("object_locks"), F.count(F.lit(1)).alias("sessions"))
     shared = per_object.filter(F.col("sessions") > 1)
-    both = lk.join(shared, null_safe_on(lk, shared, obj)).select(
-        *[lk[c] for c in obj],
-        "pid",
+    both = null_safe_join(lk, shared, obj)
+    # A session with several locks on one object must not count its own.
+    many = per_pid.filter(F.col("own") > 1)
+    label = F.concat_ws("/", "locktype", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in objects])
+    return null_safe_join(both, many, [*obj, "pid"], "left").select(
+        *keys,
+        F.col("pid").alias("blocked_pid"),
         F.col("usename").alias("blocked_user"),
         F.col("query").alias("blocked_query"),
         F.col("query_start").alias("blocked_since"),
         F.col("mode").alias("blocked_mode"),
         "granted",
-        "object_locks",
         (F.col("sessions") - 1).alias("blocking_sessions"),
-    )
-    # A session with several locks on one object must not count its own.
-    many = per_pid.filter(F.col("own") > 1)
-    on = null_safe_on(both, many, [*obj, "pid"])
-    own = F.coalesce(many["own"], F.lit(1).cast("long"))
-    label = F.concat_ws("/", "locktype", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in objects])
-    return (
-        both.join(many.select(*[many[c] for c in [*obj, "pid"]], many["own"]), on, "left")
-        .select(
-            *[both[k] for k in keys],
-            *[both[c] for c in ["locktype", *objects]],
-            both["pid"].alias("blocked_pid"),
-            "blocked_user",
-            "blocked_query",
-            "blocked_since",
-            "blocked_mode",
-            "granted",
-            "blocking_sessions",
-            (F.col("object_locks") - own).alias("blocking_locks"),
-        )
-        .withColumn("object_id", label)
-        .drop("locktype", *objects)
+        (F.col("object_locks") - F.coalesce("own", F.lit(1).cast("long"))).alias("blocking_locks"),
+        label.alias("object_id"),
     )
 
 
