@@ -254,6 +254,25 @@ def band(value: Column | str, ladder: Sequence[tuple[str, float, object]], defau
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
 
 
+def round_exact(value: Column, digits: int) -> Column:
+    """Rounding of the number a DOUBLE really holds, ties to even.
+
+    ``round`` and ``bround`` look at the shortest decimal text of the double instead, where 2.675
+    (really a little less) is a tie. Here the product with the scale is taken together with its
+    rounding error (the double is split in two halves whose products are exact), and the error
+    decides where the product alone looks like a tie.
+    """
+    scale = float(10**digits)
+    product = value * scale
+    carrier = value * 134217729.0
+    high = carrier - (carrier - value)
+    error = (high * scale - product) + (value - high) * scale
+    floor = F.floor(product).cast("double")
+    looks_tied = (product - floor) == 0.5
+    whole = F.when(looks_tied & (error > 0), floor + 1).when(looks_tied & (error < 0), floor).otherwise(F.rint(product))
+    return whole / scale
+
+
 def fixed_text(value: Column, digits: int) -> Column:
     """Number text with fixed decimals (ties to even), for messages."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    return F.format_string(f"%.{digits}f", round_exact(value.cast("double"), digits))

@@ -14,6 +14,7 @@ from fleetgauge.functions.expressions import (
     format_bytes,
     gb_to_bytes,
     not_system_schema,
+    round_exact,
     zero_as_missing,
 )
 from fleetgauge.functions.frames import Rule, findings, first_names, text, topn
@@ -50,7 +51,7 @@ def bloat_metrics(samples: DataFrame, use_approx: bool = False, keys: Sequence[s
     dead_len, free_len = _num("dead_tuple_len"), _num(f"{prefix}free_space")
     dead, free, density = _num("dead_tuple_percent"), _num(f"{prefix}free_percent"), _num(f"{prefix}tuple_percent")
     wasted = dead_len + free_len
-    wasted_pct = F.when(length > 0, F.bround(F.lit(100.0) * wasted / length, 2)).otherwise(F.lit(0.0))
+    wasted_pct = F.when(length > 0, round_exact(F.lit(100.0) * wasted / length, 2)).otherwise(F.lit(0.0))
     extra = [_num("scanned_percent").alias("scanned_percent")] if use_approx else []
     return samples.select(
         *keys,
@@ -219,7 +220,7 @@ def table_bloat(
             format_bytes("total_table_size").alias("total_table_size_pretty"),
             "total_wasted_space",
             format_bytes("total_wasted_space").alias("total_wasted_space_pretty"),
-            F.when(size > 0, F.bround(F.lit(100.0) * wasted / size, 2)).otherwise(0.0).alias("overall_wasted_percent"),
+            F.when(size > 0, round_exact(F.lit(100.0) * wasted / size, 2)).otherwise(0.0).alias("overall_wasted_percent"),
         )
     )
     return {"tables": shown, "summary": summary, "findings": bloat_rollup(shown, keys)}
@@ -239,7 +240,7 @@ def index_bloat_severity(density: Column, free: Column) -> dict[str, Column]:
         .otherwise("low")
     )
     return {
-        "estimated_bloat_percent": F.bround(bloat, 2),
+        "estimated_bloat_percent": round_exact(bloat, 2),
         "bloat_severity": overall,
         "density_status": band(density, [("<", 50, "critical"), ("<", 70, "warning")], "normal"),
     }
@@ -251,7 +252,7 @@ def btree_stats(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     density = zero_as_missing(F.col("avg_leaf_density").cast("double"), 90)
     leaf = F.coalesce(F.nullif("leaf_pages", F.lit(0).cast("long")), F.lit(1).cast("long"))
     empty, deleted = _num("empty_pages"), _num("deleted_pages")
-    free = F.bround(F.lit(100.0) * (empty + deleted) / leaf, 2)
+    free = round_exact(F.lit(100.0) * (empty + deleted) / leaf, 2)
     staged = d.withColumns({"_density": density, "_free": free})
     return staged.select(
         *keys,

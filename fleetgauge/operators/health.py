@@ -16,6 +16,7 @@ from fleetgauge.functions.expressions import (
     lsn_diff,
     not_system_schema,
     percent,
+    round_exact,
     size_pretty,
     size_to_bytes,
     trunc_pct,
@@ -27,7 +28,6 @@ from fleetgauge.functions.frames import (
     findings,
     keyed_join,
     settings_wide,
-    spine,
     text,
     topn,
 )
@@ -73,6 +73,7 @@ CRITICAL_SETTINGS = (
 )
 SEVERITY_PENALTY = {"critical": 40, "high": 20, "medium": 10, "info": 0}
 TEMPLATE_DATABASES = ("template0", "template1")
+_CONNECTION_SETTINGS = ["max_connections", "superuser_reserved_connections"]
 
 
 def xid_wraparound(databases: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -242,49 +243,145 @@ def wait_events(activity: DataFrame, active_only: bool = True, keys: Sequence[st
 # --- health check -------------------------------------------------------------------------------
 
 
-def _check(df: DataFrame, name: str, score: Column, metric: Column, second: Column, keys: Sequence[str]) -> DataFrame:
-    return df.select(
-        *keys,
-        F.lit(name).alias("check_name"),
-        F.greatest(F.lit(0), score).cast("long").alias("score"),
-        metric.cast("double").alias("metric"),
-        second.cast("double").alias("second_metric"),
+# Each check is a cell: a struct for keys whose telemetry is present, else NULL. A check on its own
+# turns the facts of one table into its cell; the whole health check merges the facts of all tables
+# into one row per key first, so every table is read and aggregated once.
+
+
+def _cell(name: str, present: Column, score: Column, metric: Column, second: Column) -> Column:
+    return F.when(
+        present,
+        F.struct(
+            F.lit(name).alias("check_name"),
+            F.greatest(F.lit(0), score).cast("long").alias("score"),
+            metric.cast("double").alias("metric"),
+            second.cast("double").alias("second_metric"),
+        ),
+    )
+
+
+def _rows_of(df: DataFrame, cells: Sequence[Column], keys: Sequence[str]) -> DataFrame:
+    return df.select(*keys, F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+
+
+def _blocked() -> Column:
+    return F.coalesce((F.col("wait_event_type") == "Lock") & (F.col("state") == "active"), F.lit(False))
+
+
+def activity_facts(activity: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return activity.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("used"), F.count_if(_blocked()).alias("blocking_queries")
+    )
+
+
+def lock_facts(locks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return locks.groupBy(*keys).agg(F.count_if(~F.col("granted")).alias("waiting_locks"))
+
+
+def cache_facts(tables: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    counters = ("heap_blks_hit", "heap_blks_read", "idx_blks_hit", "idx_blks_read")
+    return tables.groupBy(*keys).agg(F.count(F.lit(1)).alias("tables"), *[F.sum(c).alias(c) for c in counters])
+
+
+def replication_facts(replication: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    lag = F.coalesce(lsn_diff("sent_lsn", "replay_lsn"), F.lit(0).cast("long"))
+    return replication.groupBy(*keys).agg(F.count(F.lit(1)).alias("replicas"), F.max(lag).alias("lag"))
+
+
+def database_facts(databases: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    own = ~F.col("datname").isin(*TEMPLATE_DATABASES)
+    return databases.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("any_database"),
+        F.count_if(own).alias("databases"),
+        # The five oldest databases are looked at; their maximum is the overall maximum.
+        F.max(F.when(own, F.col("xid_age"))).alias("xid_age"),
+        F.sum(F.when(own, F.col("size_bytes"))).alias("total_size"),
     )
 
 
+def bgwriter_facts(bgwriter: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per key already; the age of the counters replaces their reset time."""
+    counters = ("checkpoints_timed", "checkpoints_req", "buffers_checkpoint", "buffers_clean", "buffers_backend")
+    return bgwriter.select(*keys, *counters, age_micros("snapshot_ts", "stats_reset").alias("reset_micros"))
+
+
+def _connections_cell() -> Column:
+    limit, reserved = F.col("max_connections").cast("long"), F.col("superuser_reserved_connections").cast("long")
+    pct = percent("used", limit, 1)
+    score = F.when(pct > 90, 30).when(pct > 75, 70).otherwise(100)
+    present = F.col("used").isNotNull() & limit.isNotNull() & reserved.isNotNull()
+    return _cell("connections", present, score, pct, reserved)
+
+
+def _cache_cell() -> Column:
+    def ratio(hit: str, read: str) -> Column:
+        return F.coalesce(percent(F.col(hit), F.col(hit) + F.col(read)), F.lit(0.0))
+
+    heap, idx = ratio("heap_blks_hit", "heap_blks_read"), ratio("idx_blks_hit", "idx_blks_read")
+    score = 100 - F.when(heap < 90, 30).otherwise(0) - F.when(idx < 95, 20).otherwise(0)
+    return _cell("cache", F.col("tables").isNotNull(), score, heap, idx)
+
+
+def _locks_cell() -> Column:
+    zero = F.lit(0).cast("long")
+    waiting, blocked = F.coalesce("waiting_locks", zero), F.coalesce("blocking_queries", zero)
+    penalty = F.when(waiting > 10, 40).when(waiting > 5, 20).otherwise(0) + F.when(blocked > 0, 30).otherwise(0)
+    present = F.col("waiting_locks").isNotNull() | F.col("blocking_queries").isNotNull()
+    return _cell("locks", present, 100 - penalty, waiting, blocked)
+
+
+def _replication_cell(present: Column) -> Column:
+    lag, mib = F.col("lag"), 1024 * 1024
+    score = F.when(lag > 100 * mib, 50).when(lag > 10 * mib, 80).otherwise(100)
+    return _cell("replication", present, score, lag, F.coalesce("replicas", F.lit(0).cast("long")))
+
+
+def _wraparound_cell() -> Column:
+    pct = F.coalesce(percent("xid_age", F.lit(XID_LIMIT)), F.lit(0.0))
+    score = F.when(pct > 75, 20).when(pct > 50, 70).otherwise(100)
+    return _cell("wraparound", F.col("databases") > 0, score, pct, F.col("xid_age"))
+
+
+def _disk_cell() -> Column:
+    return _cell("disk_usage", F.col("databases") > 0, F.lit(100), F.col("total_size"), F.col("databases"))
+
+
+def _bgwriter_cell(zero_is_missing: bool = True) -> Column:
+    timed, requested = F.col("checkpoints_timed"), F.col("checkpoints_req")
+    written = F.col("buffers_checkpoint") + F.col("buffers_clean") + F.col("buffers_backend")
+    timed_pct = F.coalesce(percent(timed, timed + requested, 1), F.lit(100.0))
+    timed_pct = zero_as_missing(timed_pct, 100, zero_is_missing)
+    backend_pct = F.coalesce(percent(F.col("buffers_backend"), written, 1), F.lit(0.0))
+    score = 100 - F.when(timed_pct < 90, 20).otherwise(0) - F.when(backend_pct > 20, 30).otherwise(0)
+    return _cell("bgwriter", timed.isNotNull(), score, timed_pct, backend_pct)
+
+
+def _checkpoints_cell() -> Column:
+    total = F.col("checkpoints_timed") + F.col("checkpoints_req")
+    # 3600 * total / seconds with two decimals; the percent form supplies the exact rounding.
+    scaled = total * F.lit(36_000_000).cast("long")
+    per_hour = F.coalesce(percent(scaled, F.col("reset_micros")), F.lit(0.0))
+    score = F.when(per_hour > 6, 70).otherwise(100)
+    return _cell("checkpoints", F.col("checkpoints_timed").isNotNull(), score, per_hour, total)
+
+
 def check_connections(
     activity: DataFrame,
     settings: DataFrame,
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
-    limits = settings_wide(settings, ["max_connections", "superuser_reserved_connections"], settings_keys).dropna()
-    used = activity.groupBy(*keys).agg(F.count(F.lit(1)).alias("used"))
-    pct = percent("used", F.col("max_connections").cast("long"), 1)
-    d = keyed_join(used, limits, settings_keys).withColumn("pct", pct)
-    score = F.when(F.col("pct") > 90, 30).when(F.col("pct") > 75, 70).otherwise(100)
-    return _check(d, "connections", score, F.col("pct"), F.col("superuser_reserved_connections").cast("long"), keys)
+    d = keyed_join(activity_facts(activity, keys), settings_wide(settings, _CONNECTION_SETTINGS, settings_keys), settings_keys)
+    return _rows_of(d, [_connections_cell()], keys)
 
 
 def check_cache(tables: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    sums = tables.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("heap_blks_hit", "heap_blks_read", "idx_blks_hit", "idx_blks_read")]
-    )
-
-    def ratio(hit: str, read: str) -> Column:
-        return F.coalesce(percent(F.col(hit), F.col(hit) + F.col(read)), F.lit(0.0))
-
-    d = sums.withColumn("heap", ratio("heap_blks_hit", "heap_blks_read")).withColumn(
-        "idx", ratio("idx_blks_hit", "idx_blks_read")
-    )
-    score = 100 - F.when(F.col("heap") < 90, 30).otherwise(0) - F.when(F.col("idx") < 95, 20).otherwise(0)
-    return _check(d, "cache", score, F.col("heap"), F.col("idx"), keys)
+    return _rows_of(cache_facts(tables, keys), [_cache_cell()], keys)
 
 
 def lock_counts(locks: DataFrame, activity: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Total and waiting locks, waiting processes and blocked sessions per key, in one aggregate."""
     waiting = ~F.col("granted")
-    blocked = F.coalesce((F.col("wait_event_type") == "Lock") & (F.col("state") == "active"), F.lit(False))
     both = locks.select(
         *keys,
         F.lit(1).alias("is_lock"),
@@ -297,7 +394,7 @@ def lock_counts(locks: DataFrame, activity: DataFrame, keys: Sequence[str] = KEY
             F.lit(0).alias("is_lock"),
             F.lit(False).alias("waits"),
             F.lit(None).cast("long").alias("wait_pid"),
-            blocked.alias("blocked"),
+            _blocked().alias("blocked"),
         )
     )
     return both.groupBy(*keys).agg(
@@ -309,69 +406,43 @@ def lock_counts(locks: DataFrame, activity: DataFrame, keys: Sequence[str] = KEY
 
 
 def check_locks(locks: DataFrame, activity: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    waiting, blocked = F.col("waiting_locks"), F.col("blocking_queries")
-    penalty = F.when(waiting > 10, 40).when(waiting > 5, 20).otherwise(0) + F.when(blocked > 0, 30).otherwise(0)
-    return _check(lock_counts(locks, activity, keys), "locks", 100 - penalty, waiting, blocked, keys)
+    facts = _merged([lock_facts(locks, keys), activity_facts(activity, keys)], keys)
+    return _rows_of(facts, [_locks_cell()], keys)
 
 
 def check_replication(
     replication: DataFrame, all_keys: DataFrame | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Worst replay lag; keys of ``all_keys`` without replicas score 100."""
-    lags = replication.select(
-        *keys,
-        F.lit(1).alias("replica"),
-        F.coalesce(lsn_diff("sent_lsn", "replay_lsn"), F.lit(0).cast("long")).alias("lag"),
-    )
+    facts = [replication_facts(replication, keys)]
     if all_keys is not None:
-        none = all_keys.select(*keys, F.lit(0).alias("replica"), F.lit(None).cast("long").alias("lag"))
-        lags = lags.unionByName(none)
-    d = lags.groupBy(*keys).agg(F.sum("replica").alias("replicas"), F.max("lag").alias("lag"))
-    mib = 1024 * 1024
-    score = F.when(F.col("lag") > 100 * mib, 50).when(F.col("lag") > 10 * mib, 80).otherwise(100)
-    return _check(d, "replication", score, F.col("lag"), F.col("replicas"), keys)
+        facts.append(all_keys.select(*keys))
+    return _rows_of(_merged(facts, keys), [_replication_cell(F.lit(True))], keys)
 
 
 def check_wraparound(databases: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    # The five oldest databases are looked at; their maximum is the overall maximum.
-    d = (
-        databases.filter(~F.col("datname").isin(*TEMPLATE_DATABASES))
-        .groupBy(*keys)
-        .agg(F.max("xid_age").alias("xid_age"))
-        .withColumn("pct", F.coalesce(percent("xid_age", F.lit(XID_LIMIT)), F.lit(0.0)))
-    )
-    score = F.when(F.col("pct") > 75, 20).when(F.col("pct") > 50, 70).otherwise(100)
-    return _check(d, "wraparound", score, F.col("pct"), F.col("xid_age"), keys)
+    return _rows_of(database_facts(databases, keys), [_wraparound_cell()], keys)
 
 
 def check_disk_usage(databases: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    d = (
-        databases.filter(~F.col("datname").isin(*TEMPLATE_DATABASES))
-        .groupBy(*keys)
-        .agg(F.sum("size_bytes").alias("total"), F.count(F.lit(1)).alias("n"))
-    )
-    return _check(d, "disk_usage", F.lit(100), F.col("total"), F.col("n"), keys)
+    return _rows_of(database_facts(databases, keys), [_disk_cell()], keys)
 
 
 def check_bgwriter(bgwriter: DataFrame, zero_is_missing: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
-    timed, requested = F.col("checkpoints_timed"), F.col("checkpoints_req")
-    written = F.col("buffers_checkpoint") + F.col("buffers_clean") + F.col("buffers_backend")
-    timed_pct = F.coalesce(percent(timed, timed + requested, 1), F.lit(100.0))
-    d = bgwriter.withColumn("timed_pct", zero_as_missing(timed_pct, 100, zero_is_missing)).withColumn(
-        "backend_pct", F.coalesce(percent(F.col("buffers_backend"), written, 1), F.lit(0.0))
-    )
-    score = 100 - F.when(F.col("timed_pct") < 90, 20).otherwise(0) - F.when(F.col("backend_pct") > 20, 30).otherwise(0)
-    return _check(d, "bgwriter", score, F.col("timed_pct"), F.col("backend_pct"), keys)
+    return _rows_of(bgwriter_facts(bgwriter, keys), [_bgwriter_cell(zero_is_missing)], keys)
 
 
 def check_checkpoints(bgwriter: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    total = F.col("checkpoints_timed") + F.col("checkpoints_req")
-    micros = age_micros("snapshot_ts", "stats_reset")
-    # 3600 * total / seconds with two decimals; the percent form supplies the exact rounding.
-    per_hour = F.coalesce(percent(total * F.lit(36).cast("long") * F.lit(1_000_000).cast("long"), micros), F.lit(0.0))
-    d = bgwriter.withColumn("per_hour", per_hour)
-    score = F.when(F.col("per_hour") > 6, 70).otherwise(100)
-    return _check(d, "checkpoints", score, F.col("per_hour"), total, keys)
+    return _rows_of(bgwriter_facts(bgwriter, keys), [_checkpoints_cell()], keys)
+
+
+def _merged(facts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Frames with at most one row per key side by side: a union and one small aggregate, no joins."""
+    out = facts[0]
+    for part in facts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    values = [c for c in out.columns if c not in keys]
+    return out.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
 
 
 def settings_findings(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
@@ -404,16 +475,28 @@ def settings_findings(settings: DataFrame, settings_keys: Sequence[str] = ("clus
     )
 
 
+def settings_penalty(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
+    """Penalty points and number of findings per settings key, also where there are none."""
+    points = F.lit(0)
+    for severity, value in SEVERITY_PENALTY.items():
+        points = F.when(F.col("severity") == severity, value).otherwise(points)
+    charged = settings_findings(settings, settings_keys).select(*settings_keys, points.alias("p"), F.lit(1).alias("f"))
+    present = settings.select(*settings_keys, F.lit(0).alias("p"), F.lit(0).alias("f"))
+    return (
+        charged.unionByName(present)
+        .groupBy(*settings_keys)
+        .agg(F.sum("p").alias("settings_penalty"), F.sum("f").alias("settings_findings"))
+    )
+
+
+def _settings_cell(present: Column) -> Column:
+    penalty, found = F.col("settings_penalty"), F.col("settings_findings")
+    return _cell("settings", present & penalty.isNotNull(), 100 - penalty, penalty, found)
+
+
 def check_settings(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
     """Score per settings key: 100 minus the penalties of the findings."""
-    penalty = F.lit(0)
-    for severity, points in SEVERITY_PENALTY.items():
-        penalty = F.when(F.col("severity") == severity, points).otherwise(penalty)
-    charged = settings_findings(settings, settings_keys).select(*settings_keys, penalty.alias("p"), F.lit(1).alias("f"))
-    # Every key with settings gets a row, also without findings.
-    present = settings.select(*settings_keys, F.lit(0).alias("p"), F.lit(0).alias("f"))
-    d = charged.unionByName(present).groupBy(*settings_keys).agg(F.sum("p").alias("p"), F.sum("f").alias("f"))
-    return _check(d, "settings", 100 - F.col("p"), F.col("p"), F.col("f"), settings_keys)
+    return _rows_of(settings_penalty(settings, settings_keys), [_settings_cell(F.lit(True))], settings_keys)
 
 
 def health_checks(
@@ -429,30 +512,39 @@ def health_checks(
 ) -> DataFrame:
     """All nine checks in long form; a check whose telemetry is absent for a key has no row."""
     keys = list(keys)
-    all_keys = spine([activity, databases, bgwriter], keys)
-    by_setting = check_settings(settings, settings_keys)
-    others = [k for k in keys if k not in settings_keys]
-    parts = [
-        check_connections(activity, settings, keys, settings_keys),
-        check_cache(tables, keys),
-        check_locks(locks, activity, keys),
-        check_replication(replication, all_keys, keys),
-        check_wraparound(databases, keys),
-        check_disk_usage(databases, keys),
-        check_bgwriter(bgwriter, keys=keys),
-        check_checkpoints(bgwriter, keys),
-        keyed_join(all_keys, by_setting, settings_keys) if others else by_setting,
+    facts = _merged(
+        [
+            activity_facts(activity, keys),
+            lock_facts(locks, keys),
+            cache_facts(tables, keys),
+            replication_facts(replication, keys),
+            database_facts(databases, keys),
+            bgwriter_facts(bgwriter, keys),
+        ],
+        keys,
+    )
+    d = keyed_join(facts, settings_wide(settings, _CONNECTION_SETTINGS, settings_keys), settings_keys, "left")
+    d = keyed_join(d, settings_penalty(settings, settings_keys), settings_keys, "left")
+    # A key was observed when its sessions, databases or counters were; then no replica is a fact.
+    observed = F.coalesce("used", "any_database", "checkpoints_timed").isNotNull()
+    cells = [
+        _connections_cell(),
+        _cache_cell(),
+        _locks_cell(),
+        _replication_cell(observed | F.col("replicas").isNotNull()),
+        _wraparound_cell(),
+        _disk_cell(),
+        _bgwriter_cell(),
+        _checkpoints_cell(),
+        _settings_cell(observed),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _rows_of(d, cells, keys)
 
 
 def overall_health(checks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean of the present checks (one decimal, ties to even) and its band."""
     d = checks.groupBy(*keys).agg(
-        F.bround(F.sum("score") / F.count(F.lit(1)), 1).alias("overall_score"), F.count(F.lit(1)).alias("checks")
+        round_exact(F.sum("score") / F.count(F.lit(1)), 1).alias("overall_score"), F.count(F.lit(1)).alias("checks")
     )
     score = F.col("overall_score")
     return d.withColumn("status", F.when(score >= 90, "healthy").when(score >= 70, "warning").otherwise("critical"))

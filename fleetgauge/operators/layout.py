@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge import KEYS
-from fleetgauge.functions.expressions import exclude_like, is_select
+from fleetgauge.functions.expressions import (
+    exclude_like,
+    fixed_text,
+    is_select,
+)
 from fleetgauge.functions.frames import topn
 
 # Statements left out of a workload.
@@ -177,7 +181,7 @@ def recommend_for_statement(
     reason = F.when(
         F.coalesce("estimated_improvement_percent", F.lit(0.0)) != 0,
         F.concat(
-            F.lit("Estimated "), F.format_string("%.1f", F.bround("estimated_improvement_percent", 1)), F.lit("% improvement")
+            F.lit("Estimated "), fixed_text(F.col("estimated_improvement_percent"), 1), F.lit("% improvement")
         ),
     ).otherwise("Would be used by query")
     return topn(tried, max_recommendations, order, id_cols).select(

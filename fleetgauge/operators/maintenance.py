@@ -378,7 +378,7 @@ def autovacuum_trigger(
         F.col("relname").alias("table_name"),
         "n_live_tup",
         "n_dead_tup",
-        F.bround(threshold, 0).alias("vacuum_trigger_threshold"),
+        F.rint(threshold).alias("vacuum_trigger_threshold"),
         F.when(F.col("n_dead_tup") >= threshold, "NEEDS VACUUM").otherwise("OK").alias("status"),
         "last_autovacuum",
     )

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.expressions import fixed_text
+from fleetgauge.functions.expressions import (
+    fixed_text,
+    round_exact,
+)
 from fleetgauge.functions.frames import Rule, findings, text
 
 # Limits of the plan rules.
@@ -36,19 +39,24 @@ NODE_FIELDS = (
 # Breadth-first walk of one plan inside one row: `front` holds the nodes of the current level,
 # `done` those already passed. The text cannot be deeper than it has "Plans" fields, so the walk
 # needs no depth limit, no join per level and no shuffle.
-_WALK = """
+_NODE = "struct<node_id: string, parent_id: string, depth: int, node: variant>"
+_WALK = f"""
 reduce(
   sequence(1, levels),
   named_struct(
-    'front', array(named_struct('node_id', '1', 'node', root)),
-    'done', cast(array() as array<struct<node_id: string, node: variant>>)),
+    'front', if(root is null, cast(array() as array<{_NODE}>),
+                array(named_struct('node_id', '1', 'parent_id', cast(null as string), 'depth', 1, 'node', root))),
+    'done', cast(array() as array<{_NODE}>)),
   (acc, i) -> if(size(acc.front) = 0, acc, named_struct(
     'front', flatten(transform(acc.front, n -> transform(
       coalesce(try_variant_get(n.node, '$.Plans', 'array<variant>'), cast(array() as array<variant>)),
-      (child, j) -> named_struct('node_id', concat(n.node_id, '.', cast(j + 1 as string)), 'node', child)))),
+      (child, j) -> named_struct(
+        'node_id', concat(n.node_id, '.', cast(j + 1 as string)), 'parent_id', n.node_id, 'depth', i + 1, 'node', child)))),
     'done', concat(acc.done, acc.front))),
   acc -> acc.done)
 """
+# All fields of a node in one pass over its document; a missing field is NULL.
+_FIELDS = "struct<" + ", ".join(f"`{name}`: {kind}" for name, _, kind in NODE_FIELDS) + ">"
 
 
 def _unwrapped(plans: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,13 +75,10 @@ def normalize_plans(plans: DataFrame, keys: Sequence[str] = PLAN_KEYS) -> dict[s
     """
     docs = _unwrapped(plans, keys)
     rooted = docs.withColumn("root", F.coalesce(F.expr("try_variant_get(_doc, '$.Plan', 'variant')"), F.col("_doc")))
-    walked = rooted.filter(F.col("root").isNotNull()).select(*keys, F.expr(f"inline({_WALK})"))
-    fields = [
-        F.expr(f"try_variant_get(node, '$[\"{name}\"]', '{kind}')").alias(column) for name, column, kind in NODE_FIELDS
-    ]
-    depth = F.size(F.split("node_id", r"\."))
-    parent = F.when(depth > 1, F.regexp_replace("node_id", r"\.[0-9]+$", ""))
-    nodes = walked.select(*keys, "node_id", parent.alias("parent_id"), depth.alias("depth"), *fields)
+    walked = rooted.select(*keys, F.expr(f"inline({_WALK})"))
+    own = ["node_id", "parent_id", "depth"]
+    typed = walked.select(*keys, *own, F.expr(f"try_variant_get(node, '$', '{_FIELDS}')").alias("f"))
+    nodes = typed.select(*keys, *own, *[F.col("f").getField(name).alias(column) for name, column, _ in NODE_FIELDS])
     facts = docs.select(
         *keys,
         F.col("_doc").isNotNull().alias("parsed"),
@@ -155,7 +160,7 @@ def compare_plans(before: DataFrame, after: DataFrame, keys: Sequence[str] = PLA
     """Root cost before and after a change, with the improvement in percent."""
     d = _root_costs(before, "original_cost", keys).join(_root_costs(after, "cost_with_indexes", keys), list(keys))
     old, new = F.col("original_cost"), F.col("cost_with_indexes")
-    return d.withColumn("estimated_improvement_percent", F.when(old > 0, F.bround((old - new) / old * 100, 2)))
+    return d.withColumn("estimated_improvement_percent", F.when(old > 0, round_exact((old - new) / old * 100, 2)))
 
 
 def used_indexes(after: DataFrame, created: DataFrame, keys: Sequence[str] = PLAN_KEYS) -> DataFrame:

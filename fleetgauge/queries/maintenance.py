@@ -191,7 +191,7 @@ def _(t):
 @query(
     "d2_autovacuum_trigger",
     ["t_tables", "t_settings"],
-    f"""SELECT {K}, schemaname, relname AS table_name, n_live_tup, n_dead_tup, round_even({_THRESHOLD}, 0) AS vacuum_trigger_threshold,
+    f"""SELECT {K}, schemaname, relname AS table_name, n_live_tup, n_dead_tup, CAST(printf('%.0f', CAST({_THRESHOLD} AS DOUBLE)) AS DOUBLE) AS vacuum_trigger_threshold,
   CASE WHEN n_dead_tup >= {_THRESHOLD} THEN 'NEEDS VACUUM' ELSE 'OK' END AS status, last_autovacuum FROM t_tables r""",
 )
 def _(t):
@@ -263,7 +263,7 @@ def _metrics(approx: bool, where: str) -> str:
     extra = "scanned_percent, " if approx else ""
     kind = "approximate" if approx else "exact"
     return f"""(SELECT *, {sized('table_len_bytes')} AS table_len_pretty, {sized('free_space_bytes')} AS free_space_pretty, {sized('wasted_space_bytes')} AS wasted_space_pretty,
-  CASE WHEN table_len_bytes > 0 THEN round_even(100.0::DOUBLE * wasted_space_bytes / table_len_bytes, 2) ELSE 0 END AS wasted_percent,
+  CASE WHEN table_len_bytes > 0 THEN CAST(printf('%.2f', CAST(100.0::DOUBLE * wasted_space_bytes / table_len_bytes AS DOUBLE)) AS DOUBLE) ELSE 0 END AS wasted_percent,
   CASE WHEN pts >= 6 THEN 'critical' WHEN pts >= 4 THEN 'high' WHEN pts >= 2 THEN 'moderate' WHEN pts >= 1 THEN 'low' ELSE 'minimal' END AS bloat_severity,
   CASE WHEN dead_tuple_percent > 30 THEN 'critical' WHEN dead_tuple_percent > 10 THEN 'warning' ELSE 'normal' END AS dead_tuple_status,
   CASE WHEN free_percent > 30 THEN 'critical' WHEN free_percent > 20 THEN 'warning' ELSE 'normal' END AS free_space_status,
@@ -347,7 +347,7 @@ def _(t):
     "m8_table_bloat_summary",
     ["t_heap_samples"],
     f"""SELECT {K}, n AS tables_analyzed, s AS total_table_size, {sized('s')} AS total_table_size_pretty, w AS total_wasted_space, {sized('w')} AS total_wasted_space_pretty,
-  CASE WHEN s > 0 THEN round_even(100.0::DOUBLE * w / s, 2) ELSE 0 END AS overall_wasted_percent FROM (
+  CASE WHEN s > 0 THEN CAST(printf('%.2f', CAST(100.0::DOUBLE * w / s AS DOUBLE)) AS DOUBLE) ELSE 0 END AS overall_wasted_percent FROM (
   SELECT {K}, count(*) FILTER (WHERE wasted_percent >= 20) AS n, sum(table_len_bytes)::BIGINT AS s, sum(wasted_space_bytes)::BIGINT AS w FROM {_PUBLIC} GROUP BY {K})""",
 )
 def _(t):
@@ -395,11 +395,11 @@ def _(t):
 
 def _btree(source: str) -> str:
     return f"""(SELECT *, CASE WHEN pts >= 4 OR 90 - avg_leaf_density >= 40 THEN 'critical' WHEN pts >= 3 OR 90 - avg_leaf_density >= 30 THEN 'high'
-    WHEN pts >= 2 OR 90 - avg_leaf_density >= 20 THEN 'moderate' ELSE 'low' END AS bloat_severity, round_even(greatest(0.0::DOUBLE, 90 - avg_leaf_density), 2) AS estimated_bloat_percent,
+    WHEN pts >= 2 OR 90 - avg_leaf_density >= 20 THEN 'moderate' ELSE 'low' END AS bloat_severity, CAST(printf('%.2f', CAST(greatest(0.0::DOUBLE, 90 - avg_leaf_density) AS DOUBLE)) AS DOUBLE) AS estimated_bloat_percent,
   CASE WHEN avg_leaf_density < 50 THEN 'critical' WHEN avg_leaf_density < 70 THEN 'warning' ELSE 'normal' END AS density_status
 FROM (SELECT *, CASE WHEN avg_leaf_density < 50 THEN 3 WHEN avg_leaf_density < 70 THEN 2 ELSE 0 END + CASE WHEN free_percent > 30 THEN 2 WHEN free_percent > 20 THEN 1 ELSE 0 END AS pts
 FROM (SELECT {K}, schemaname AS schema_name, relname AS table_name, index_name, access_method AS index_type, size_bytes AS index_size, leaf_pages, empty_pages, deleted_pages,
-  coalesce(nullif(avg_leaf_density::DOUBLE, 0), 90::DOUBLE) AS avg_leaf_density, leaf_fragmentation, round_even(100.0::DOUBLE * (empty_pages + deleted_pages) / leaf_pages, 2) AS free_percent
+  coalesce(nullif(avg_leaf_density::DOUBLE, 0), 90::DOUBLE) AS avg_leaf_density, leaf_fragmentation, CAST(printf('%.2f', CAST(100.0::DOUBLE * (empty_pages + deleted_pages) / leaf_pages AS DOUBLE)) AS DOUBLE) AS free_percent
 FROM {source} WHERE access_method = 'btree')))"""
 
 

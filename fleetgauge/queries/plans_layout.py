@@ -115,7 +115,7 @@ def _(t):
     "p15_compare_plans",
     ["t_plan_nodes", "t_plan_nodes_after"],
     """SELECT b.plan_id, b.total_cost AS original_cost, a.total_cost AS cost_with_indexes,
-  CASE WHEN b.total_cost > 0 THEN round_even((b.total_cost - a.total_cost) / b.total_cost * 100, 2) END AS estimated_improvement_percent
+  CASE WHEN b.total_cost > 0 THEN CAST(printf('%.2f', CAST((b.total_cost - a.total_cost) / b.total_cost * 100 AS DOUBLE)) AS DOUBLE) END AS estimated_improvement_percent
 FROM t_plan_nodes b JOIN t_plan_nodes_after a ON a.plan_id = b.plan_id AND a.parent_id IS NULL WHERE b.parent_id IS NULL""",
 )
 def _(t):
@@ -272,7 +272,7 @@ def _baseline_sql() -> str:
     table_io = qp._TABLE_IO.replace("10737418", "1073741824")
     index_io = qp._INDEX_IO.replace("10737418", "1073741824")
     checks = qh._ALL
-    overall = f"SELECT {K}, round_even(CAST(sum(score) AS DOUBLE) / count(*), 1) AS overall_score FROM ({checks}) GROUP BY {K}"
+    overall = f"SELECT {K}, CAST(printf('%.1f', CAST(CAST(sum(score) AS DOUBLE) / count(*) AS DOUBLE)) AS DOUBLE) AS overall_score FROM ({checks}) GROUP BY {K}"
     tail = {name: ORACLES[name] for name in ("h7_index_health", "h5_wait_types_all_states", "m3_database_sizes", "m1_top_objects_by_size", "r2_replication_status")}
     frames = {
         "health": overall,

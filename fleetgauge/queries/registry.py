@@ -77,7 +77,12 @@ def age(now: str, then: str) -> str:
 
 
 def fixed(x: str, digits: int) -> str:
-    return f"printf('%.{digits}f', round_even(CAST({x} AS DOUBLE), {digits}))"
+    return f"printf('%.{digits}f', CAST({x} AS DOUBLE))"
+
+
+def rnd(x: str, digits: int) -> str:
+    """The double rounded as it is held, ties to even."""
+    return f"CAST({fixed(x, digits)} AS DOUBLE)"
 
 
 def lsn(x: str) -> str:

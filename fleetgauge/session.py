@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,19 +36,27 @@ def local_session(cpus: int | str = "*", app: str = "fleetgauge", shuffle_partit
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Building an expression would otherwise record the Python call stack of every operation.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return apply_runtime_conf(spark)
 
 
+@functools.cache
+def _stand_in_dir() -> str:
+    return tempfile.mkdtemp(prefix="fleetgauge-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder stands in.
+    Only a local session that names none (tests on one machine) gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="fleetgauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder all executors share")
+        folder = _stand_in_dir()
     return folder.rstrip("/")

@@ -97,11 +97,11 @@ SELECT {_K_EVENT},
 FROM {{events}}
 """,
     "t_blocking_edges": """
-SELECT cluster_id, snapshot_ts, pid, blocking_pid FROM (
-  SELECT cluster_id, snapshot_ts, pid, wait_event_type,
-         lag(pid) OVER (PARTITION BY cluster_id, snapshot_ts, usename ORDER BY query_start, pid) AS blocking_pid
-  FROM {t_activity}) e
-WHERE wait_event_type = 'Lock' AND blocking_pid IS NOT NULL
+SELECT a.cluster_id, a.snapshot_ts, a.pid, b.blocking_pid
+FROM {t_activity} a JOIN (
+  SELECT cluster_id, snapshot_ts, usename, min(pid) AS blocking_pid FROM {t_activity} GROUP BY cluster_id, snapshot_ts, usename) b
+  ON a.cluster_id = b.cluster_id AND a.snapshot_ts = b.snapshot_ts AND a.usename = b.usename
+WHERE a.wait_event_type = 'Lock' AND a.pid <> b.blocking_pid
 """,
     "t_locks": f"""
 SELECT {_K_EVENT},

@@ -48,13 +48,13 @@ def read_telemetry(
 def write_telemetry(df: DataFrame, root: str, table: str, mode: str = "append") -> None:
     """Append snapshots to a telemetry table.
 
-    Rows of one day and cluster are brought together, with a few tasks per pair so that one large
-    cluster does not become one task; files are sorted by cluster for row-group skipping.
+    Rows of one day and cluster are brought together; the rebalance hint lets Spark split a pair
+    that outgrows the advisory partition size and merge small ones. Files are sorted by cluster for
+    row-group skipping.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
     day = df.withColumn(PARTITION, F.to_date("snapshot_ts"))
     (
-        day.repartition(F.col(PARTITION), F.col("cluster_id"), spread)
+        day.hint("rebalance", F.col(PARTITION), F.col("cluster_id"))
         .sortWithinPartitions(PARTITION, "cluster_id", "snapshot_ts")
         .write.mode(mode)
         .partitionBy(PARTITION)
