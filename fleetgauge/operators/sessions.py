@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge import KEYS
@@ -24,27 +24,33 @@ def _client(df: DataFrame) -> DataFrame:
     return df.filter(F.col("backend_type") == "client backend")
 
 
+def is_long_query(threshold_minutes: int = 5) -> Column:
+    return (F.col("state") == "active") & older_than("snapshot_ts", "query_start", threshold_minutes * 60)
+
+
+def is_idle_in_transaction(threshold_minutes: int = 1) -> Column:
+    return (F.col("state") == "idle in transaction") & older_than("snapshot_ts", "xact_start", threshold_minutes * 60)
+
+
+def is_long_transaction(threshold_hours: int = 1) -> Column:
+    return (F.col("state") != "idle") & older_than("snapshot_ts", "xact_start", threshold_hours * 3600)
+
+
 def long_running_queries(activity: DataFrame, threshold_minutes: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
-    d = _client(activity).filter(
-        (F.col("state") == "active") & older_than("snapshot_ts", "query_start", threshold_minutes * 60)
-    )
     age = age_seconds("snapshot_ts", "query_start").alias("duration_seconds")
+    d = _client(activity).filter(is_long_query(threshold_minutes))
     return d.select(*keys, "pid", age, "usename", "datname", "state", "query")
 
 
 def idle_in_transaction(activity: DataFrame, threshold_minutes: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
-    d = _client(activity).filter(
-        (F.col("state") == "idle in transaction") & older_than("snapshot_ts", "xact_start", threshold_minutes * 60)
-    )
     age = age_seconds("snapshot_ts", "xact_start").alias("transaction_seconds")
+    d = _client(activity).filter(is_idle_in_transaction(threshold_minutes))
     return d.select(*keys, "pid", age, "usename", "datname", "state")
 
 
 def long_running_transactions(activity: DataFrame, threshold_hours: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
-    d = _client(activity).filter(
-        (F.col("state") != "idle") & older_than("snapshot_ts", "xact_start", threshold_hours * 3600)
-    )
     age = age_seconds("snapshot_ts", "xact_start").alias("transaction_seconds")
+    d = _client(activity).filter(is_long_transaction(threshold_hours))
     return d.select(*keys, "pid", "usename", "datname", "state", age, "query")
 
 

@@ -83,7 +83,7 @@ def _user_totals(t: Telemetry):
     return events.select(
         F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("cluster_id"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("name"),
-        F.col("ts").cast("timestamp").alias("snapshot_ts"),
+        F.col("ts").alias("snapshot_ts"),
         F.col("event_id").alias("events_total"),
     )
 
@@ -92,13 +92,13 @@ _GROWTH = """SELECT cluster_id, name, interval_start, interval_end, CASE WHEN ev
   SELECT *, lag(events_total) OVER w AS b, lag(snapshot_ts) OVER w AS interval_start, snapshot_ts AS interval_end,
     max(snapshot_ts) OVER () AS newest FROM (SELECT 'c' || user_id % 5 AS cluster_id, 'user' || user_id AS name, ts AS snapshot_ts, min(event_id) AS events_total FROM events GROUP BY ALL)
   WINDOW w AS (PARTITION BY cluster_id, name ORDER BY snapshot_ts))
-WHERE b IS NOT NULL AND epoch_ms(interval_end) <= epoch_ms(newest) - 600000"""
+WHERE b IS NOT NULL AND interval_end <= newest - INTERVAL 10 MINUTE"""
 
 
 @query("live_counter_deltas_stream", [], _GROWTH)
 def _(t):
-    out, mark = _fresh_dir(t, "deltas"), _fresh_dir(t, "deltas-progress")
-    deltas = S.counter_deltas(_user_totals(t), ["cluster_id", "name"], ["events_total"])
-    writer = deltas.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return _without_zone(t.spark.read.parquet(out))
+    out, state, mark = [_fresh_dir(t, f"deltas-{part}") for part in ("out", "state", "progress")]
+    S.counter_deltas(
+        _user_totals(t), ["cluster_id", "name"], ["events_total"], out, state, mark, once=True
+    ).awaitTermination()
+    return t.spark.read.parquet(out).drop("batch")

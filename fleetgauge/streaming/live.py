@@ -2,45 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetgauge import KEYS
-from fleetgauge.functions.expressions import percent
-from fleetgauge.functions.expressions import XID_LIMIT
-from fleetgauge.functions.frames import Rule, findings, text
+from fleetgauge.functions.expressions import XID_LIMIT, age_seconds, percent
+from fleetgauge.functions.frames import Rule, findings, interval_deltas, text
 from fleetgauge.operators.performance import checkpointer_stats
-from fleetgauge.operators.sessions import idle_in_transaction, long_running_queries, long_running_transactions
+from fleetgauge.operators.sessions import is_idle_in_transaction, is_long_query, is_long_transaction
 
 
 def activity_alerts(activity: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Long queries, idle transactions and long transactions. Stateless: batch or stream alike."""
+    """Long queries, idle transactions and long transactions, in one pass. Batch or stream alike."""
     pid = F.col("pid")
+    query_age, transaction_age = age_seconds("snapshot_ts", "query_start"), age_seconds("snapshot_ts", "xact_start")
 
-    def alerts(df: DataFrame, rule: str, age: str, what: str) -> DataFrame:
-        hit = Rule(rule, F.lit(True), "warning", pid, F.col(age), text("pid ", pid, what, F.col(age), "s"))
-        return findings(df, "alerts", [hit], keys)
-
-    return (
-        alerts(long_running_queries(activity, keys=keys), "long_query", "duration_seconds", " runs for ")
-        .unionByName(
-            alerts(idle_in_transaction(activity, keys=keys), "idle_transaction", "transaction_seconds", " idle for ")
-        )
-        .unionByName(
-            alerts(
-                long_running_transactions(activity, keys=keys),
-                "long_transaction",
-                "transaction_seconds",
-                " in transaction for ",
-            )
-        )
-    )
+    def alert(rule: str, when: Column, age: Column, what: str) -> Rule:
+        return Rule(rule, when, "warning", pid, age, text("pid ", pid, what, age, "s"))
+
+    rules = [
+        alert("long_query", is_long_query(), query_age, " runs for "),
+        alert("idle_transaction", is_idle_in_transaction(), transaction_age, " idle for "),
+        alert("long_transaction", is_long_transaction(), transaction_age, " in transaction for "),
+    ]
+    return findings(activity.filter(F.col("backend_type") == "client backend"), "alerts", rules, keys)
 
 
 def checkpointer_alerts(checkpointer: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -59,68 +49,83 @@ def wraparound_alerts(databases: DataFrame, threshold: float = 50, keys: Sequenc
     return findings(databases.filter("datallowconn"), "alerts", [hit], keys)
 
 
+def settle(
+    rows: DataFrame,
+    tail: DataFrame,
+    id_cols: Sequence[str],
+    counters: Sequence[str],
+    time_col: str,
+    mark: datetime,
+    bucket: str = "day",
+) -> tuple[DataFrame, DataFrame]:
+    """Growth of all snapshots up to ``mark``, and the state to go on from.
+
+    ``rows`` are the new and waiting snapshots, ``tail`` the last settled one of each series. The
+    new state is the last settled snapshot per series and the snapshots after ``mark``.
+    """
+    ids, counted = list(id_cols), list(counters)
+    cols = [*ids, time_col, *counted]
+    # One snapshot per series and instant; partial aggregation, never a series in one task.
+    once = rows.groupBy(*ids, time_col).agg(*[F.min(c).alias(c) for c in counted])
+    ready = once.filter(F.col(time_col) <= F.lit(mark)).select(*cols, F.lit(False).alias("_settled"))
+    known = tail.select(*cols, F.lit(True).alias("_settled")).unionByName(ready)
+    growth = (
+        interval_deltas(known, [], counted, time_col, ids, bucket)
+        .filter(~F.col("_settled"))
+        .select(*ids, "interval_start", F.col(time_col).alias("interval_end"), *counted)
+    )
+    newest = F.max(F.struct(F.col(time_col), *[F.col(c) for c in counted])).alias("_last")
+    last = known.groupBy(*ids).agg(newest).select(*ids, "_last.*", F.lit(True).alias("settled"))
+    waiting = once.filter(F.col(time_col) > F.lit(mark)).select(*cols, F.lit(False).alias("settled"))
+    return growth, last.unionByName(waiting)
+
+
 def counter_deltas(
     stream: DataFrame,
     id_cols: Sequence[str],
     counters: Sequence[str],
+    path: str,
+    state: str,
+    checkpoint: str,
     time_col: str = "snapshot_ts",
-    lateness: str = "10 minutes",
-) -> DataFrame:
+    lateness: timedelta = timedelta(minutes=10),
+    bucket: str = "day",
+    once: bool = False,
+) -> StreamingQuery:
     """Counter growth between consecutive snapshots of each series, in event-time order.
 
-    Snapshots wait in the state of their series until the watermark has passed them, so rows that
-    arrive out of order within ``lateness`` are put in order first; later ones are dropped by the
-    watermark. State per series: the last emitted snapshot and those still waiting.
+    Snapshots wait until the newest instant seen lies ``lateness`` ahead of them, so rows arriving
+    out of order within that time are put in order; later ones are dropped. Growth of batch N is
+    written to ``path/batch=N``; the state it leaves to ``state/batch=N``, from which batch N + 1
+    starts. A batch repeated after a failure overwrites both. The state is a table spread over the
+    cluster, not per-series memory, so one series may be of any size.
     """
-    ids, names = list(id_cols), list(counters)
-    id_types = [stream.schema[c] for c in ids]
-    out_schema = T.StructType(
-        [
-            *id_types,
-            T.StructField("interval_start", T.TimestampType()),
-            T.StructField("interval_end", T.TimestampType()),
-            *[T.StructField(c, T.LongType()) for c in names],
-        ]
-    )
-    state_schema = T.StructType(
-        [
-            T.StructField("last", T.ArrayType(T.LongType())),
-            T.StructField("waiting", T.ArrayType(T.ArrayType(T.LongType()))),
-        ]
-    )
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = (list(state.get[0] or []), [list(w) for w in state.get[1]]) if state.exists else ([], [])
-        if not state.hasTimedOut:
-            for frame in frames:
-                waiting.extend([int(v) for v in row] for row in frame[["_micros", *names]].itertuples(index=False))
-        mark = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        ready = [w for w in waiting if w[0] <= mark]
-        waiting = waiting[len(ready) :]
-        rows = []
-        for now in ready:
-            if last and now[0] > last[0]:
-                grown = [n - b if n >= b else n for n, b in zip(now[1:], last[1:])]
-                rows.append([*key, last[0], now[0], *grown])
-            if not last or now[0] > last[0]:
-                last = now
-        state.update((last, waiting))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
-        out = pd.DataFrame(rows, columns=[*ids, "interval_start", "interval_end", *names])
-        for c in ("interval_start", "interval_end"):
-            out[c] = pd.to_datetime(out[c].astype("int64"), unit="us", utc=True)
-        yield out
-
-    keyed = (
-        stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
-        .withWatermark(time_col, lateness)
-        .withColumn("_micros", F.unix_micros(time_col))
-    )
-    return keyed.groupBy(*ids).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    spark = stream.sparkSession
+    cols = [*id_cols, time_col, *counters]
+    schema = T.StructType([*[stream.schema[c] for c in cols], T.StructField("settled", T.BooleanType())])
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{state}/batch=-1")
+
+    def run(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        before = here.read.schema(schema).parquet(f"{state}/batch={number - 1}")
+        # Two single values: the newest instant of the state and of the batch.
+        seen = before.agg(F.max(time_col)).first()[0]
+        newest = batch.agg(F.max(time_col)).first()[0]
+        rows = batch.select(*cols)
+        if seen is not None:
+            rows = rows.filter(F.col(time_col) > F.lit(seen - lateness))
+            newest = max(newest, seen) if newest is not None else seen
+        if newest is None:
+            before.write.mode("overwrite").parquet(f"{state}/batch={number}")
+            return
+        waiting = before.filter(~F.col("settled")).select(*cols)
+        tail = before.filter("settled")
+        growth, after = settle(rows.unionByName(waiting), tail, id_cols, counters, time_col, newest - lateness, bucket)
+        after.select(*schema.names).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        growth.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def per_batch(
