@@ -213,13 +213,13 @@ SELECT {_K_ORDER},
 FROM {{orders}} GROUP BY o_custkey, 2
 """,
     "t_index_columns": f"""
-SELECT DISTINCT {_K_ORDER}, 'public' AS schema_name,
+SELECT {_K_ORDER}, 'public' AS schema_name,
        't' || CAST(o.o_custkey AS STRING) AS table_name,
        'ix_' || CAST(l.l_orderkey AS STRING) AS index_name,
        l.l_linenumber AS pos,
        CASE l.l_linenumber % 3 WHEN 0 THEN 'status' WHEN 1 THEN 'id' ELSE 'created_at' END
          || CAST(l.l_linenumber AS STRING) AS column_name
-FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM {{lineitem}}) l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
 """,
     "t_index_facts": f"""
 SELECT {_K_ORDER}, 'public' AS schema_name, 't' || CAST(o_custkey AS STRING) AS table_name,
@@ -306,7 +306,8 @@ SELECT plan_id, node_id, parent_id, CASE node_type WHEN 'Seq Scan' THEN 'Bitmap
 FROM {t_plan_nodes}
 """,
     "t_created_indexes": """
-SELECT DISTINCT l_orderkey AS plan_id, 'ix_t' || CAST(l_partkey % 50 AS STRING) AS index_name FROM {lineitem}
+SELECT plan_id, 'ix_t' || CAST(part AS STRING) AS index_name
+FROM (SELECT DISTINCT l_orderkey AS plan_id, l_partkey % 50 AS part FROM {lineitem}) u
 """,
     "t_plan_json": """
 SELECT o_orderkey AS plan_id,
@@ -414,16 +415,18 @@ FROM {t_activity} GROUP BY cluster_id, snapshot_ts, usename
 SELECT cluster_id, snapshot_ts, pid AS file_no, CASE WHEN cluster_id <> 'c4' THEN CAST(16777216 AS BIGINT) END AS size FROM {t_activity}
 """,
     "t_column_usage": """
-SELECT DISTINCT 'c' || CAST(o_custkey % 5 AS STRING) AS cluster_id, o_custkey AS queryid,
-       CASE WHEN l_linenumber = 7 THEN NULL WHEN o_custkey % 2 = 0 THEN 't' || CAST(o_custkey % 20 AS STRING)
-            ELSE 't' || CAST(l_partkey % 20 AS STRING) END AS table_name,
-       'c' || CAST(l_linenumber AS STRING) AS column_name
-FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
+SELECT DISTINCT 'c' || CAST(custkey % 5 AS STRING) AS cluster_id, custkey AS queryid,
+       CASE WHEN line = 7 THEN NULL WHEN custkey % 2 = 0 THEN 't' || CAST(custkey % 20 AS STRING)
+            ELSE 't' || CAST(part AS STRING) END AS table_name,
+       'c' || CAST(line AS STRING) AS column_name
+FROM (SELECT DISTINCT o_custkey AS custkey, l_partkey % 20 AS part, l_linenumber AS line
+      FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey) u
 """,
     "t_query_tables": """
-SELECT DISTINCT 'c' || CAST(o_custkey % 5 AS STRING) AS cluster_id, o_custkey AS queryid,
-       CASE WHEN o_custkey % 2 = 0 THEN 't' || CAST(o_custkey % 20 AS STRING) ELSE 't' || CAST(l_partkey % 20 AS STRING) END AS table_name
-FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
+SELECT DISTINCT 'c' || CAST(custkey % 5 AS STRING) AS cluster_id, custkey AS queryid,
+       CASE WHEN custkey % 2 = 0 THEN 't' || CAST(custkey % 20 AS STRING) ELSE 't' || CAST(part AS STRING) END AS table_name
+FROM (SELECT DISTINCT o_custkey AS custkey, l_partkey % 20 AS part
+      FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey) u
 """,
     "t_what_if": """
 SELECT 'c' || CAST(o_custkey % 5 AS STRING) AS cluster_id, o_custkey AS queryid, 't' || CAST(l_partkey % 20 AS STRING) AS table_name,
