@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime settings, safe to apply to a session somebody else created.
@@ -44,19 +41,12 @@ def local_session(cpus: int | str = "*", app: str = "fleetgauge", shuffle_partit
     return apply_runtime_conf(spark)
 
 
-@functools.cache
-def _stand_in_dir() -> str:
-    return tempfile.mkdtemp(prefix="fleetgauge-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, else a folder in its warehouse.
 
-    Only a local session that names none (tests on one machine) gets a temporary folder.
+    No folder of one machine is ever made up: the warehouse is the one other place that a session shares with its executors.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder all executors share")
-        folder = _stand_in_dir()
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return folder.rstrip("/")
