@@ -30,7 +30,7 @@ KEY_BYTES = 6
 ALL_WORDS = 0
 
 
-def _total(keys: np.ndarray, extra: list[bytes | None]) -> np.ndarray:
+def _total(keys: np.ndarray, extra: list[bytes | None], _owner: np.ndarray) -> np.ndarray:
     """The count of each key over all slices."""
     own = np.concatenate([np.frombuffer(x, np.int64) for x in extra])
     order = np.argsort(keys)
@@ -146,8 +146,8 @@ def score_documents(
         )
 
     by_slice = dealt.frame.groupBy("slice")
-    replies = S.answers(by_slice.applyInArrow(ask_words, S.SENT), KEY_BYTES, _total)
+    replies = S.answers(by_slice.applyInArrow(ask_words, S.SENT), bits, (KEY_BYTES, _total))
     for _ in range(order - 1):
         asked = by_slice.cogroup(replies.groupBy("slice")).applyInArrow(ask_longer, S.SENT)
-        replies = S.answers(asked, KEY_BYTES, _total)
+        replies = S.answers(asked, bits, (KEY_BYTES, _total))
     return by_slice.cogroup(replies.groupBy("slice")).applyInArrow(score, RESULT)

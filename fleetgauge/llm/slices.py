@@ -82,12 +82,17 @@ def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-def question(slice_id: int, keys: np.ndarray, bits: int, width: int, extra: np.ndarray | None = None, note: bytes | None = None) -> pa.Table:
-    """The rows a slice sends: sorted distinct ``keys`` by bucket, a value for each, and a note to itself."""
+def question(
+    slice_id: int, keys: np.ndarray, bits: int, width: int, extra: np.ndarray | None = None, note: bytes | None = None, kind: int = 0
+) -> pa.Table:
+    """The rows a slice sends: sorted distinct ``keys`` by bucket, a value for each, and a note to itself.
+
+    Questions of different kinds may be sent together; each kind has buckets of its own.
+    """
     at = cuts(keys, bits)
     full = np.flatnonzero(at[1:] > at[:-1])
     columns = [
-        [int(b) for b in full],
+        [(kind << bits) + int(b) for b in full],
         [slice_id] * len(full),
         [pack(keys[at[b] : at[b + 1]], width) for b in full],
         [None if extra is None else extra[at[b] : at[b + 1]].tobytes() for b in full],
@@ -98,33 +103,41 @@ def question(slice_id: int, keys: np.ndarray, bits: int, width: int, extra: np.n
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SENT_ARROW.types, strict=True)], schema=_SENT_ARROW)
 
 
-def answers(sent: DataFrame, width: int, judge: Callable[[np.ndarray, list[bytes | None]], np.ndarray]) -> DataFrame:
-    """One reply for each row sent. ``judge`` gets all keys of a bucket and the extras, and returns a value per key.
+Judge = Callable[[np.ndarray, list[bytes | None], np.ndarray], np.ndarray]
+
 
-    Truth values go back as bits, numbers compressed. Notes (negative buckets) return unread.
+def answers(sent: DataFrame, bits: int, *judges: tuple[int, Judge]) -> DataFrame:
+    """One reply for each row sent.
+
+    For each kind of question, the key width it was sent with and a judge, which gets all keys of a bucket, the extras, and the slice
+    that sent each key, and returns a value per key. Truth values go back as bits, numbers compressed. Notes (negative buckets)
+    return unread.
     """
 
     def reply(table: pa.Table) -> pa.Table:
         slices = table.column("slice")
-        if table.column("bucket")[0].as_py() < 0:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
             return pa.Table.from_arrays([slices, pa.array([-1] * len(table), pa.int64()), table.column("keys")], schema=_REPLY_ARROW)
+        width, judge = judges[bucket >> bits]
         parts = [unpack(x, width) for x in table.column("keys").to_pylist()]
-        values = judge(np.concatenate(parts), table.column("extra").to_pylist())
-        ends = np.cumsum([len(p) for p in parts])
+        length = [len(p) for p in parts]
+        values = judge(np.concatenate(parts), table.column("extra").to_pylist(), np.repeat(np.array(slices.to_pylist(), np.int64), length))
         out = []
-        for value in np.split(values, ends[:-1]):
+        for value in np.split(values, np.cumsum(length)[:-1]):
             out.append(np.packbits(value).tobytes() if value.dtype == bool else zlib.compress(value.tobytes(), 1))
         return pa.Table.from_arrays([slices, table.column("bucket"), pa.array(out, pa.binary())], schema=_REPLY_ARROW)
 
     return sent.groupBy("bucket").applyInArrow(reply, REPLY)
 
 
-def read_reply(table: pa.Table, keys: np.ndarray, bits: int, dtype: type = bool) -> np.ndarray:
+def read_reply(table: pa.Table, keys: np.ndarray, bits: int, dtype: type = bool, kind: int = 0) -> np.ndarray:
     """The value of each of the sorted distinct ``keys`` that this slice asked about."""
     at = cuts(keys, bits)
     out = np.zeros(len(keys), dtype)
-    for bucket, data in zip(table.column("bucket").to_pylist(), table.column("reply").to_pylist(), strict=True):
-        if bucket >= 0:
+    for number, data in zip(table.column("bucket").to_pylist(), table.column("reply").to_pylist(), strict=True):
+        if number >= 0 and number >> bits == kind:
+            bucket = number - (kind << bits)
             n = at[bucket + 1] - at[bucket]
             raw = np.unpackbits(np.frombuffer(data, np.uint8), count=n) if dtype is bool else np.frombuffer(zlib.decompress(data), dtype)
             out[at[bucket] : at[bucket + 1]] = raw
@@ -146,7 +159,7 @@ def note_to_flags(note: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(note), np.uint8), count=n).astype(bool)
 
 
-def in_two_places(keys: np.ndarray, _extra: list[bytes | None]) -> np.ndarray:
+def in_two_places(keys: np.ndarray, _extra: list[bytes | None], _owner: np.ndarray) -> np.ndarray:
     """Whether another slice sent the same key."""
     order = np.argsort(keys)
     ranked = keys[order]
@@ -157,6 +170,16 @@ def in_two_places(keys: np.ndarray, _extra: list[bytes | None]) -> np.ndarray:
     return found
 
 
+def copies_elsewhere(keys: np.ndarray, extra: list[bytes | None], owner: np.ndarray) -> np.ndarray:
+    """1 where another slice sent the same key, 2 more where one of a smaller number did."""
+    order = np.lexsort((owner, keys))
+    ranked = keys[order]
+    later = np.concatenate([[False], ranked[1:] == ranked[:-1]])
+    out = np.zeros(len(keys), np.int64)
+    out[order] = 2 * later
+    return out + in_two_places(keys, extra, owner)
+
+
 def difference_cover(period: int) -> tuple[int, ...]:
     """A set of residues whose pairwise differences give every residue; greedy, hence small but not minimal."""
     cover, missing = [0], set(range(1, period))

@@ -49,7 +49,7 @@ class _Words:
         return keys, inverse, low, high
 
 
-def _smaller_elsewhere(keys: np.ndarray, extra: list[bytes | None]) -> np.ndarray:
+def _smaller_elsewhere(keys: np.ndarray, extra: list[bytes | None], _owner: np.ndarray) -> np.ndarray:
     """Whether any slice reports a smaller document for the same key."""
     own = np.concatenate([np.frombuffer(x, np.int64) for x in extra])
     order = np.lexsort((own, keys))
@@ -117,7 +117,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, period: int = 7,
         return pa.table({name: pa.array(values, t) for (name, values), t in zip(rows.items(), types, strict=True)})
 
     by_slice = dealt.frame.groupBy("slice")
-    shared = S.answers(by_slice.applyInArrow(ask_anchors, S.SENT), ANCHOR_BYTES, S.in_two_places)
+    shared = S.answers(by_slice.applyInArrow(ask_anchors, S.SENT), bits, (ANCHOR_BYTES, S.in_two_places))
     asked = by_slice.cogroup(shared.groupBy("slice")).applyInArrow(ask_windows, S.SENT)
-    later = S.answers(asked, 8, _smaller_elsewhere)
+    later = S.answers(asked, bits, (8, _smaller_elsewhere))
     return by_slice.cogroup(later.groupBy("slice")).applyInArrow(cut, RESULT)

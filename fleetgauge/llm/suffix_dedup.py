@@ -7,7 +7,7 @@ ordered at all. These are dealt into blocks, and each block is sorted on its own
 suffix needs to be compared over its whole length is one 64-bit rank of its first ``window`` bytes. A run of equal ranks in a
 sorted block is a repeated string.
 
-Only equality of prefixes matters to the result, so blocks are cut by rank, not by leading bytes: natural text would put a third of
+Of equal documents only one deals out its suffixes. Only equality of prefixes matters to the result, so blocks are cut by rank, not by leading bytes: natural text would put a third of
 all suffixes behind a few leading bytes. Ranks are 64-bit hashes; a false tie has a chance below 1e-12 per suffix.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fleetgauge.llm import slices as S
-from fleetgauge.llm.hashing import BYTE_VALUES, prefix, runs
+from fleetgauge.llm.hashing import BYTE_VALUES, mix, prefix, runs
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin:long,end:long>>"
 SAMPLE_BYTES = 5
@@ -49,13 +49,21 @@ def remove_repeated_strings(docs: DataFrame, window: int = 400, period: int = 18
     dealt = S.slice_documents(docs, slice_bytes, bucket_bytes)
     bits = dealt.bits
 
+    def whole(t: S.Texts, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Documents long enough to hold a window, their distinct hashes, each one's place there, and how often each occurs."""
+        long = np.flatnonzero(t.ends - t.starts >= window)
+        hashes = mix(runs(sums, t.starts[long], t.ends[long]) + (t.ends - t.starts)[long].astype(np.uint64))
+        return long, *np.unique(hashes, return_inverse=True, return_counts=True)
+
     def samples(t: S.Texts, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at = S.cover_positions(t.starts, t.ends, cover, period, sample)
         return at, *_ranked(sums, at, sample)
 
     def ask_samples(table: pa.Table) -> pa.Table:
         t = S.Texts(table)
-        return S.question(t.slice, samples(t, prefix(BYTE_VALUES[t.buffer]))[1], bits, SAMPLE_BYTES)
+        sums = prefix(BYTE_VALUES[t.buffer])
+        asked = S.question(t.slice, samples(t, sums)[1], bits, SAMPLE_BYTES)
+        return pa.concat_tables([asked, S.question(t.slice, whole(t, sums)[1], bits, 8, kind=1)])
 
     def ask_suffixes(table: pa.Table, replies: pa.Table) -> pa.Table:
         t = S.Texts(table)
@@ -65,19 +73,28 @@ def remove_repeated_strings(docs: DataFrame, window: int = 400, period: int = 18
         marks = np.zeros(len(t.buffer), bool)
         marks[at[tied[inverse]]] = True
         open_ = S.windows_with_anchor(marks, t.starts, t.ends, period, window)
+        # Of equal texts only the first sends its suffixes: the others are removed whole, and say nothing the first doesn't.
+        long, keys, inverse, count = whole(t, sums)
+        found = S.read_reply(replies, keys, bits, np.int64, kind=1)
+        copied, first = np.zeros(len(t.ids), bool), np.ones(len(t.ids), bool)
+        copied[long] = ((found > 0) | (count > 1))[inverse]
+        first[long] = False
+        first[long[np.unique(inverse, return_index=True)[1][found < 2]]] = True
+        open_ &= np.repeat(first, t.ends - t.starts)
         keys = _ranked(sums, np.flatnonzero(open_), window)[0]
-        return S.question(t.slice, keys, bits, 8, note=S.flags_to_note(open_))
+        return S.question(t.slice, keys, bits, 8, note=S.flags_to_note(np.concatenate([open_, copied])))
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         t = S.Texts(table)
         n = len(t.buffer)
         sums = prefix(BYTE_VALUES[t.buffer])
-        at = np.flatnonzero(S.note_to_flags(S.read_note(replies), n))
+        flags = S.note_to_flags(S.read_note(replies), n + len(t.ids))
+        at, copied = np.flatnonzero(flags[:n]), flags[n:]
         keys, inverse, in_slice = _ranked(sums, at, window)
         repeated = S.read_reply(replies, keys, bits) | in_slice
         marks = np.zeros(n, bool)
         marks[at[repeated[inverse]]] = True
-        gone = S.covered(marks, window, n)
+        gone = S.covered(marks, window, n) | np.repeat(copied, t.ends - t.starts)
         columns: list[list] = [[] for _ in range(7)]
         for i, doc_id in enumerate(t.ids):
             a, b = t.starts[i], t.ends[i]
@@ -93,7 +110,7 @@ def remove_repeated_strings(docs: DataFrame, window: int = 400, period: int = 18
         return pa.table({k: pa.array(c, ty) for k, c, ty in zip(names, columns, types, strict=True)})
 
     by_slice = dealt.frame.groupBy("slice")
-    tied = S.answers(by_slice.applyInArrow(ask_samples, S.SENT), SAMPLE_BYTES, S.in_two_places)
+    tied = S.answers(by_slice.applyInArrow(ask_samples, S.SENT), bits, (SAMPLE_BYTES, S.in_two_places), (8, S.copies_elsewhere))
     asked = by_slice.cogroup(tied.groupBy("slice")).applyInArrow(ask_suffixes, S.SENT)
-    repeated = S.answers(asked, 8, S.in_two_places)
+    repeated = S.answers(asked, bits, (8, S.in_two_places))
     return by_slice.cogroup(repeated.groupBy("slice")).applyInArrow(cut, RESULT)
