@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import exact_dedup, lm_scoring, substring_dedup, suffix_dedup
+from fleetgauge.llm import exact_dedup, lm_scoring, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query()
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2, similarity=None)
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
 @query(
     """
     SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
