@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import exact_dedup, lm_scoring, simhash_dedup, substring_dedup, suffix_dedup
+from fleetgauge.llm import exact_dedup, lm_scoring, quality, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+@query()
+def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled documents; a document that is absent was rejected."""
+    out = quality.sample_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "log_weight", "sample_key", F.lit(True).alias("kept"))
+
+
 @query(
     """
     SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
