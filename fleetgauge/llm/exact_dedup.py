@@ -133,8 +133,8 @@ def _by_text(rows: DataFrame, twins: DataFrame, key: Callable, digest: Callable)
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The input rows, all columns, less the copies; of repeated rows of one id and text one stays."""
-    marked = exact_dedup(docs, **options)
-    keep = marked.filter("kept").select("keep_id", "text_sha256").distinct()
-    own = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("_id", F.col("doc_id").cast("long"))
-    stay = own.join(keep, own["_id"].eqNullSafe(keep["keep_id"]) & (own["_sha"] == keep["text_sha256"]), "left_semi")
-    return stay.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    none = F.lit(-(1 << 63)).cast("long")
+    marked = exact_dedup(docs, **options).filter("kept")
+    keep = marked.select(F.coalesce("keep_id", none).alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), none), "__sha": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    return own.join(keep, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")

@@ -237,6 +237,6 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     Rows without ``doc_id`` stay unless their group has a document with one; of repeated rows of the kept id and text, all stay.
     """
     found = near_duplicates(docs, **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_content")), "left_semi")
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__content")), "left_semi")
