@@ -33,7 +33,7 @@ from fleetgauge.session import shared_dir
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _NONE = np.iinfo(np.int32).max
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 _WIDE = 32
 
 
@@ -181,13 +181,20 @@ class Coder:
         self.vocabulary = vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.memory: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def learn(self, units: Iterable[str]) -> None:
-        """Encode units (pieces with the space before them) that are not in memory."""
-        fresh = [u for u in units if u not in self.memory]
-        if len(self.memory) + len(fresh) > REMEMBERED:
-            self.memory = {}
-            fresh = list(units)
+        """Encode units (pieces with the space before them) that are not in memory.
+
+        Memory has two generations: when the younger is full it becomes the older one, so what recurs is not forgotten.
+        """
+        wanted = [u for u in units if u not in self.memory]
+        if len(self.memory) + len(wanted) > REMEMBERED:
+            self.older, self.memory = self.memory, {}
+            wanted = list(units)
+        known = {u: self.older[u] for u in wanted if u in self.older}
+        self.memory |= known
+        fresh = [u for u in wanted if u not in known]
         split = [self.vocabulary.pre_tokens(u) for u in fresh]
         special = self.vocabulary.special
         words = list({w for tokens in split for w in tokens if w not in special})

@@ -83,18 +83,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _hits(rows: DataFrame, items: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
     """Hits of the items whose shingles have ``size`` words."""
-    hashed = rows.select("id", "content", shingles("tokens", size).alias("hashes"))
+    hashed = rows.select("id", "content", shingles("tokens", size).alias("hashes")).withColumn("held", F.size("hashes"))
     known = items.select(F.explode("item_hashes").alias("hash"), "n").distinct()
     few = known.count() <= BROADCAST_SHINGLES
-    seeds = hashed.select("id", "content", F.size("hashes").alias("held"), F.posexplode("hashes").alias("at", "hash")).join(F.broadcast(known) if few else known, "hash")
+    # Of a document only its numbers go along with each shingle, never the array.
+    seeds = hashed.select("id", "content", "held", F.posexplode("hashes").alias("at", "hash")).join(F.broadcast(known) if few else known, "hash")
     # Shingles of a window of n words; a shorter document is one window.
     m = F.col("n") - (size - 1)
     last = F.least(F.col("at"), F.greatest(F.col("held") - m, F.lit(0)))
     first = F.least(F.greatest(F.col("at") - m + 1, F.lit(0)), last)
     starts = seeds.select("id", "content", "n", F.explode(F.sequence(first, last)).alias("start")).distinct()
     by_document = starts.groupBy("id", "content").agg(F.collect_list(F.struct("n", "start")).alias("wanted"))  # at most n windows a word
-    windows = hashed.join(by_document, ["id", "content"]).dropDuplicates(["id", "content"]).select("id", "content", "hashes", F.explode("wanted").alias("w"))
-    windows = windows.select("id", "content", "w.*", F.slice("hashes", F.col("w.start") + 1, F.col("w.n") - (size - 1)).alias("window"))
+    cut = F.transform("wanted", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice("hashes", w["start"] + 1, w["n"] - (size - 1)).alias("window")))
+    documents = hashed.join(by_document, ["id", "content"]).dropDuplicates(["id", "content"])
+    windows = documents.select("id", "content", F.explode(cut).alias("w")).select("id", "content", "w.*")
     windows = windows.withColumn("print", simhash("window"))
     blocks = F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("print"), b).alias("value")) for b in range(BLOCKS)])
     variants = F.array(*map(F.lit, _variants(radius)))
@@ -106,9 +108,10 @@ def _hits(rows: DataFrame, items: DataFrame, size: int, radius: int, similarity:
     agree = [F.bit_count(_block(F.col("print").bitwiseXOR(F.col("item_print")), b)) <= radius // BLOCKS for b in range(BLOCKS)]
     first_block = F.coalesce(*[F.when(a, F.lit(b)) for b, a in enumerate(agree)])
     once = near.filter(F.col("block") == first_block)
-    scored = once.withColumn("similarity", weighted_similarity("window", "item_hashes")).filter(F.col("similarity") >= similarity)
+    scored = once.withColumn("similarity", weighted_similarity("window", "item_hashes"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best")
-    return scored.groupBy("id", "content", "item_id").agg(best).select("id", "content", "item_id", "best.similarity", (-F.col("best.back")).alias("start"), F.col("best.n").alias("n_words"))
+    hits = scored.groupBy("id", "content", "item_id").agg(best).filter(F.col("best.similarity") >= similarity)
+    return hits.select("id", "content", "item_id", "best.similarity", (-F.col("best.back")).alias("start"), F.col("best.n").alias("n_words"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = 23, similarity: float = 0.8) -> DataFrame:
