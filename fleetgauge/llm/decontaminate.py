@@ -84,10 +84,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _hits(rows: DataFrame, items: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
     """Hits of the items whose shingles have ``size`` words."""
     hashed = rows.select("id", "content", shingles("tokens", size).alias("hashes")).withColumn("held", F.size("hashes"))
-    known = items.select(F.explode("item_hashes").alias("hash"), "n").distinct()
+    known = items.select(F.explode_outer("item_hashes").alias("hash"), "n").distinct()
     few = known.count() <= BROADCAST_SHINGLES
-    # Of a document only its numbers go along with each shingle, never the array.
-    seeds = hashed.select("id", "content", "held", F.posexplode("hashes").alias("at", "hash")).join(F.broadcast(known) if few else known, "hash")
+    # Of a document only its numbers go along with each shingle, never the array. (The outer form, because for the inner one the
+    # optimizer would push a filter on the array down to the text, and split the text anew for every element.)
+    seeds = hashed.select("id", "content", "held", F.posexplode_outer("hashes").alias("at", "hash")).join(F.broadcast(known) if few else known, "hash")
     # Shingles of a window of n words; a shorter document is one window.
     m = F.col("n") - (size - 1)
     last = F.least(F.col("at"), F.greatest(F.col("held") - m, F.lit(0)))
@@ -96,7 +97,7 @@ def _hits(rows: DataFrame, items: DataFrame, size: int, radius: int, similarity:
     by_document = starts.groupBy("id", "content").agg(F.collect_list(F.struct("n", "start")).alias("wanted"))  # at most n windows a word
     cut = F.transform("wanted", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice("hashes", w["start"] + 1, w["n"] - (size - 1)).alias("window")))
     documents = hashed.join(by_document, ["id", "content"]).dropDuplicates(["id", "content"])
-    windows = documents.select("id", "content", F.explode(cut).alias("w")).select("id", "content", "w.*")
+    windows = documents.select("id", "content", F.explode_outer(cut).alias("w")).select("id", "content", "w.*")
     windows = windows.withColumn("print", simhash("window"))
     blocks = F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("print"), b).alias("value")) for b in range(BLOCKS)])
     variants = F.array(*map(F.lit, _variants(radius)))
