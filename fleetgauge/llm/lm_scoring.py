@@ -15,7 +15,6 @@ with the context shortened by its first word where it is not; a single word scor
 from __future__ import annotations
 
 import pickle
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +29,8 @@ KEY_BYTES = 6
 ALL_WORDS = 0
 
 
-def _total(keys: np.ndarray, extra: list[bytes | None], _owner: np.ndarray) -> np.ndarray:
+def _total(keys: np.ndarray, own: np.ndarray, _owner: np.ndarray) -> np.ndarray:
     """The count of each key over all slices."""
-    own = np.concatenate([np.frombuffer(x, np.int64) for x in extra])
     order = np.argsort(keys)
     ranked = keys[order]
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -87,13 +85,13 @@ class _Tokens:
 
     def catch_up(self, replies: pa.Table, bits: int) -> None:
         """Learn what the note holds of earlier orders, then the order just answered."""
-        for answer in pickle.loads(zlib.decompress(S.read_note(replies))):
+        for answer in map(S.expand, pickle.loads(S.read_note(replies))):
             self.learn(answer)
         self.learn(S.read_reply(replies, self.questions()[0], bits, np.int64))
 
     def ask(self, bits: int) -> pa.Table:
         keys, count = self.questions()
-        return S.question(self.texts.slice, keys, bits, KEY_BYTES, count, zlib.compress(pickle.dumps(self.answers), 1))
+        return S.question(self.texts.slice, keys, bits, KEY_BYTES, count, pickle.dumps([S.squeeze(a) for a in self.answers]))
 
     def scores(self, backoff: float) -> np.ndarray:
         """Base-10 log score of every word."""

@@ -76,6 +76,16 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte plane by byte plane: the high bytes of small numbers are runs of zeros."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def expand(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each bucket begins in sorted keys, and the end."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -95,7 +105,7 @@ def question(
         [(kind << bits) + int(b) for b in full],
         [slice_id] * len(full),
         [pack(keys[at[b] : at[b + 1]], width) for b in full],
-        [None if extra is None else extra[at[b] : at[b + 1]].tobytes() for b in full],
+        [None if extra is None else squeeze(extra[at[b] : at[b + 1]]) for b in full],
     ]
     if note is not None:
         for column, value in zip(columns, (-1 - slice_id, slice_id, note, None), strict=True):
@@ -103,13 +113,13 @@ def question(
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SENT_ARROW.types, strict=True)], schema=_SENT_ARROW)
 
 
-Judge = Callable[[np.ndarray, list[bytes | None], np.ndarray], np.ndarray]
+Judge = Callable[[np.ndarray, np.ndarray | None, np.ndarray], np.ndarray]
 
 
 def answers(sent: DataFrame, bits: int, *judges: tuple[int, Judge]) -> DataFrame:
     """One reply for each row sent.
 
-    For each kind of question, the key width it was sent with and a judge, which gets all keys of a bucket, the extras, and the slice
+    For each kind of question, the key width it was sent with and a judge, which gets all keys of a bucket, their values, and the slice
     that sent each key, and returns a value per key. Truth values go back as bits, numbers compressed. Notes (negative buckets)
     return unread.
     """
@@ -122,10 +132,12 @@ def answers(sent: DataFrame, bits: int, *judges: tuple[int, Judge]) -> DataFrame
         width, judge = judges[bucket >> bits]
         parts = [unpack(x, width) for x in table.column("keys").to_pylist()]
         length = [len(p) for p in parts]
-        values = judge(np.concatenate(parts), table.column("extra").to_pylist(), np.repeat(np.array(slices.to_pylist(), np.int64), length))
+        extras = table.column("extra").to_pylist()
+        extra = None if extras[0] is None else np.concatenate([expand(x) for x in extras])
+        values = judge(np.concatenate(parts), extra, np.repeat(np.array(slices.to_pylist(), np.int64), length))
         out = []
         for value in np.split(values, np.cumsum(length)[:-1]):
-            out.append(np.packbits(value).tobytes() if value.dtype == bool else zlib.compress(value.tobytes(), 1))
+            out.append(np.packbits(value).tobytes() if value.dtype == bool else squeeze(value))
         return pa.Table.from_arrays([slices, table.column("bucket"), pa.array(out, pa.binary())], schema=_REPLY_ARROW)
 
     return sent.groupBy("bucket").applyInArrow(reply, REPLY)
@@ -139,7 +151,7 @@ def read_reply(table: pa.Table, keys: np.ndarray, bits: int, dtype: type = bool,
         if number >= 0 and number >> bits == kind:
             bucket = number - (kind << bits)
             n = at[bucket + 1] - at[bucket]
-            raw = np.unpackbits(np.frombuffer(data, np.uint8), count=n) if dtype is bool else np.frombuffer(zlib.decompress(data), dtype)
+            raw = np.unpackbits(np.frombuffer(data, np.uint8), count=n) if dtype is bool else expand(data)
             out[at[bucket] : at[bucket + 1]] = raw
     return out
 
@@ -159,7 +171,7 @@ def note_to_flags(note: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(note), np.uint8), count=n).astype(bool)
 
 
-def in_two_places(keys: np.ndarray, _extra: list[bytes | None], _owner: np.ndarray) -> np.ndarray:
+def in_two_places(keys: np.ndarray, _extra: np.ndarray | None, _owner: np.ndarray) -> np.ndarray:
     """Whether another slice sent the same key."""
     order = np.argsort(keys)
     ranked = keys[order]
@@ -170,7 +182,7 @@ def in_two_places(keys: np.ndarray, _extra: list[bytes | None], _owner: np.ndarr
     return found
 
 
-def copies_elsewhere(keys: np.ndarray, extra: list[bytes | None], owner: np.ndarray) -> np.ndarray:
+def copies_elsewhere(keys: np.ndarray, extra: np.ndarray | None, owner: np.ndarray) -> np.ndarray:
     """1 where another slice sent the same key, 2 more where one of a smaller number did."""
     order = np.lexsort((owner, keys))
     ranked = keys[order]

@@ -49,9 +49,8 @@ class _Words:
         return keys, inverse, low, high
 
 
-def _smaller_elsewhere(keys: np.ndarray, extra: list[bytes | None], _owner: np.ndarray) -> np.ndarray:
+def _smaller_elsewhere(keys: np.ndarray, own: np.ndarray, _owner: np.ndarray) -> np.ndarray:
     """Whether any slice reports a smaller document for the same key."""
-    own = np.concatenate([np.frombuffer(x, np.int64) for x in extra])
     order = np.lexsort((own, keys))
     ranked = keys[order]
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
