@@ -14,12 +14,14 @@ from fleetgauge import KEYS
 FINDING_COLUMNS = ("source", "rule", "severity", "subject", "metric", "message")
 
 
-def topn(df: DataFrame, n: int, order: Sequence[Column], keys: Sequence[str] = KEYS) -> DataFrame:
-    """The first ``n`` rows per key.
+def topn(df: DataFrame, n: int | None, order: Sequence[Column], keys: Sequence[str] = KEYS) -> DataFrame:
+    """The first ``n`` rows per key; all rows for ``None``.
 
     ``row_number() <= n`` lets Spark cut every map partition to ``n`` rows per key before the
     shuffle, so a key holding a third of the data still ships only ``n`` rows per task.
     """
+    if n is None:
+        return df
     if not keys:
         return df.orderBy(*order).limit(n)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

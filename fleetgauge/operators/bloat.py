@@ -364,8 +364,12 @@ def index_bloat(
     min_index_size_gb: float = 5,
     min_bloat_percent: float = 20,
     keys: Sequence[str] = KEYS,
+    limit: int | None = 50,
 ) -> dict[str, DataFrame]:
-    """Bloat of one index, of one table's indexes, or of the largest B-trees of a schema."""
+    """Bloat of one index, of one table's indexes, or of the B-trees of a schema.
+
+    In the last form the bloated ones among the ``limit`` largest are listed (``None``: all); summary and findings cover all.
+    """
     keys = list(keys)
     d = samples.filter(F.col("schemaname") == schema)
     if index:
@@ -383,10 +387,14 @@ def index_bloat(
         )
         return {"indexes": rows, "summary": summary, "findings": index_bloat_findings(rows, keys)}
     btrees = d.filter((F.col("access_method") == "btree") & not_system_schema("schemaname"))
-    largest = topn(btrees, 50, [F.desc("size_bytes"), F.asc("index_name")], keys)
     wasted = (F.col("index_size") * F.col("estimated_bloat_percent") / F.lit(100.0)).cast("long")
-    stats = btree_stats(largest, keys).withColumn("bloated_bytes", wasted)
-    rows = stats.filter(bloated).select(
+    stats = btree_stats(btrees, keys).withColumn("bloated_bytes", wasted)
+    largest = topn(stats, limit, [F.desc("index_size"), F.asc("index_name")], keys)
+
+    def listed(df: DataFrame) -> DataFrame:
+        return df.filter(bloated).select(*columns)
+
+    columns = (
         *keys,
         "index_name",
         "table_name",
@@ -398,6 +406,7 @@ def index_bloat(
         "bloat_severity",
         format_bytes("bloated_bytes").alias("estimated_wasted_space"),
     )
+    rows = listed(largest)
     zero = F.lit(0).cast("long")
     summary = stats.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("indexes_analyzed"),
@@ -405,4 +414,4 @@ def index_bloat(
         format_bytes(F.sum("index_size")).alias("total_index_size"),
         format_bytes(F.coalesce(F.sum(F.when(bloated, F.col("bloated_bytes"))), zero)).alias("estimated_bloated_space"),
     )
-    return {"indexes": rows, "summary": summary, "findings": index_bloat_rollup(rows, keys)}
+    return {"indexes": rows, "summary": summary, "findings": index_bloat_rollup(listed(stats), keys)}

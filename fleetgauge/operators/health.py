@@ -129,9 +129,9 @@ def wraparound_risk(
 
 
 def blocking_edges(activity: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(waiting pid, blocking pid) pairs out of the blocker list on ``activity``."""
+    """(waiting pid, blocking pid) pairs out of the blocker list on ``activity``; parallel workers repeat a blocker there."""
     return activity.filter(F.size("blocking_pids") > 0).select(
-        *keys, "pid", F.explode("blocking_pids").alias("blocking_pid")
+        *keys, "pid", F.explode(F.array_distinct("blocking_pids")).alias("blocking_pid")
     )
 
 
@@ -140,7 +140,7 @@ def blocking_pairs(
 ) -> DataFrame:
     """One row per waiting client session, ungranted lock and blocker."""
     keys = list(keys)
-    edges = blocking_edges(activity, keys) if edges is None else edges.select(*keys, "pid", "blocking_pid")
+    edges = blocking_edges(activity, keys) if edges is None else edges.select(*keys, "pid", "blocking_pid").distinct()
     # The three inputs meet on (key, pid), so each is shuffled once.
     waiting = (
         activity.filter(F.col("backend_type") == "client backend")
@@ -741,8 +741,12 @@ def index_health(
     min_size_mb: float = 0,
     include_duplicates: bool = True,
     keys: Sequence[str] = KEYS,
+    advice_limit: int | None = 5,
 ) -> dict[str, DataFrame]:
-    """Invalid, unused and duplicate indexes with a score and advice per key."""
+    """Invalid, unused and duplicate indexes with a score and advice per key.
+
+    Unused and duplicate indexes are advised on up to ``advice_limit`` each (``None``: all); counts cover all of them.
+    """
     keys = list(keys)
     invalid = invalid_indexes(indexes, keys)
     unused = unused_indexes(indexes, tables, schema, min_size_mb, keys)
@@ -770,7 +774,7 @@ def index_health(
                 "REINDEX INDEX ", F.col("schema_name"), ".", F.col("index_name"), "; -- invalid, on ", F.col("table_name")
             ).alias("message"),
         ),
-        topn(unused, 5, [F.desc_nulls_first("size_bytes"), F.asc("index_name")], keys).select(
+        topn(unused, advice_limit, [F.desc_nulls_first("size_bytes"), F.asc("index_name")], keys).select(
             *keys,
             F.lit("index_health").alias("source"),
             F.lit("unused_index").alias("rule"),
@@ -788,7 +792,7 @@ def index_health(
         counted = counted.unionByName(tally(dup, none, none, none, one))
         order = [F.asc("table_name"), F.asc("index1"), F.asc("index2")]
         drop.append(
-            topn(dup, 5, order, keys).select(
+            topn(dup, advice_limit, order, keys).select(
                 *keys,
                 F.lit("index_health").alias("source"),
                 F.col("relationship").alias("rule"),

@@ -263,7 +263,7 @@ def tables_needing_vacuum(
     schema: str | None = "public",
     include_toast: bool = False,
     min_dead_tuples: int = 1000,
-    limit: int = 50,
+    limit: int | None = 50,
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
@@ -292,7 +292,7 @@ def tables_needing_vacuum(
 
 
 def tables_near_wraparound(
-    tables: DataFrame, min_age: int = 100_000_000, limit: int = 20, keys: Sequence[str] = KEYS
+    tables: DataFrame, min_age: int = 100_000_000, limit: int | None = 20, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The oldest tables of all schemas past ``min_age`` transactions."""
     kept = tables.filter((F.col("relkind") == "r") & not_system_schema("schemaname") & (F.col("xid_age") > min_age))
@@ -314,12 +314,16 @@ def pending_vacuum(
     min_dead_tuples: int = 1000,
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
+    limit: int | None = 50,
+    wraparound_limit: int | None = 20,
 ) -> dict[str, DataFrame]:
+    """Tables waiting for a vacuum. The limits (``None``: all) cut the two lists; summary and findings count all tables."""
     keys = list(keys)
-    need = tables_needing_vacuum(
-        tables, settings, schema, include_toast, min_dead_tuples, keys=keys, settings_keys=settings_keys
-    )
-    old = tables_near_wraparound(tables, keys=keys)
+
+    def waiting(n: int | None) -> DataFrame:
+        return tables_needing_vacuum(tables, settings, schema, include_toast, min_dead_tuples, n, keys, settings_keys)
+
+    need, old = waiting(None), tables_near_wraparound(tables, limit=None, keys=keys)
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
     def marks(df: DataFrame, dead: Column, exceeds: Column, high: Column, wrap: Column, half: Column) -> DataFrame:
@@ -351,8 +355,8 @@ def pending_vacuum(
         ),
     ]
     return {
-        "tables_needing_vacuum": need,
-        "tables_with_wraparound_risk": old,
+        "tables_needing_vacuum": waiting(limit),
+        "tables_with_wraparound_risk": tables_near_wraparound(tables, limit=wraparound_limit, keys=keys),
         "summary": counted.select(
             *keys,
             F.col("dead").alias("tables_with_dead_tuples"),
@@ -388,7 +392,7 @@ def vacuum_activity(
     tables: DataFrame,
     schema: str | None = "public",
     include_toast: bool = False,
-    limit: int = 50,
+    limit: int | None = 50,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """The most recently vacuumed tables; never vacuumed ones are the first to be cut."""
@@ -417,10 +421,15 @@ def vacuum_activity(
 
 
 def vacuum_history(
-    tables: DataFrame, schema: str | None = "public", include_toast: bool = False, keys: Sequence[str] = KEYS
+    tables: DataFrame,
+    schema: str | None = "public",
+    include_toast: bool = False,
+    keys: Sequence[str] = KEYS,
+    limit: int | None = 50,
 ) -> dict[str, DataFrame]:
+    """When tables were vacuumed. The limit (``None``: all) cuts the list; summary and findings count all tables."""
     keys = list(keys)
-    recent = vacuum_activity(tables, schema, include_toast, keys=keys)
+    recent = vacuum_activity(tables, schema, include_toast, None, keys)
     status = F.col("vacuum_status")
     names = {"never": "never_vacuumed", "stale": "stale_vacuum", "recent": "recent_vacuum", "fresh": "fresh_vacuum"}
     summary = recent.groupBy(*keys).agg(
@@ -429,7 +438,7 @@ def vacuum_history(
     order = [F.desc_nulls_last("last_vacuumed"), F.asc("schema_name"), F.asc("table_name")]
     advice = None
     for band, severity, what in (
-        ("never", "warning", " tables have never been vacuumed"),
+        ("never", "warning", " tables without any vacuum so far"),
         ("stale", "info", " tables not vacuumed for over 7 days"),
     ):
         part = first_names(recent.filter(status == band), "table_name", order, keys).select(
@@ -442,7 +451,7 @@ def vacuum_history(
             text(F.col("n"), what).alias("message"),
         )
         advice = part if advice is None else advice.unionByName(part)
-    return {"recent_activity": recent, "summary": summary, "findings": advice}
+    return {"recent_activity": vacuum_activity(tables, schema, include_toast, limit, keys), "summary": summary, "findings": advice}
 
 
 def free_space_by_table(pages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

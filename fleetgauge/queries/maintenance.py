@@ -141,14 +141,16 @@ def _(t):
 
 _THRESHOLD = f"(coalesce({setting('autovacuum_vacuum_threshold', 'DOUBLE')}, 50) + coalesce({setting('autovacuum_vacuum_scale_factor', 'DOUBLE')}, 0.2::DOUBLE) * n_live_tup)"
 _VT = f"relkind = 'r' AND schemaname NOT IN {SYSTEM} AND schemaname = 'public' AND relname NOT LIKE 'pg_toast%'"
-_NEED = f"""SELECT {K}, schemaname AS schema_name, relname AS table_name, n_live_tup, n_dead_tup, {pct0('n_dead_tup', 'n_live_tup')} AS dead_tuple_ratio, last_vacuum, last_autovacuum,
+_NEED_ALL = f"""SELECT {K}, schemaname AS schema_name, relname AS table_name, n_live_tup, n_dead_tup, {pct0('n_dead_tup', 'n_live_tup')} AS dead_tuple_ratio, last_vacuum, last_autovacuum,
   vacuum_count, autovacuum_count, {pretty('table_size_bytes')} AS table_size, table_size_bytes, {_THRESHOLD} AS autovacuum_threshold, n_dead_tup > {_THRESHOLD} AS exceeds_threshold
-FROM t_tables r WHERE {_VT} AND n_dead_tup >= 1000 {top(50, 'n_dead_tup DESC, schemaname, relname')}"""
-_OLD = f"""SELECT {K}, schemaname AS schema_name, relname AS table_name, xid_age, {pretty('table_size_bytes')} AS table_size, {pct('xid_age', '2147483647')} AS pct_towards_wraparound
-FROM t_tables WHERE relkind = 'r' AND schemaname NOT IN {SYSTEM} AND xid_age > 100000000 {top(20, 'xid_age DESC, schemaname, relname')}"""
+FROM t_tables r WHERE {_VT} AND n_dead_tup >= 1000"""
+_NEED = f"{_NEED_ALL} {top(50, 'n_dead_tup DESC, schemaname, relname')}"
+_OLD_ALL = f"""SELECT {K}, schemaname AS schema_name, relname AS table_name, xid_age, {pretty('table_size_bytes')} AS table_size, {pct('xid_age', '2147483647')} AS pct_towards_wraparound
+FROM t_tables WHERE relkind = 'r' AND schemaname NOT IN {SYSTEM} AND xid_age > 100000000"""
+_OLD = f"{_OLD_ALL} {top(20, 'xid_age DESC, schemaname, relname')}"
 _COUNTS = f"""(SELECT {K}, sum(d)::BIGINT AS d, sum(e)::BIGINT AS e, sum(h)::BIGINT AS h, sum(w)::BIGINT AS w, sum(c)::BIGINT AS c FROM (
-  SELECT {K}, 1 AS d, exceeds_threshold::INT AS e, (dead_tuple_ratio > 20)::INT AS h, 0 AS w, 0 AS c FROM ({_NEED})
-  UNION ALL SELECT {K}, 0, 0, 0, 1, (pct_towards_wraparound > 50)::INT FROM ({_OLD})) GROUP BY {K})"""
+  SELECT {K}, 1 AS d, exceeds_threshold::INT AS e, (dead_tuple_ratio > 20)::INT AS h, 0 AS w, 0 AS c FROM ({_NEED_ALL})
+  UNION ALL SELECT {K}, 0, 0, 0, 1, (pct_towards_wraparound > 50)::INT FROM ({_OLD_ALL})) GROUP BY {K})"""
 
 
 def _pending(t) -> dict:
@@ -198,10 +200,11 @@ def _(t):
     return M.autovacuum_trigger(t["t_tables"], t["t_settings"])
 
 
-_RECENT = f"""SELECT {K}, schemaname AS schema_name, relname AS table_name, last_vacuum, last_autovacuum, last_analyze, last_autoanalyze, vacuum_count, autovacuum_count, analyze_count,
+_RECENT_ALL = f"""SELECT {K}, schemaname AS schema_name, relname AS table_name, last_vacuum, last_autovacuum, last_analyze, last_autoanalyze, vacuum_count, autovacuum_count, analyze_count,
   autoanalyze_count, n_live_tup, n_dead_tup, n_mod_since_analyze, {pretty('table_size_bytes')} AS table_size, lv AS last_vacuumed,
   CASE WHEN lv IS NULL THEN 'never' WHEN lv < snapshot_ts - INTERVAL 7 DAY THEN 'stale' WHEN lv < snapshot_ts - INTERVAL 1 DAY THEN 'recent' ELSE 'fresh' END AS vacuum_status
-FROM (SELECT *, greatest(last_vacuum, last_autovacuum) AS lv FROM t_tables WHERE {_VT}) {top(50, 'lv DESC NULLS LAST, schemaname, relname')}"""
+FROM (SELECT *, greatest(last_vacuum, last_autovacuum) AS lv FROM t_tables WHERE {_VT})"""
+_RECENT = f"{_RECENT_ALL} {top(50, 'lv DESC NULLS LAST, schemaname, relname')}"
 
 
 def _history(t) -> dict:
@@ -217,7 +220,7 @@ def _(t):
     "m11_vacuum_summary",
     ["t_tables"],
     f"""SELECT {K}, count(*) AS total_tables, count(*) FILTER (WHERE vacuum_status = 'never') AS never_vacuumed, count(*) FILTER (WHERE vacuum_status = 'stale') AS stale_vacuum,
-  count(*) FILTER (WHERE vacuum_status = 'recent') AS recent_vacuum, count(*) FILTER (WHERE vacuum_status = 'fresh') AS fresh_vacuum FROM ({_RECENT}) GROUP BY {K}""",
+  count(*) FILTER (WHERE vacuum_status = 'recent') AS recent_vacuum, count(*) FILTER (WHERE vacuum_status = 'fresh') AS fresh_vacuum FROM ({_RECENT_ALL}) GROUP BY {K}""",
 )
 def _(t):
     return _history(t)["summary"]
@@ -234,8 +237,8 @@ _VAC_ORDER = "last_vacuumed DESC NULLS LAST, schema_name, table_name"
     "m11_vacuum_findings",
     ["t_tables"],
     " UNION ALL ".join(
-        rule("vacuum_history", band, severity, _names("table_name", _VAC_ORDER), "count(*)", f"count(*) || '{what}'", f"FROM ({_RECENT}) WHERE vacuum_status = '{band}' GROUP BY {K}")
-        for band, severity, what in (("never", "warning", " tables have never been vacuumed"), ("stale", "info", " tables not vacuumed for over 7 days"))
+        rule("vacuum_history", band, severity, _names("table_name", _VAC_ORDER), "count(*)", f"count(*) || '{what}'", f"FROM ({_RECENT_ALL}) WHERE vacuum_status = '{band}' GROUP BY {K}")
+        for band, severity, what in (("never", "warning", " tables without any vacuum so far"), ("stale", "info", " tables not vacuumed for over 7 days"))
     ),
 )
 def _(t):
@@ -472,8 +475,10 @@ def _(t):
     return B.index_bloat_findings(B.index_stats(t["t_index_samples"]))
 
 
-_LARGEST = f"(SELECT * FROM t_index_samples WHERE schemaname = 'public' AND access_method = 'btree' AND size_bytes >= 1073741 {top(50, 'size_bytes DESC, index_name')})"
+_BTREES = "SELECT * FROM t_index_samples WHERE schemaname = 'public' AND access_method = 'btree' AND size_bytes >= 1073741"
+_LARGEST = f"({_BTREES} {top(50, 'size_bytes DESC, index_name')})"
 _LB = _btree(_LARGEST)
+_LB_ALL = _btree(f"({_BTREES})")
 _BLOATED = "CAST(trunc(index_size * estimated_bloat_percent / 100) AS BIGINT)"
 
 
@@ -496,7 +501,7 @@ def _(t):
     ["t_index_samples"],
     f"""SELECT {K}, n AS indexes_analyzed, b AS indexes_with_bloat, {sized('s')} AS total_index_size, {sized('w')} AS estimated_bloated_space FROM (
   SELECT {K}, count(*) AS n, count(*) FILTER (WHERE estimated_bloat_percent >= 20) AS b, sum(index_size)::BIGINT AS s,
-    coalesce(sum({_BLOATED}) FILTER (WHERE estimated_bloat_percent >= 20), 0)::BIGINT AS w FROM {_LB} GROUP BY {K})""",
+    coalesce(sum({_BLOATED}) FILTER (WHERE estimated_bloat_percent >= 20), 0)::BIGINT AS w FROM {_LB_ALL} GROUP BY {K})""",
 )
 def _(t):
     return _index_bloat(t)["summary"]
@@ -508,7 +513,7 @@ _IO = "estimated_bloat_percent DESC, index_size DESC, index_name"
 @query(
     "m9d_index_bloat_rollup",
     ["t_index_samples"],
-    f"SELECT * FROM (WITH m AS (SELECT * FROM {_LB} WHERE estimated_bloat_percent >= 20) " + " UNION ALL ".join(
+    f"SELECT * FROM (WITH m AS (SELECT * FROM {_LB_ALL} WHERE estimated_bloat_percent >= 20) " + " UNION ALL ".join(
         _rolled("index_bloat", name, severity, when, what, "index_name", _IO)
         for name, severity, when, what in (
             ("critical_indexes", "critical", "bloat_severity = 'critical'", " indexes with critical bloat"),

@@ -66,7 +66,9 @@ def write_report(df: DataFrame, path: str, format: str = "json", mode: str = "ov
     """A report as JSON lines or Parquet."""
     if format not in ("json", "parquet"):
         raise ValueError(f"unknown report format {format!r}")
-    df.write.mode(mode).format(format).save(path)
+    # A NULL field is part of a JSON row.
+    options = {"ignoreNullFields": "false"} if format == "json" else {}
+    df.write.mode(mode).format(format).options(**options).save(path)
 
 
 def as_json(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -117,7 +117,7 @@ def test_reports(spark):
     root = _new_dir(spark)
     df = spark.createDataFrame([("a", 1, None)], "k string, v int, w int")
     write_report(df, f"{root}/j")
-    assert json.loads(spark.read.text(f"{root}/j").first()[0]) == {"k": "a", "v": 1}
+    assert json.loads(spark.read.text(f"{root}/j").first()[0]) == {"k": "a", "v": 1, "w": None}
     write_report(df, f"{root}/p", "parquet")
     assert spark.read.parquet(f"{root}/p").count() == 1
     with pytest.raises(ValueError):
