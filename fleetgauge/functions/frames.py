@@ -29,11 +29,15 @@ def topn(df: DataFrame, n: int | None, order: Sequence[Column], keys: Sequence[s
 
 
 def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join on key names. Without keys the right side is one aggregate row."""
+    """Equi join on key names. Without keys the right side is one aggregate row, which Spark knows to be small."""
     if on:
         return left.join(right, list(on), how)
-    one = "_one"
-    return left.withColumn(one, F.lit(1)).join(right.withColumn(one, F.lit(1)), one, how).drop(one)
+
+    # Zero for every row, but no constant: a constant key would be folded away and leave a Cartesian product.
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_one", F.pmod(F.hash(df.columns[0]), F.lit(1)))
+
+    return keyed(left).join(keyed(right), "_one", how).drop("_one")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -80,10 +84,85 @@ def findings(df: DataFrame, source: str, rules: Sequence[Rule], keys: Sequence[s
     return df.select(*keys, F.explode(hits).alias("_f")).select(*keys, "_f.*")
 
 
-def settings_wide(settings: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """One row per key, one text column per setting name."""
-    picked = [F.max(F.when(F.col("name") == n, F.col("setting"))).alias(n) for n in names]
-    return settings.filter(F.col("name").isin(*names)).groupBy(*keys).agg(*picked)
+def as_of(moments: DataFrame, history: DataFrame, values: Sequence[str], keys: Sequence[str], time_col: str = "snapshot_ts") -> DataFrame:
+    """For every distinct (keys, time) of ``moments``, the newest non-NULL of each of ``values`` in ``history`` at or before it.
+
+    The look-up runs per (keys, day); what a day starts with comes from one row per earlier day, so no key is one window partition.
+    """
+    both = (
+        history.select(*keys, time_col, *values, F.lit(False).alias("_asked"))
+        .unionByName(moments.select(*keys, time_col, F.lit(True).alias("_asked")), allowMissingColumns=True)
+        .groupBy(*keys, time_col)
+        .agg(*[F.max(v).alias(v) for v in values], F.max("_asked").alias("_asked"))
+        .withColumn("_day", F.date_trunc("day", F.col(time_col).cast("timestamp")))
+    )
+    newest = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col(time_col))).alias(v) for v in values]
+    days = both.groupBy(*keys, "_day").agg(*newest)
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    start = days.select(*keys, "_day", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_start_{v}") for v in values])
+    so_far = Window.partitionBy(*keys, "_day").orderBy(time_col).rowsBetween(Window.unboundedPreceding, 0)
+    today = both.select(*keys, "_day", time_col, "_asked", *[F.last(v, ignorenulls=True).over(so_far).alias(v) for v in values])
+    known = [F.coalesce(v, f"_start_{v}").alias(v) for v in values]
+    return today.filter("_asked").join(start, [*keys, "_day"]).select(*keys, time_col, *known)
+
+
+def _in_force(
+    moments: DataFrame, settings: DataFrame, names: Sequence[str], keys: Sequence[str], settings_keys: Sequence[str], time_col: str
+) -> tuple[DataFrame, list[str]]:
+    """Settings in force as one (setting, unit) struct per name, ``_known`` (any setting known at all), and the columns to join on."""
+    cell = F.struct("setting", "unit")
+    own = {n: (F.col("name") == n) & F.col("setting").isNotNull() for n in names}
+    timed = time_col in settings.columns
+    if timed and time_col in keys:
+        at = [*settings_keys, time_col]
+        picked = [F.max(F.when(is_own, cell)).alias(n) for n, is_own in own.items()]
+        history = settings.groupBy(*at).agg(*picked, F.lit(True).alias("_known"))
+        return as_of(moments, history, [*names, "_known"], settings_keys, time_col), at
+    # Without times there is one value; without a moment to look up, the newest one counts.
+    newest = F.col(time_col) if timed else F.lit(0)
+    picked = [F.max_by(cell, F.when(is_own, F.struct(newest, cell))).alias(n) for n, is_own in own.items()]
+    return settings.groupBy(*settings_keys).agg(*picked, F.lit(True).alias("_known")), list(settings_keys)
+
+
+def with_settings(
+    df: DataFrame,
+    settings: DataFrame,
+    names: Sequence[str],
+    keys: Sequence[str] = KEYS,
+    settings_keys: Sequence[str] = ("cluster_id",),
+    moments: DataFrame | None = None,
+    time_col: str = "snapshot_ts",
+) -> DataFrame:
+    """``df`` with one text column per setting name: the value in force at the row's moment, and ``_known``.
+
+    Settings with ``time_col`` are a history, and the newest value at or before the row's own ``time_col`` counts; settings without
+    it hold at all times. If ``time_col`` is not among ``keys``, the newest value counts. All rows stay; a setting not known (yet)
+    is NULL, and ``_known`` is false where no setting is. ``moments``: a cheaper frame that has all keys and times of ``df``.
+    """
+    found, on = _in_force(df if moments is None else moments, settings, names, keys, settings_keys, time_col)
+    texts = found.select(*on, *[F.col(n)["setting"].alias(n) for n in names], "_known")
+    return keyed_join(df, texts, on, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+
+
+def settings_at(
+    moments: DataFrame,
+    settings: DataFrame,
+    names: Sequence[str],
+    keys: Sequence[str] = KEYS,
+    settings_keys: Sequence[str] = ("cluster_id",),
+    time_col: str = "snapshot_ts",
+) -> tuple[DataFrame, list[str]]:
+    """The settings in force at each of the moments in long form (``name``, ``setting``, ``unit``), and its key columns.
+
+    Moments where only other settings are known keep one row without a name.
+    """
+    found, on = _in_force(moments, settings, names, keys, settings_keys, time_col)
+    cells = [
+        F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("name"), F.col(n)["setting"].alias("setting"), F.col(n)["unit"].alias("unit")))
+        for n in names
+    ]
+    rows = F.filter(F.array(*cells), lambda c: c.isNotNull())
+    return found.filter("_known").select(*on, F.inline_outer(rows)), on
 
 
 def first_names(df: DataFrame, name: str, order: Sequence[Column], keys: Sequence[str] = KEYS, n: int = 5) -> DataFrame:

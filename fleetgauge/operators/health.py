@@ -27,9 +27,10 @@ from fleetgauge.functions.frames import (
     counter_operator,
     findings,
     keyed_join,
-    settings_wide,
+    settings_at,
     text,
     topn,
+    with_settings,
 )
 
 # Multixact age limits.
@@ -71,6 +72,9 @@ CRITICAL_SETTINGS = (
     "statement_timeout",
     "idle_in_transaction_session_timeout",
 )
+# The settings that have rules.
+RULED_SETTINGS = ("shared_buffers", "work_mem", "effective_cache_size", "checkpoint_completion_target", "autovacuum")
+# Penalty points by severity.
 SEVERITY_PENALTY = {"critical": 40, "high": 20, "medium": 10, "info": 0}
 TEMPLATE_DATABASES = ("template0", "template1")
 _CONNECTION_SETTINGS = ["max_connections", "superuser_reserved_connections"]
@@ -88,8 +92,10 @@ def mxid_wraparound(
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
-    limits = settings_wide(settings, ["autovacuum_multixact_freeze_max_age"], settings_keys)
-    d = keyed_join(databases.filter("datallowconn"), limits, settings_keys)
+    """Databases whose limit is not known keep their row, without the limit and what follows from it."""
+    d = with_settings(
+        databases.filter("datallowconn"), settings, ["autovacuum_multixact_freeze_max_age"], keys, settings_keys, databases
+    )
     age, limit = F.col("mxid_age"), F.col("autovacuum_multixact_freeze_max_age").cast("long")
     frozen = F.col("datminmxid") == 0
     invalid = age >= MXID_INVALID_AGE
@@ -371,7 +377,7 @@ def check_connections(
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
-    d = keyed_join(activity_facts(activity, keys), settings_wide(settings, _CONNECTION_SETTINGS, settings_keys), settings_keys)
+    d = with_settings(activity_facts(activity, keys), settings, _CONNECTION_SETTINGS, keys, settings_keys, activity)
     return _rows_of(d, [_connections_cell()], keys)
 
 
@@ -445,8 +451,15 @@ def _merged(facts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return out.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
 
 
+def _own_keys(settings: DataFrame, settings_keys: Sequence[str]) -> list[str]:
+    """The keys of settings as collected: their snapshot counts if they have one."""
+    timed = "snapshot_ts" in settings.columns and "snapshot_ts" not in settings_keys
+    return [*settings_keys, "snapshot_ts"] if timed else list(settings_keys)
+
+
 def settings_findings(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
-    """Advice on the watched settings, one row per setting that deserves it."""
+    """Advice on the watched settings, one row per setting (and snapshot of it) that deserves it."""
+    settings_keys = _own_keys(settings, settings_keys)
     value, unit, name = F.col("setting"), F.col("unit"), F.col("name")
     size = size_to_bytes(value, unit)
     current = F.concat(value, F.coalesce(unit, F.lit("")))
@@ -476,7 +489,8 @@ def settings_findings(settings: DataFrame, settings_keys: Sequence[str] = ("clus
 
 
 def settings_penalty(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
-    """Penalty points and number of findings per settings key, also where there are none."""
+    """Penalty points and number of findings per settings key (and snapshot), also where there are none."""
+    settings_keys = _own_keys(settings, settings_keys)
     points = F.lit(0)
     for severity, value in SEVERITY_PENALTY.items():
         points = F.when(F.col("severity") == severity, value).otherwise(points)
@@ -495,8 +509,9 @@ def _settings_cell(present: Column) -> Column:
 
 
 def check_settings(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
-    """Score per settings key: 100 minus the penalties of the findings."""
-    return _rows_of(settings_penalty(settings, settings_keys), [_settings_cell(F.lit(True))], settings_keys)
+    """Score per settings key (and snapshot): 100 minus the penalties of the findings."""
+    keys = _own_keys(settings, settings_keys)
+    return _rows_of(settings_penalty(settings, keys), [_settings_cell(F.lit(True))], keys)
 
 
 def health_checks(
@@ -523,8 +538,10 @@ def health_checks(
         ],
         keys,
     )
-    d = keyed_join(facts, settings_wide(settings, _CONNECTION_SETTINGS, settings_keys), settings_keys, "left")
-    d = keyed_join(d, settings_penalty(settings, settings_keys), settings_keys, "left")
+    # One look-up of the settings in force serves the connection limits and the settings check.
+    in_force, on = settings_at(facts, settings, [*_CONNECTION_SETTINGS, *RULED_SETTINGS], keys, settings_keys)
+    limits = in_force.groupBy(*on).agg(*[F.max(F.when(F.col("name") == n, F.col("setting"))).alias(n) for n in _CONNECTION_SETTINGS])
+    d = keyed_join(keyed_join(facts, limits, on, "left"), settings_penalty(in_force, on), on, "left")
     # A key was observed when its sessions, databases or counters were; then no replica is a fact.
     observed = F.coalesce("used", "any_database", "checkpoints_timed").isNotNull()
     cells = [

@@ -18,7 +18,7 @@ from fleetgauge.functions.expressions import (
     regex_capture,
     size_pretty,
 )
-from fleetgauge.functions.frames import Rule, findings, first_names, keyed_join, settings_wide, text, topn
+from fleetgauge.functions.frames import Rule, findings, first_names, keyed_join, text, topn, with_settings
 
 BLOCK_SIZE = 8192
 
@@ -91,12 +91,9 @@ def freeze_prediction(
     Rows are ranked by the status text, so overdue transaction ids come last; that order decides
     which rows the limit keeps.
     """
-    limits = settings_wide(
-        settings, ["autovacuum_freeze_max_age", "autovacuum_multixact_freeze_max_age"], settings_keys
-    )
-    d = keyed_join(
-        tables.filter(F.col("relkind").isin("r", "m") & not_system_schema("schemaname")), limits, settings_keys
-    )
+    limits = ["autovacuum_freeze_max_age", "autovacuum_multixact_freeze_max_age"]
+    kept = tables.filter(F.col("relkind").isin("r", "m") & not_system_schema("schemaname"))
+    d = with_settings(kept, settings, limits, keys, settings_keys, tables)
     xid_max = F.col("autovacuum_freeze_max_age").cast("long")
     mxid_max = F.col("autovacuum_multixact_freeze_max_age").cast("long")
     d = d.withColumns(
@@ -157,12 +154,12 @@ def autovacuum_status(
         *keys, "pid", "state", age_seconds("snapshot_ts", "backend_start").alias("uptime_seconds")
     )
     names = ["autovacuum", "autovacuum_max_workers", "autovacuum_naptime"]
-    values = settings_wide(av, names, settings_keys)
     counts = activity.groupBy(*keys).agg(F.count_if(is_worker).alias("active_worker_count"))
-    d = keyed_join(counts, values.withColumn("_known", F.lit(True)), settings_keys, "left")
+    d = with_settings(counts, settings, names, keys, settings_keys, activity)
     max_workers = F.coalesce(F.col("autovacuum_max_workers").cast("long"), F.lit(3).cast("long"))
     naptime = F.coalesce(F.col("autovacuum_naptime").cast("long"), F.lit(60).cast("long"))
-    enabled = F.when(F.col("_known"), F.coalesce(F.col("autovacuum") == "on", F.lit(False))).otherwise(True)
+    known = F.coalesce(*names).isNotNull()
+    enabled = F.when(known, F.coalesce(F.col("autovacuum") == "on", F.lit(False))).otherwise(True)
     summary = d.select(
         *keys,
         enabled.alias("autovacuum_enabled"),
@@ -180,8 +177,9 @@ def autovacuum_status(
         text("all autovacuum workers are busy; raise autovacuum_max_workers"),
     )
     descr = ["short_desc"] if "short_desc" in settings.columns else []
+    when = ["snapshot_ts"] if "snapshot_ts" in settings.columns else []
     return {
-        "settings": av.select(*settings_keys, "name", "setting", "unit", *descr),
+        "settings": av.select(*dict.fromkeys([*settings_keys, *when]), "name", "setting", "unit", *descr),
         "launcher": launcher,
         "active_workers": workers,
         "summary": summary,
@@ -271,7 +269,7 @@ def tables_needing_vacuum(
     kept = _vacuum_tables(tables, schema, include_toast).filter(F.col("n_dead_tup") >= min_dead_tuples)
     # Cut before the settings join: neither filter nor order depends on a setting.
     top = topn(kept, limit, [F.desc_nulls_first("n_dead_tup"), F.asc("schemaname"), F.asc("relname")], keys)
-    d = keyed_join(top, settings_wide(settings, _TRIGGER_SETTINGS, settings_keys), settings_keys, "left")
+    d = with_settings(top, settings, _TRIGGER_SETTINGS, keys, settings_keys, tables)
     threshold = _trigger_threshold()
     return d.select(
         *keys,
@@ -373,8 +371,8 @@ def autovacuum_trigger(
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
-    """Dead rows against the trigger threshold, reached when equal."""
-    d = keyed_join(tables, settings_wide(settings, _TRIGGER_SETTINGS, settings_keys), settings_keys)
+    """Dead rows against the trigger threshold, reached when equal; where settings are not known, the server's defaults hold."""
+    d = with_settings(tables, settings, _TRIGGER_SETTINGS, keys, settings_keys)
     threshold = _trigger_threshold()
     return d.select(
         *keys,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge import KEYS
 from fleetgauge.functions.expressions import age_micros, age_seconds, exclude_like, left_text, older_than
-from fleetgauge.functions.frames import Rule, findings, keyed_join, null_safe_join, settings_wide, text, topn
+from fleetgauge.functions.frames import Rule, findings, null_safe_join, text, topn, with_settings
 from fleetgauge.operators.health import blocking_edges
 
 LONG_QUERY_SECONDS = 300
@@ -69,8 +69,7 @@ def connection_usage(
     used = activity.groupBy(*keys).agg(
         F.count_if(F.col("backend_type") == "client backend").alias("used_connections")
     )
-    limits = settings_wide(settings, ["max_connections"], settings_keys)
-    return keyed_join(used, limits, settings_keys, "left").select(
+    return with_settings(used, settings, ["max_connections"], keys, settings_keys, activity).select(
         *keys, "used_connections", F.col("max_connections").cast("long").alias("max_connections")
     )
 

@@ -69,7 +69,7 @@ def _autovacuum(t) -> dict:
     return M.autovacuum_status(t["t_settings"], t["t_activity"])
 
 
-@query("m6_autovacuum_settings", ["t_settings"], "SELECT cluster_id, name, setting, unit FROM t_settings WHERE name LIKE 'autovacuum%'")
+@query("m6_autovacuum_settings", ["t_settings"], f"SELECT {K}, name, setting, unit FROM t_settings WHERE name LIKE 'autovacuum%'")
 def _(t):
     return _autovacuum(t)["settings"]
 

@@ -104,8 +104,11 @@ def rule(source: str, name: str, severity: str, subject: str, metric: str, messa
 
 
 def setting(name: str, kind: str = "VARCHAR") -> str:
-    """A setting of the row's cluster, as a scalar subquery over rows aliased ``r``."""
-    return f"CAST((SELECT max(s.setting) FROM t_settings s WHERE s.cluster_id = r.cluster_id AND s.name = '{name}') AS {kind})"
+    """A setting of the row's cluster as of the row's moment, as a scalar subquery over rows aliased ``r``."""
+    return (
+        "CAST((SELECT arg_max(s.setting, s.snapshot_ts) FROM t_settings s WHERE s.cluster_id = r.cluster_id "
+        f"AND s.snapshot_ts <= r.snapshot_ts AND s.name = '{name}') AS {kind})"
+    )
 
 
 CLIENT = "backend_type = 'client backend'"

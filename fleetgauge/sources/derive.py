@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from fleetgauge.session import apply_runtime_conf
 
-BASE_TABLES = ("nation", "customer", "part", "orders", "lineitem", "events")
+BASE_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
 
 _K_EVENT = """'c' || CAST(user_id % 5 AS STRING) AS cluster_id,
        CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS snapshot_ts"""
@@ -50,19 +50,28 @@ _SETTING_CHANGES = {
 }
 
 
+# One snapshot of the settings per region key.
+_SETTING_TIMES = ("1990-01-01 00:00:00", "1995-07-01 00:00:00", "1997-07-01 00:00:00", "2024-01-05 12:00:00", "2024-01-20 06:00:00")
+
+
 def _settings_text() -> str:
-    parts = []
-    for name, unit, value in _SETTINGS:
-        shown = f"'{value}'"
-        if name in _SETTING_CHANGES:
-            nation, other = _SETTING_CHANGES[name]
-            shown = f"CASE WHEN n_nationkey = {nation} THEN '{other}' ELSE '{value}' END"
-        kind = f"'{unit}'" if unit else "CAST(NULL AS STRING)"
-        parts.append(
-            f"SELECT 'c' || CAST(n_nationkey AS STRING) AS cluster_id, '{name}' AS name, {kind} AS unit, "
-            f"{shown} AS setting FROM {{nation}}"
-        )
-    return "\nUNION ALL ".join(parts)
+    """Cluster x setting x snapshot out of nation x nation x region. Cluster c0 has no settings."""
+    names = " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _, _) in enumerate(_SETTINGS))
+    units = " ".join(f"WHEN {i} THEN '{unit}'" for i, (_, unit, _) in enumerate(_SETTINGS) if unit)
+    times = " ".join(f"WHEN {i} THEN TIMESTAMP '{t}'" for i, t in enumerate(_SETTING_TIMES))
+    position = {name: i for i, (name, _, _) in enumerate(_SETTINGS)}
+    # Changed settings hold on one cluster from the second to the third snapshot; connections are raised for good.
+    changed = " ".join(
+        f"WHEN s.n_nationkey = {position[name]} AND c.n_nationkey = {nation - 1} AND r_regionkey IN (1, 2) THEN '{other}'"
+        for name, (nation, other) in _SETTING_CHANGES.items()
+    )
+    grown = f"WHEN s.n_nationkey = {position['max_connections']} AND r_regionkey > 1 THEN '100'"
+    plain = " ".join(f"WHEN s.n_nationkey = {i} THEN '{value}'" for i, (_, _, value) in enumerate(_SETTINGS))
+    return f"""SELECT 'c' || CAST(c.n_nationkey + 1 AS STRING) AS cluster_id, CASE r_regionkey {times} END AS snapshot_ts,
+       CASE s.n_nationkey {names} ELSE 'other_' || CAST(s.n_nationkey AS STRING) END AS name,
+       CASE s.n_nationkey {units} END AS unit,
+       CASE {changed} {grown} {plain} ELSE 'x' END AS setting
+FROM {{nation}} c JOIN {{nation}} s ON c.n_nationkey % 1 = s.n_nationkey % 1 JOIN {{region}} r ON c.n_nationkey % 1 = r.r_regionkey % 1"""
 
 
 TEXTS: dict[str, str] = {
