@@ -144,8 +144,8 @@ def score_documents(
         )
 
     by_slice = dealt.frame.groupBy("slice")
-    replies = S.answers(by_slice.applyInArrow(ask_words, S.SENT), bits, (KEY_BYTES, _total))
+    replies = S.answers(by_slice.applyInArrow(ask_words, S.SENT), bits, _total)
     for _ in range(order - 1):
         asked = by_slice.cogroup(replies.groupBy("slice")).applyInArrow(ask_longer, S.SENT)
-        replies = S.answers(asked, bits, (KEY_BYTES, _total))
+        replies = S.answers(asked, bits, _total)
     return by_slice.cogroup(replies.groupBy("slice")).applyInArrow(score, RESULT)

@@ -9,8 +9,9 @@ slice, and the slice's texts are met by co-grouping on the one exchange that all
 
 from __future__ import annotations
 
+import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +27,18 @@ _REPLY_ARROW = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("reply
 
 @dataclass(frozen=True)
 class Slices:
-    """Documents with their slice number, and the number of bucket bits that suits their size."""
+    """Documents with their slice number and compressed text, and the number of bucket bits that suits their size."""
 
     frame: DataFrame
     bits: int
 
 
+def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = pa.array([zlib.compress(t.as_py().encode(), 1) for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("doc_id"), packed], names=["slice", "doc_id", "text"])
+
+
 def slice_documents(docs: DataFrame, slice_bytes: int, bucket_bytes: int) -> Slices:
     """Deal ``doc_id`` and ``text`` (null: empty) into slices of about ``slice_bytes`` of text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -39,7 +46,9 @@ def slice_documents(docs: DataFrame, slice_bytes: int, bucket_bytes: int) -> Sli
     count = max(1, -(-total // slice_bytes))
     bits = max(1, (total // bucket_bytes).bit_length())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return Slices(own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("slice"), "doc_id", "text"), bits)
+    dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("slice"), "doc_id", "text")
+    # Texts are compressed before they are shuffled, once for all the steps that read the exchange.
+    return Slices(dealt.mapInArrow(_compressed, "slice long, doc_id long, text binary"), bits)
 
 
 class Texts:
@@ -47,38 +56,42 @@ class Texts:
 
     def __init__(self, table: pa.Table):
         ids = table.column("doc_id").to_pylist()
-        column = table.column("text").combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-        raw = column.cast(pa.large_binary())
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i].as_py()))
-        raw = raw.take(pa.array(order, pa.int64()))
-        bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-        data = raw.buffers()[2]
-        whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        raw = [zlib.decompress(x.as_buffer()) for x in table.column("text")]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i]))
+        raw = [raw[i] for i in order]
         self.slice = table.column("slice")[0].as_py() if len(ids) else 0
         self.ids = [ids[i] for i in order]
-        self.buffer = whole[bounds[0] : bounds[-1]] if len(ids) else whole[:0]
-        self.ends = (bounds[1:] - bounds[0]).astype(np.int64)
-        self.starts = (bounds[:-1] - bounds[0]).astype(np.int64)
+        self.buffer = np.frombuffer(b"".join(raw), np.uint8)
+        length = np.array([len(x) for x in raw], np.int64)
+        self.ends = np.cumsum(length)
+        self.starts = self.ends - length
 
     def document(self, i: int) -> bytes:
         return self.buffer[self.starts[i] : self.ends[i]].tobytes()
 
 
-def pack(keys: np.ndarray, width: int) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def pack(keys: np.ndarray, bits: int, width: int) -> bytes:
+    """Sorted keys of one bucket, by the ``width`` bytes that follow their leading ``bits``.
+
+    Sent are the steps from key to key, by byte planes; the low planes, where steps are evenly spread, are sent as they are.
+    """
+    values = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * width)
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    plain = max(0, (int(values[-1]) // len(values)).bit_length() - 2) // 8
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return struct.pack("<IB", len(values), plain) + planes[:plain].tobytes() + zlib.compress(planes[plain:].tobytes(), 1)
 
 
-def unpack(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+def unpack(data: bytes) -> np.ndarray:
+    n, plain = struct.unpack_from("<IB", data)
+    start = 5 + n * plain
+    planes = np.frombuffer(data[5:start] + zlib.decompress(data[start:]), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
     """Whole numbers, compressed byte plane by byte plane: the high bytes of small numbers are runs of zeros."""
-    return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 6)
 
 
 def expand(data: bytes) -> np.ndarray:
@@ -104,7 +117,7 @@ def question(
     columns = [
         [(kind << bits) + int(b) for b in full],
         [slice_id] * len(full),
-        [pack(keys[at[b] : at[b + 1]], width) for b in full],
+        [pack(keys[at[b] : at[b + 1]], bits, width) for b in full],
         [None if extra is None else squeeze(extra[at[b] : at[b + 1]]) for b in full],
     ]
     if note is not None:
@@ -116,12 +129,11 @@ def question(
 Judge = Callable[[np.ndarray, np.ndarray | None, np.ndarray], np.ndarray]
 
 
-def answers(sent: DataFrame, bits: int, *judges: tuple[int, Judge]) -> DataFrame:
+def answers(sent: DataFrame, bits: int, *judges: Judge) -> DataFrame:
     """One reply for each row sent.
 
-    For each kind of question, the key width it was sent with and a judge, which gets all keys of a bucket, their values, and the slice
-    that sent each key, and returns a value per key. Truth values go back as bits, numbers compressed. Notes (negative buckets)
-    return unread.
+    For each kind of question a judge, which gets all keys of a bucket, their values, and the slice that sent each key, and returns a
+    value per key. Truth values go back as bits, numbers compressed. Notes (negative buckets) return unread.
     """
 
     def reply(table: pa.Table) -> pa.Table:
@@ -129,8 +141,8 @@ def answers(sent: DataFrame, bits: int, *judges: tuple[int, Judge]) -> DataFrame
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
             return pa.Table.from_arrays([slices, pa.array([-1] * len(table), pa.int64()), table.column("keys")], schema=_REPLY_ARROW)
-        width, judge = judges[bucket >> bits]
-        parts = [unpack(x, width) for x in table.column("keys").to_pylist()]
+        judge = judges[bucket >> bits]
+        parts = [unpack(x) for x in table.column("keys").to_pylist()]
         length = [len(p) for p in parts]
         extras = table.column("extra").to_pylist()
         extra = None if extras[0] is None else np.concatenate([expand(x) for x in extras])

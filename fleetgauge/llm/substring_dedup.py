@@ -116,7 +116,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, period: int = 7,
         return pa.table({name: pa.array(values, t) for (name, values), t in zip(rows.items(), types, strict=True)})
 
     by_slice = dealt.frame.groupBy("slice")
-    shared = S.answers(by_slice.applyInArrow(ask_anchors, S.SENT), bits, (ANCHOR_BYTES, S.in_two_places))
+    shared = S.answers(by_slice.applyInArrow(ask_anchors, S.SENT), bits, S.in_two_places)
     asked = by_slice.cogroup(shared.groupBy("slice")).applyInArrow(ask_windows, S.SENT)
-    later = S.answers(asked, bits, (8, _smaller_elsewhere))
+    later = S.answers(asked, bits, _smaller_elsewhere)
     return by_slice.cogroup(later.groupBy("slice")).applyInArrow(cut, RESULT)

@@ -110,7 +110,7 @@ def remove_repeated_strings(docs: DataFrame, window: int = 400, period: int = 18
         return pa.table({k: pa.array(c, ty) for k, c, ty in zip(names, columns, types, strict=True)})
 
     by_slice = dealt.frame.groupBy("slice")
-    tied = S.answers(by_slice.applyInArrow(ask_samples, S.SENT), bits, (SAMPLE_BYTES, S.in_two_places), (8, S.copies_elsewhere))
+    tied = S.answers(by_slice.applyInArrow(ask_samples, S.SENT), bits, S.in_two_places, S.copies_elsewhere)
     asked = by_slice.cogroup(tied.groupBy("slice")).applyInArrow(ask_suffixes, S.SENT)
-    repeated = S.answers(asked, bits, (8, S.in_two_places))
+    repeated = S.answers(asked, bits, S.in_two_places)
     return by_slice.cogroup(repeated.groupBy("slice")).applyInArrow(cut, RESULT)

@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+import numpy as np
+
 from fleetgauge.llm import lm_scoring, slices, substring_dedup, suffix_dedup
 from tests.llm import brute
 
@@ -80,3 +82,11 @@ def test_difference_covers():
     for period in (1, 2, 7, 13, 100, 181):
         cover = slices.difference_cover(period)
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(3)
+    for bits, width, n in ((1, 8, 1), (3, 8, 5000), (8, 6, 5000), (8, 5, 1), (20, 5, 300), (9, 6, 70000)):
+        keys = np.unique(rng.integers(0, 1 << (64 - bits), n, np.uint64)) | np.uint64(1 << (64 - bits))
+        got = slices.unpack(slices.pack(keys, bits, width))
+        assert (got == (keys << np.uint64(bits)) >> np.uint64(64 - 8 * width)).all()
