@@ -86,6 +86,47 @@ def test_check_connections(table, used, limit, score, pct):
     assert (row.score, row.metric, row.second_metric) == (score, pct, 3.0)
 
 
+def _at(table, day, **values):
+    return table("settings", *[{"name": n, "setting": v} for n, v in values.items()], key=("c0", f"2024-01-{day:02} 00:00:00"))
+
+
+def test_settings_count_as_of_the_moment(table):
+    history = _at(table, 2, max_connections="80", autovacuum="off").unionAll(_at(table, 5, max_connections="100")).unionAll(_at(table, 9, autovacuum="on"))
+    a = table("activity", {"pid": 1})
+    for day in (1, 3, 5, 6, 12):
+        a = a.unionAll(table("activity", {"pid": 1}, key=("c0", f"2024-01-{day:02} 07:00:00")))
+    a = a.unionAll(table("activity", {"pid": 1}, key=("other", "2024-01-03 00:00:00")))
+    # Before the first snapshot, and for a cluster without settings, the row stays and the limit is not known.
+    got = {(r.cluster_id, r.snapshot_ts.day): r.max_connections for r in S.connection_usage(a, history).collect()}
+    assert got == {("c0", 1): None, ("c0", 3): 80, ("c0", 5): 100, ("c0", 6): 100, ("c0", 10): 100, ("c0", 12): 100, ("other", 3): None}
+    on = {(r.cluster_id, r.snapshot_ts.day): r.autovacuum_enabled for r in M.autovacuum_status(history, a)["summary"].collect()}
+    assert [on["c0", d] for d in (1, 3, 6, 10, 12)] == [True, False, False, True, True] and on["other", 3] is True
+
+
+def test_health_score_ignores_repeated_settings(table):
+    a = table("activity", {"pid": 1})
+    empty = [table(n) for n in ("tables", "locks", "replication", "databases", "bgwriter")]
+    once = _at(table, 2, autovacuum="off", checkpoint_completion_target="0.5")
+    again = once.unionAll(_at(table, 3, autovacuum="off", checkpoint_completion_target="0.5")).unionAll(_at(table, 4, autovacuum="off"))
+
+    def score(settings):
+        return [r.score for r in H.health_checks(a, *empty, settings).filter("check_name = 'settings'").collect()]
+
+    assert score(once) == score(again) == [50]
+    assert score(again.unionAll(_at(table, 9, autovacuum="on"))) == [90]
+    # The newest values count where there is no moment to look up.
+    assert S.connection_usage(a.drop("snapshot_ts"), _at(table, 2, max_connections="80").unionAll(_at(table, 5, max_connections="100")), keys=["cluster_id"]).first().max_connections == 100
+
+
+def test_keyless_joins_are_no_cartesian_products(spark, table):
+    t, s = table("tables", {"relkind": "r", "schemaname": "public", "relname": "t", "xid_age": 199_999_999, "mxid_age": 1, "relminmxid": 1}), _settings(table, autovacuum_freeze_max_age="200000000", autovacuum_multixact_freeze_max_age="400000000")
+    d = table("databases", {"datname": "d", "temp_files": 1, "temp_bytes": 10})
+    for out in (M.freeze_prediction(t, s, keys=[], settings_keys=[]), P.temp_file_usage(d, keys=[])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert out.count() == 1
+
+
 def test_check_connections_needs_both_settings(table):
     a = table("activity", {"pid": 1})
     assert H.check_connections(a, _settings(table, max_connections="5")).count() == 0
@@ -372,9 +413,9 @@ def test_vacuum_history_cuts_never_first(table):
     rows = [(f"t{i:02d}", "2024-01-09 12:00:00") for i in range(50)] + [("never", None)]
     t = table("tables", *[{"schemaname": "public", "relkind": "r", "relname": n, "last_vacuum": v} for n, v in rows])
     out = M.vacuum_history(t)
-    assert out["summary"].first().asDict()["total_tables"] == 50
-    assert out["summary"].first().never_vacuumed == 0
-    assert out["findings"].count() == 0
+    # The list is cut, and never-vacuumed tables go first; the summary counts all tables.
+    assert out["summary"].first().asDict()["total_tables"] == 51
+    assert out["summary"].first().never_vacuumed == 1
 
 
 def test_autovacuum_defaults_and_busy(table):
