@@ -10,7 +10,9 @@ missed. Pairs of tiles that cannot hold a link are never built:
 * where links are verified by similarity, shingle counts in a ratio below the similarity rule a pair out as well, so a tile is a
   band of shingle counts and meets the next band. (Radii that fit a similarity of 0.8 are too wide for counts to rule much out.)
 
-A chunk pair returns a spanning forest of its links, nearest links first, never all pairs of a dense group.
+A chunk pair returns a spanning forest of its links, nearest links first, never all pairs of a dense group. Where links are
+verified, a forest's link may turn out false while one left out of the forest is true. So the groups with a false link are compared
+again, with what is already connected taken as one, and more forests are returned each time, until none is left out.
 """
 
 from __future__ import annotations
@@ -100,6 +102,22 @@ def forest(u: np.ndarray, v: np.ndarray, distance: np.ndarray, nodes: int) -> np
     return np.array(chosen, np.int64)
 
 
+def spanning(u: np.ndarray, v: np.ndarray, distance: np.ndarray, nodes: int, forests: int) -> np.ndarray:
+    """Indexes of so many spanning forests without a common link, each of the nearest links that the earlier ones left."""
+    rest, chosen = np.arange(len(u)), []
+    for _ in range(forests):
+        if not len(rest):
+            break
+        keep = rest[forest(u[rest], v[rest], distance[rest], nodes)]
+        chosen.append(keep)
+        rest = np.setdiff1d(rest, keep, assume_unique=True)
+        if len(rest) <= nodes * (forests - len(chosen)):
+            # No more than the forests to come could hold.
+            chosen.append(rest)
+            break
+    return np.concatenate(chosen) if chosen else rest
+
+
 def compare(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in ``a`` and ``b`` (rows of fingerprint words) and distances of all pairs within the radius."""
     found = []
@@ -116,19 +134,25 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def _compare_chunks(radius: int, words: int):
+def _compare_chunks(radius: int, words: int, forests: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids_a, ids_b, a, b = (np.asarray(batch.column(c)[row].values) for c in ("ids_a", "ids_b", "prints_a", "prints_b"))
+                ids_a, ids_b, groups_a, groups_b, a, b = (
+                    np.asarray(batch.column(c)[row].values) for c in ("ids_a", "ids_b", "groups_a", "groups_b", "prints_a", "prints_b")
+                )
                 a, b = a.view(np.uint64).reshape(-1, words), b.view(np.uint64).reshape(-1, words)
                 i, j, d = compare(a, b, radius)
-                nodes, place = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+                groups, place = np.unique(np.concatenate([groups_a, groups_b]), return_inverse=True)
                 u, v = place[: len(ids_a)][i], place[len(ids_a) :][j]
                 own = u != v
-                u, v, d = u[own], v[own], d[own]
-                keep = forest(u, v, d, len(nodes))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[u[keep]], pa.int64()), pa.array(nodes[v[keep]], pa.int64())], names=["u", "v"])
+                if ids_a[0] in ids_b:
+                    # A chunk with itself: each pair is met twice.
+                    own &= ids_a[i] < ids_b[j]
+                i, j, u, v, d = i[own], j[own], u[own], v[own], d[own]
+                keep = spanning(u, v, d, len(groups), forests)
+                more = pa.array(np.full(len(keep), len(keep) < len(u)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids_a[i[keep]], pa.int64()), pa.array(ids_b[j[keep]], pa.int64()), more], names=["u", "v", "more"])
 
     return run
 
@@ -146,32 +170,36 @@ def _tiles(items: DataFrame, radius: int, blocks: int, similarity: float | None)
     return items.withColumn("tile", F.array(*part)), offsets
 
 
-def links(items: DataFrame, radius: int, words: int = 1, blocks: int = 4, similarity: float | None = None) -> DataFrame:
-    """Links ``u``, ``v`` within the radius between the ``id`` of ``items`` (distinct ``id``, ``prints``, ``n``): a spanning forest of
-    each chunk pair. All words of a fingerprint count towards the radius."""
+def links(items: DataFrame, radius: int, words: int = 1, blocks: int = 4, similarity: float | None = None, forests: int = 1) -> DataFrame:
+    """Links ``u``, ``v`` within the radius between the ``id`` of ``items`` (distinct ``id``, ``prints``, ``n``): ``forests`` spanning
+    forests of each chunk pair, and whether it holds ``more``. All words of a fingerprint count towards the radius. Items of one
+    ``group`` (if there is such a column) are connected already."""
+    if "group" not in items.columns:
+        items = items.withColumn("group", F.col("id"))
     dealt, offsets = _tiles(items, radius, blocks, similarity)
     size = dealt.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    row = F.struct("id", "prints")
+    row = F.struct("id", "group", "prints")
     chunks = (
         dealt.join(size, "tile")
         .groupBy("tile", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
         .agg(F.collect_list(row).alias("rows"))
-        .select("tile", "chunk", F.col("rows.id").alias("ids"), F.flatten("rows.prints").alias("prints"))
+        .select("tile", "chunk", F.col("rows.id").alias("ids"), F.col("rows.group").alias("groups"), F.flatten("rows.prints").alias("prints"))
     )
     steps = F.array(*[F.array(*map(F.lit, o)) for o in offsets])
-    left = chunks.select("tile", F.col("chunk").alias("mine"), F.col("ids").alias("ids_a"), F.col("prints").alias("prints_a"))
+    left = chunks.select("tile", F.col("chunk").alias("mine"), F.col("ids").alias("ids_a"), F.col("groups").alias("groups_a"), F.col("prints").alias("prints_a"))
     # Only the addresses of chunks are multiplied by the offsets; a chunk's rows join when its partner is known to exist.
     address = size.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("tile", "mine", F.explode(steps).alias("step"))
     address = address.withColumn("other", F.zip_with("tile", "step", lambda a, b: a + b))
     partner = size.select(F.col("tile").alias("other"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("theirs"))
     pairs = address.join(partner, "other").filter((F.col("other") != F.col("tile")) | (F.col("theirs") >= F.col("mine"))).drop("step")
-    right = chunks.select(F.col("tile").alias("other"), F.col("chunk").alias("theirs"), F.col("ids").alias("ids_b"), F.col("prints").alias("prints_b"))
+    right = chunks.select(F.col("tile").alias("other"), F.col("chunk").alias("theirs"), F.col("ids").alias("ids_b"), F.col("groups").alias("groups_b"), F.col("prints").alias("prints_b"))
     both = pairs.join(left, ["tile", "mine"]).join(right, ["other", "theirs"])
-    return both.select("ids_a", "ids_b", "prints_a", "prints_b").mapInArrow(_compare_chunks(radius, words), "u long, v long")
+    columns = [f"{name}_{side}" for name in ("ids", "groups", "prints") for side in "ab"]
+    return both.select(*columns).mapInArrow(_compare_chunks(radius, words, forests), "u long, v long, more boolean")
 
 
 def _similarity(docs: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges between texts whose shingle multisets have at least the similarity (smaller over larger counts, summed)."""
+    """The edges, and whether the shingle multisets of their texts have the similarity (``good``; smaller over larger counts, summed)."""
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,22 +215,49 @@ def _similarity(docs: DataFrame, edges: DataFrame, shingle: int, similarity: flo
                 common = int(np.minimum(a[1][i], b[1][j]).sum())
                 total = int(a[1].sum() + b[1].sum()) - common
                 good.append(total == 0 or common >= similarity * total)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("u", "v")], names=["u", "v"])
+            columns = [batch.column(c) for c in ("u", "v", "more")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(good, pa.bool_())], names=["u", "v", "more", "good"])
 
     named = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = edges.select(F.col("u").alias("content")).unionByName(edges.select(F.col("v").alias("content"))).distinct()
     texts = named.join(wanted, "content", "left_semi").dropDuplicates(["content"]).mapInArrow(shingles, "content long, hashes array<long>")
     left = texts.select(F.col("content").alias("u"), F.col("hashes").alias("a"))
     right = texts.select(F.col("content").alias("v"), F.col("hashes").alias("b"))
-    return edges.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    return edges.join(left, "u").join(right, "v").select("u", "v", "more", "a", "b").mapInArrow(verify, "u long, v long, more boolean, good boolean")
+
+
+def verified_links(docs: DataFrame, items: DataFrame, radius: int, words: int, shingle: int, similarity: float, folder: str) -> DataFrame:
+    """Links ``u``, ``v`` that connect all that the links within the radius and of the similarity connect.
+
+    Each round writes its links below ``folder``. A link that was left out runs inside a group of the links returned. If those all
+    hold, it adds nothing; groups where one failed, and more were left out, go to the next round with eight times as many forests.
+    """
+    spark = docs.sparkSession
+    rest, forests, rounds = items, 1, 0
+    good = spark.createDataFrame([], "u long, v long")
+    while True:
+        here = f"{folder}/round-{rounds}"
+        links(rest, radius, words, similarity=similarity, forests=forests).write.parquet(f"{here}/proposed")
+        proposed = spark.read.parquet(f"{here}/proposed")
+        _similarity(docs, proposed, shingle, similarity).write.parquet(f"{here}/judged")
+        judged = spark.read.parquet(f"{here}/judged")
+        before, good = good, good.unionByName(judged.filter("good").select("u", "v"))
+        failed = judged.filter("more and not good").select(F.col("u").alias("node"))
+        if failed.isEmpty():
+            return good
+        reached = components(before.unionByName(proposed.select("u", "v")), f"{here}/reached")
+        again = reached.join(reached.join(failed, "node", "left_semi").select("root").distinct(), "root", "left_semi")
+        group = components(good, f"{here}/connected").select(F.col("node").alias("id"), F.col("root").alias("group"))
+        rest = items.join(again, F.col("id") == F.col("node"), "left_semi").join(group, "id", "left")
+        rest = rest.withColumn("group", F.coalesce("group", "id"))
+        forests, rounds = forests * 8, rounds + 1
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int | None = None, similarity: float | None = 0.8, blocks: int = 4) -> DataFrame:
     """Groups of documents whose fingerprints lie within a radius, or whose shingles are similar.
 
     With ``similarity`` (default 0.8 over five-word shingles), fingerprints of 256 bits within ``radius`` (default 64, which a pair at
-    similarity 0.8 exceeds once in ten thousand) propose links, which hold if the shingle multisets have the similarity. In a dense
-    group the nearest links are proposed. With ``similarity=None``, 64-bit fingerprints within ``radius`` (default 2) are links, all
+    similarity 0.8 exceeds once in ten thousand) propose links, which hold if the shingle multisets have the similarity. With ``similarity=None``, 64-bit fingerprints within ``radius`` (default 2) are links, all
     of them found.
 
     One row per input row: ``doc_id``, ``fingerprint`` (first 64 bits, 16 lowercase hex digits), ``component_id`` (the smallest
@@ -220,10 +275,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int | None = None
     item = F.col("prints")[0] if similarity is None else F.col("content")
     prints = prints.withColumn("id", item)
     items = prints.groupBy("id").agg(F.first("prints").alias("prints"), F.first("n").alias("n"), F.min("doc_id").alias("least"))
-    edges = links(items.drop("least"), radius, words, blocks, similarity)
-    if similarity is not None:
-        edges.write.parquet(f"{folder}/proposed")
-        edges = _similarity(docs, spark.read.parquet(f"{folder}/proposed"), shingle, similarity)
+    if similarity is None:
+        edges = links(items.drop("least"), radius, words, blocks)
+    else:
+        edges = verified_links(docs, items.drop("least"), radius, words, shingle, similarity, folder)
     roots = components(edges, f"{folder}/components")
     placed = items.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")

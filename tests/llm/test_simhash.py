@@ -89,6 +89,24 @@ def test_similarity_agrees_with_all_pairs(spark):
     assert {r.doc_id for r in kept.collect()} - {None} == {c for c in want if c is not None}
 
 
+def test_links_hidden_behind_false_ones(spark):
+    """Variants of one text around the similarity: nearest links are often false, and true ones are no part of the first forest."""
+    rng = random.Random(3)
+    rows = []
+    for size in (60, 120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(60):
+            words = list(base)
+            for at in rng.sample(range(size), size // 40 + rng.randint(0, 1)):
+                words[at] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [Counter(shingles(t, 5)) for _, t in rows]
+    want = grouped(rows, lambda i, j: (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total())
+    assert 2 < len(set(want)) < len(rows)
+    out = N.near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), radius=100)
+    assert sorted(tuple(r) for r in out.select("doc_id", "component_id").collect()) == list(zip(range(len(rows)), want, strict=True))
+
+
 @pytest.mark.parametrize("n", [3000])
 def test_tiles_miss_no_pair(spark, n):
     rng = np.random.default_rng(2)
