@@ -10,6 +10,9 @@ missed. Pairs of tiles that cannot hold a link are never built:
 * where links are verified by similarity, shingle counts in a ratio below the similarity rule a pair out as well, so a tile is a
   band of shingle counts and meets the next band. (Radii that fit a similarity of 0.8 are too wide for counts to rule much out.)
 
+Where links are verified, the repeats of a shingle are numbered and count as different elements. The similarity of two multisets is
+then that of two sets, to which the distance of fingerprints is tied, however often a line is repeated.
+
 A chunk pair returns a spanning forest of its links, nearest links first, never all pairs of a dense group. Where links are
 verified, a forest's link may turn out false while one left out of the forest is true. So the groups with a false link are compared
 again, with what is already connected taken as one, and more forests are returned each time, until none is left out.
@@ -17,6 +20,7 @@ again, with what is already connected taken as one, and more forests are returne
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import uuid
@@ -36,6 +40,10 @@ SEED = 42
 CHUNK = 4096
 #: Further words of a wide fingerprint take their bits from these re-mixed shingle hashes.
 SKETCH_WORDS = 4
+#: The share of pairs at the similarity whose fingerprints may lie beyond the radius.
+MISSED = 1e-8
+#: Up to so many shingles the radius is computed exactly; the chance that a bit differs falls from there on.
+EXACT_SHINGLES = 128
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -60,8 +68,62 @@ def fingerprint(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0]
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """``doc_id``, ``content`` (a hash of the text), ``n`` (shingles) and ``words`` fingerprint words as signed longs."""
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """The hashes, where the second and later of equal ones are mixed with their number, so that all are distinct."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    first = np.ones(len(ranked), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    place = np.arange(len(ranked))
+    number = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
+    out = hashes.copy()
+    out[order] = np.where(first, ranked, mix(ranked ^ mix(number)))
+    return out
+
+
+def bit_difference(common: int, most: int) -> np.ndarray:
+    """The chance that a fingerprint bit of two sets differs: they share ``common`` elements, and have 0 to ``most`` further ones each."""
+
+    def chances(n: int) -> np.ndarray:
+        return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+    share = chances(common)
+    lead = 2 * np.arange(common + 1) - common
+    # For each number of further elements and each lead of ones among the common ones: the chance that ones are over half.
+    over = np.array([((2 * np.arange(n + 1) - n)[None, :] > -lead[:, None]) @ chances(n) for n in range(most + 1)])
+    mean = over @ share
+    return mean[:, None] + mean[None, :] - 2 * (over * share) @ over.T
+
+
+def band(n: int, similarity: float) -> int:
+    return math.floor(math.log(max(n, 1)) / math.log(1 / similarity))
+
+
+@functools.cache
+def radii(similarity: float, words: int) -> list[int]:
+    """For each band of shingle counts, the last one standing for all above: the radius that a pair of the similarity exceeds with
+    a chance of ``MISSED`` at most, from the exact distribution of the distance in the worst case."""
+    worst = [0.0] * (band(EXACT_SHINGLES, similarity) + 1)
+    for common in range(1, EXACT_SHINGLES + 1):
+        most = math.floor(common * (1 / similarity - 1) + 1e-9)
+        difference = bit_difference(common, most)
+        for a in range(most + 1):
+            at = band(common + a, similarity)
+            if at < len(worst):
+                worst[at] = max(worst[at], float(difference[a, : most - a + 1].max()))
+    bits = 64 * words
+    out = []
+    for p in worst[:-1]:  # the last band is not whole
+        tail, radius = 0.0, bits
+        while radius and (tail := tail + math.comb(bits, radius) * p**radius * (1 - p) ** (bits - radius)) <= MISSED:
+            radius -= 1
+        out.append(radius)
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int, words: int, number: bool = False) -> DataFrame:
+    """``doc_id``, ``content`` (a hash of the text), ``n`` (shingles) and ``words`` fingerprint words as signed longs; with
+    ``number``, of the :func:`numbered` shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,6 +131,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
             for text in batch.column("text"):
                 h = shingle_hashes(text.as_py().encode(), shingle)
                 n.append(len(h))
+                h = numbered(h) if number else h
                 prints.append([fingerprint(h)] + [fingerprint(mix(h + np.uint64(i))) for i in range(1, words)])
             signed = pa.array(list(np.array(prints, np.uint64).reshape(-1, words).view(np.int64)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(n, pa.int64()), signed], names=["doc_id", "content", "n", "prints"])
@@ -123,18 +186,15 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     found = []
     for start in range(0, len(a), 128):
         part = a[start : start + 128]
-        distance = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0])
-        i, j = np.nonzero(distance <= radius)
-        d = distance[i, j].astype(np.int64)
+        distance = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0]).astype(np.uint16)
         for w in range(1, a.shape[1]):
-            d += np.bitwise_count(part[i, w] ^ b[j, w])
-            near = d <= radius
-            i, j, d = i[near], j[near], d[near]
-        found.append((i + start, j, d))
+            distance += np.bitwise_count(part[:, None, w] ^ b[None, :, w])
+        i, j = np.nonzero(distance <= radius)
+        found.append((i + start, j, distance[i, j].astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def _compare_chunks(radius: int, words: int, forests: int):
+def _compare_chunks(words: int, forests: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -142,7 +202,7 @@ def _compare_chunks(radius: int, words: int, forests: int):
                     np.asarray(batch.column(c)[row].values) for c in ("ids_a", "ids_b", "groups_a", "groups_b", "prints_a", "prints_b")
                 )
                 a, b = a.view(np.uint64).reshape(-1, words), b.view(np.uint64).reshape(-1, words)
-                i, j, d = compare(a, b, radius)
+                i, j, d = compare(a, b, batch.column("radius")[row].as_py())
                 groups, place = np.unique(np.concatenate([groups_a, groups_b]), return_inverse=True)
                 u, v = place[: len(ids_a)][i], place[len(ids_a) :][j]
                 own = u != v
@@ -157,11 +217,11 @@ def _compare_chunks(radius: int, words: int, forests: int):
     return run
 
 
-def _tiles(items: DataFrame, radius: int, blocks: int, similarity: float | None) -> tuple[DataFrame, list[tuple[int, ...]]]:
+def _tiles(items: DataFrame, radius: int | None, blocks: int, similarity: float | None) -> tuple[DataFrame, list[tuple[int, ...]]]:
     """Items with their tile (an array of coordinates), and the tile offsets that can hold links, one of each opposite pair."""
     if similarity is not None:
-        band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(1 / similarity))
-        return items.withColumn("tile", F.array(band.cast("int"))), [(0,), (1,)]
+        of_count = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(1 / similarity))
+        return items.withColumn("tile", F.array(of_count.cast("int"))), [(0,), (1,)]
     width = 64 // blocks
     mask = (1 << width) - 1
     part = [F.bit_count(F.shiftrightunsigned(F.col("prints")[0], width * b).bitwiseAND(F.lit(mask))).cast("int") for b in range(blocks)]
@@ -170,10 +230,10 @@ def _tiles(items: DataFrame, radius: int, blocks: int, similarity: float | None)
     return items.withColumn("tile", F.array(*part)), offsets
 
 
-def links(items: DataFrame, radius: int, words: int = 1, blocks: int = 4, similarity: float | None = None, forests: int = 1) -> DataFrame:
+def links(items: DataFrame, radius: int | None, words: int = 1, blocks: int = 4, similarity: float | None = None, forests: int = 1) -> DataFrame:
     """Links ``u``, ``v`` within the radius between the ``id`` of ``items`` (distinct ``id``, ``prints``, ``n``): ``forests`` spanning
-    forests of each chunk pair, and whether it holds ``more``. All words of a fingerprint count towards the radius. Items of one
-    ``group`` (if there is such a column) are connected already."""
+    forests of each chunk pair, and whether it holds ``more``. All words of a fingerprint count towards the radius; None stands
+    for the :func:`radii` of the similarity. Items of one ``group`` (if there is such a column) are connected already."""
     if "group" not in items.columns:
         items = items.withColumn("group", F.col("id"))
     dealt, offsets = _tiles(items, radius, blocks, similarity)
@@ -195,7 +255,13 @@ def links(items: DataFrame, radius: int, words: int = 1, blocks: int = 4, simila
     right = chunks.select(F.col("tile").alias("other"), F.col("chunk").alias("theirs"), F.col("ids").alias("ids_b"), F.col("groups").alias("groups_b"), F.col("prints").alias("prints_b"))
     both = pairs.join(left, ["tile", "mine"]).join(right, ["other", "theirs"])
     columns = [f"{name}_{side}" for name in ("ids", "groups", "prints") for side in "ab"]
-    return both.select(*columns).mapInArrow(_compare_chunks(radius, words, forests), "u long, v long, more boolean")
+    if radius is None:
+        by_band = radii(similarity, words)
+        # A pair of the similarity is within the radius of either band.
+        reach = F.array(*map(F.lit, by_band))[F.least(F.col("tile")[0], F.lit(len(by_band) - 1))]
+    else:
+        reach = F.lit(radius)
+    return both.select(*columns, reach.alias("radius")).mapInArrow(_compare_chunks(words, forests), "u long, v long, more boolean")
 
 
 def _similarity(docs: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -226,7 +292,7 @@ def _similarity(docs: DataFrame, edges: DataFrame, shingle: int, similarity: flo
     return edges.join(left, "u").join(right, "v").select("u", "v", "more", "a", "b").mapInArrow(verify, "u long, v long, more boolean, good boolean")
 
 
-def verified_links(docs: DataFrame, items: DataFrame, radius: int, words: int, shingle: int, similarity: float, folder: str) -> DataFrame:
+def verified_links(docs: DataFrame, items: DataFrame, radius: int | None, words: int, shingle: int, similarity: float, folder: str) -> DataFrame:
     """Links ``u``, ``v`` that connect all that the links within the radius and of the similarity connect.
 
     Each round writes its links below ``folder``. A link that was left out runs inside a group of the links returned. If those all
@@ -256,9 +322,10 @@ def verified_links(docs: DataFrame, items: DataFrame, radius: int, words: int, s
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int | None = None, similarity: float | None = 0.8, blocks: int = 4) -> DataFrame:
     """Groups of documents whose fingerprints lie within a radius, or whose shingles are similar.
 
-    With ``similarity`` (default 0.8 over five-word shingles), fingerprints of 256 bits within ``radius`` (default 64, which a pair at
-    similarity 0.8 exceeds once in ten thousand) propose links, which hold if the shingle multisets have the similarity. With ``similarity=None``, 64-bit fingerprints within ``radius`` (default 2) are links, all
-    of them found.
+    With ``similarity`` (default 0.8 over five-word shingles), fingerprints of 256 bits within ``radius`` propose links, which hold if
+    the shingle multisets have the similarity. The fingerprints are of the numbered shingles, and the default radius is that which a
+    pair at the similarity exceeds once in a hundred million, wider for texts of few shingles (:func:`radii`). With
+    ``similarity=None``, 64-bit fingerprints of the shingles with their repeats within ``radius`` (default 2) are links, all found.
 
     One row per input row: ``doc_id``, ``fingerprint`` (first 64 bits, 16 lowercase hex digits), ``component_id`` (the smallest
     ``doc_id`` reachable over links, itself included). A-Z are lower-cased; words are runs of characters other than space and the
@@ -267,10 +334,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int | None = None
     (null). Repeated rows share a group. Other columns are ignored. No documents give no rows.
     """
     words = 1 if similarity is None else SKETCH_WORDS
-    radius = (2 if similarity is None else 64) if radius is None else radius
+    radius = 2 if radius is None and similarity is None else radius
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/simhash-{uuid.uuid4().hex}"
-    fingerprints(docs, shingle, words).write.parquet(f"{folder}/prints")
+    fingerprints(docs, shingle, words, number=similarity is not None).write.parquet(f"{folder}/prints")
     prints = spark.read.parquet(f"{folder}/prints")
     item = F.col("prints")[0] if similarity is None else F.col("content")
     prints = prints.withColumn("id", item)

@@ -107,6 +107,43 @@ def test_links_hidden_behind_false_ones(spark):
     assert sorted(tuple(r) for r in out.select("doc_id", "component_id").collect()) == list(zip(range(len(rows)), want, strict=True))
 
 
+def test_repeated_lines_and_short_texts(spark):
+    """Pairs at the similarity of which one repeats a line, and pairs of four and five shingles."""
+    rng = random.Random(11)
+
+    def text(n):
+        return [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    pairs = []
+    for size, line, times in ((1000, 12, 15), (2000, 12, 35), (300, 1, 60)):
+        for _ in range(3):
+            base, repeated = text(size), text(line)
+            pairs.append((base, base + repeated * times))
+    for _ in range(1000):
+        base = text(8)
+        pairs.append((base, base + text(1)))
+    rows = [(2 * i + k, " ".join(words)) for i, pair in enumerate(pairs) for k, words in enumerate(pair)]
+    sets = [Counter(shingles(t, 5)) for _, t in rows]
+    want = []
+    for i in range(0, len(rows), 2):
+        similar = (sets[i] & sets[i + 1]).total() >= 0.8 * (sets[i] | sets[i + 1]).total()
+        want += [(i, i), (i + 1, i if similar else i + 1)]
+    assert all(least == doc // 2 * 2 for doc, least in want)
+    out = N.near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA))
+    assert sorted(tuple(r) for r in out.select("doc_id", "component_id").collect()) == want
+
+
+def test_radii():
+    """Against simulated sets: four common elements and one more, and many."""
+    rng = np.random.default_rng(1)
+    for common, a, b in ((4, 0, 1), (12, 1, 2), (80, 10, 10)):
+        h = [N.mix(rng.integers(0, 2**64, common + a + b, dtype=np.uint64)) for _ in range(2000)]
+        differ = [int(np.bitwise_count(N.fingerprint(x[: common + a]) ^ N.fingerprint(np.delete(x, np.s_[common : common + a])))) for x in h]
+        assert abs(np.mean(differ) / 64 - N.bit_difference(common, b)[a, b]) < 0.005
+    found = N.radii(0.8, 4)
+    assert max(found) < 100 and found[N.band(4, 0.8)] > found[-1] > 64
+
+
 @pytest.mark.parametrize("n", [3000])
 def test_tiles_miss_no_pair(spark, n):
     rng = np.random.default_rng(2)
