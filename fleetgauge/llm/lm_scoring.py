@@ -4,9 +4,10 @@ The n-gram counts of every order live in tables partitioned by the hash of the n
 documents explodes its texts into n-grams, sends each distinct one with its own count, and gets back the corpus counts, from which
 every token is scored and the scores are summed per document.
 
-An n-gram that occurs fewer than ``min_count`` times in the corpus counts as unseen, as usual for web-scale models; otherwise a
-document's own n-grams would all be seen and nothing would ever back off. Hence a longer n-gram needs to be asked for only where
-both of its shorter parts are seen, and orders go up one question at a time; this loses no seen n-gram.
+An n-gram that occurs fewer than ``min_count`` times in the corpus counts as unseen, an option for pruned models. With a
+``min_count`` of 1, as in the registered query, every n-gram counts; a document's own are then all seen, and nothing backs off. A
+longer n-gram needs to be asked for only where both of its shorter parts are seen, and orders go up one question at a time; this
+loses no seen n-gram.
 
 With c the counts, the score of a word is c(context word) / c(context) where the n-gram is seen, and ``backoff`` times the score
 with the context shortened by its first word where it is not; a single word scores c(word) / N, N being the words of the corpus.

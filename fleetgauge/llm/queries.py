@@ -86,7 +86,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query()
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+    """Every n-gram of the corpus counts; pruning is an option of the operator."""
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), min_count=1)
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 
 import numpy as np
 
-from fleetgauge.llm import lm_scoring, slices, substring_dedup, suffix_dedup
+from fleetgauge.llm import lm_scoring, queries, slices, substring_dedup, suffix_dedup
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string"
@@ -71,6 +71,16 @@ def test_lm_scores_agree_with_brute_force(spark, order, min_count):
     assert {r.n_words for r in out.filter("mean_log10 is null").collect()} == {0}
 
 
+def test_registered_lm_scoring_counts_every_ngram(spark, tmp_path):
+    rows = [(1, "a b c a b d"), (2, "a b c x"), (3, "once only here"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op8_lm_scoring"](spark, str(tmp_path)).collect()
+    want = {r[0]: r for r in brute.lm_scores(rows, min_count=1)}
+    assert {r.doc_id: r.n_words for r in out} == {d: r[1] for d, r in want.items()}
+    for r in out:
+        assert r.log10_score == pytest.approx(want[r.doc_id][2], abs=1e-9)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for build in (substring_dedup.remove_repeated_passages, suffix_dedup.remove_repeated_strings, lm_scoring.score_documents):
