@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores of all documents under the n-gram counts of the whole corpus.
 
-The n-gram counts of every order live in tables partitioned by the hash of the n-gram (the buckets of :mod:`slices`). A slice of
+The n-gram counts of every order are made in buckets of the n-grams' hashes (:mod:`slices`); no count table is kept. A slice of
 documents explodes its texts into n-grams, sends each distinct one with its own count, and gets back the corpus counts, from which
 every token is scored and the scores are summed per document.
 
