@@ -43,7 +43,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    out = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), pairs=True)
     base = F.sha2(secret_scan.as_text("base"), 256).alias("base_sha256")
     return out.select("doc_id", "n_assign", "n_access", "n_hex", base, secret_scan.as_text("spans").alias("spans"))
 

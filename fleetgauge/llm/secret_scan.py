@@ -2,7 +2,8 @@
 
 Three base patterns are reported wherever they match. Weak candidates (a name that may be a login, an unmarked random-looking string,
 an address) mean little alone: an interval join of the parts of a document reports one only if parts of both other roles
-(identifier, secret, endpoint; base matches play roles, too) start within ``scope`` characters of it. The join meets, per role and bin
+(identifier, secret, endpoint; base matches play roles, too) start within ``scope`` characters of it. With ``pairs``, as in the
+registered query, an identifier and a secret complement each other without an endpoint. The join meets, per role and bin
 of ``scope`` characters, the first and last start, so its size is linear in the parts however dense they are.
 """
 
@@ -29,7 +30,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 # Weak candidates.
 _ID = re.compile(r"""(?<![a-z_])(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.ASCII | re.IGNORECASE)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 _ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])""")
 _MARKS = ("passw", "secret", "token", "api")
 
@@ -93,8 +94,9 @@ def _matched(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, id long, content long, base array<{_SPAN}>, weak array<{_SPAN}>")
 
 
-def linked_spans(found: DataFrame, scope: int) -> DataFrame:
-    """The weak candidates (``id``, ``content``, ``begin``, ``kind``, ``end``) with parts of both other roles within the scope."""
+def linked_spans(found: DataFrame, scope: int, pairs: bool = False) -> DataFrame:
+    """The weak candidates (``id``, ``content``, ``begin``, ``kind``, ``end``) with parts of both other roles within the scope; with
+    ``pairs``, identifiers with a secret and secrets with an identifier, too."""
     role = F.element_at(F.array(*[F.lit(ROLES[k]) for k in KINDS]), F.col("part.kind") + 1)
     exploded = found.filter(F.size("weak") > 0).select("id", "content", F.explode(F.concat("base", "weak")).alias("part")).distinct()
     parts = exploded.select("id", "content", "part.*", role.alias("role"), F.expr(f"part.begin div {scope}").alias("bin"))
@@ -105,10 +107,12 @@ def linked_spans(found: DataFrame, scope: int) -> DataFrame:
     asked = asked.withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)))
     met = asked.join(bins, ["id", "content", "bin", "role"]).filter((F.col("first") <= F.col("begin") + scope) & (F.col("last") >= F.col("begin") - scope))
     span = ("id", "content", "begin", "kind", "end")
-    return met.groupBy(*span).agg(F.countDistinct("role").alias("roles")).filter("roles = 2").select(*span)
+    linked = met.groupBy(*span, "own").agg(F.countDistinct("role").alias("roles"), F.max(F.col("role") != "endpoint").alias("paired"))
+    enough = (F.col("roles") == 2) | (F.lit(pairs) & F.col("paired") & (F.col("own") != "endpoint"))
+    return linked.filter(enough).select(*span)
 
 
-def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
+def scan_secrets(docs: DataFrame, scope: int = 200, pairs: bool = False) -> DataFrame:
     """Secrets of every whole text: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and ``spans``.
 
     ``base`` are the base matches and ``spans`` all reported ones, as arrays of (begin, kind number, end) in code points, end
@@ -120,7 +124,7 @@ def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     _matched(docs).write.parquet(store)
     found = spark.read.parquet(store)
     span = F.struct("begin", "kind", "end")
-    linked = linked_spans(found, scope).groupBy("id", "content").agg(F.collect_list(span).alias("linked"))
+    linked = linked_spans(found, scope, pairs).groupBy("id", "content").agg(F.collect_list(span).alias("linked"))
     spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(f"array<{_SPAN}>"))))
 
     def number(kind: int):
