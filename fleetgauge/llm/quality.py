@@ -1,13 +1,14 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed features, one of the target text (documents labelled good) and one of the raw text (all
-documents), give every document a log importance weight; the documents with the largest weights, perturbed by Gumbel noise, are the
+Generative models over hashed features, of the target text (documents labelled good), the raw text (all documents) and the rejected
+text (documents labelled otherwise), give every document a log importance weight, target over raw plus raw over rejected; the documents with the largest weights, perturbed by Gumbel noise, are the
 sample (Gumbel top-k, that is, sampling without replacement in proportion to the weights).
 
 A feature is an n-gram of tokens (runs of letters and digits, or of other visible characters; A-Z in lower case), or the text's shape:
 length, share of distinct tokens, of repeated neighbours and of punctuation, each in bands. A document counts a feature once, so no
-long document makes a word common. Features whose target count lies within chance of the raw rate get no weight: nearly all rare
-n-grams, which would otherwise add up to noise in long documents.
+long document makes a word common. Each log ratio shrinks, the less its count stands out from chance the more: by z**4 / (z**4 +
+SHRINK**4) at z standard errors, and likewise the closer it is to zero, by r**8 / (r**8 + 1) at a ratio of e**r. So the many rare or
+common n-grams do not add up to noise in long documents, and none is cut.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from fleetgauge.session import shared_dir
 
 BITS = 20
 _CHUNK_BITS = 10
+#: The standard errors at which a log ratio counts by half.
+SHRINK = 3.0
 #: Bytes by kind: 0 space, 1 letters, digits and all non-ASCII, 2 the rest.
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -100,57 +103,72 @@ class Model:
         return log_weight(text)
 
 
+def shrunk(count: np.ndarray, raw: np.ndarray, rows: int, all_rows: int) -> np.ndarray:
+    """The shrunk log ratio of the counts in a sample of ``rows`` documents to the raw counts."""
+    expected = raw * rows / all_rows
+    ratio = np.log((count + 0.5) / (expected + 0.5))
+    z4 = ((count - expected) ** 2 / (expected + 1)) ** 2
+    return ratio * ratio**8 / (ratio**8 + 1) * z4 / (z4 + SHRINK**4)
+
+
 def fit(docs: DataFrame, labels: DataFrame, order: int = 1, max_labelled: int = 200_000, seed: int = 0) -> Model:
-    """Fit both models. Raw counts cover every document.
+    """Fit the models. Raw counts cover every document.
 
-    The target is at most ``max_labelled`` good documents (quality 1, not toxic, by all their labels), chosen by a hash of the id; their
-    ids are sent to all tasks. A feature gets a weight if its target count differs from the raw rate by three standard errors and by a
-    factor of e.
+    The target is at most ``max_labelled`` good documents (quality 1, not toxic, by all their labels), the rejects as many of those with
+    a label of quality 0 or toxic, chosen by a hash of the id; their ids are sent to all tasks. The weight of a feature is its
+    :func:`shrunk` log ratio of target to raw less that of rejects to raw.
     """
     verdict = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = verdict.filter("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0")
-    target = good.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_labelled).select("doc_id", F.lit(True).alias("good"))
+    bad = verdict.filter("doc_id is not null and (quality = 0 or toxic = 1)")
+
+    def chosen(some: DataFrame, kind: int) -> DataFrame:
+        return some.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_labelled).select("doc_id", F.lit(kind).alias("kind"))
+
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # At most max_labelled ids.
-    marked = own.join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # At most max_labelled ids of either kind.
+    labelled = F.broadcast(chosen(good, 1).unionByName(chosen(bad, 2)))
+    marked = own.join(labelled, "doc_id", "left").select("text", F.coalesce("kind", F.lit(0)).alias("kind"))
     chunks = 1 << (BITS - _CHUNK_BITS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, aim = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-        rows = good_rows = 0
+        raw, aim, bad = (np.zeros(1 << BITS, np.int32) for _ in range(3))
+        rows = good_rows = bad_rows = 0
         for batch in batches:
-            is_good = batch.column("good").to_numpy(zero_copy_only=False)
-            rows, good_rows = rows + len(is_good), good_rows + int(is_good.sum())
+            kind = batch.column("kind").to_numpy(zero_copy_only=False)
+            rows, good_rows, bad_rows = rows + len(kind), good_rows + int((kind == 1).sum()), bad_rows + int((kind == 2).sum())
             for a, b, buffer, ends in byte_pieces(batch.column("text")):
                 doc, number = features(buffer, ends, order)
-                raw += np.bincount(number, minlength=1 << BITS).astype(np.int32)
-                aim += np.bincount(number[is_good[a:b][doc]], minlength=1 << BITS).astype(np.int32)
+                own_kind = kind[a:b][doc]
+                for counts, some in ((raw, number), (aim, number[own_kind == 1]), (bad, number[own_kind == 2])):
+                    counts += np.bincount(some, minlength=1 << BITS).astype(np.int32)
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(chunks), pa.int32()),
                     pa.array([x.tobytes() for x in raw.reshape(chunks, -1)], pa.binary()),
                     pa.array([x.tobytes() for x in aim.reshape(chunks, -1)], pa.binary()),
+                    pa.array([x.tobytes() for x in bad.reshape(chunks, -1)], pa.binary()),
                     pa.array([rows] * chunks, pa.int64()),
                     pa.array([good_rows] * chunks, pa.int64()),
+                    pa.array([bad_rows] * chunks, pa.int64()),
                 ],
-                names=["chunk", "raw", "aim", "rows", "good_rows"],
+                names=["chunk", "raw", "aim", "bad", "rows", "good_rows", "bad_rows"],
             )
 
     def weigh(table: pa.Table) -> pa.Table:
-        raw, aim = (sum(np.frombuffer(x, np.int32).astype(np.float64) for x in table.column(c).to_pylist()) for c in ("raw", "aim"))
-        rows, good_rows = (sum(table.column(c).to_pylist()) for c in ("rows", "good_rows"))
-        expected = raw * good_rows / rows
-        weight = np.log((aim + 0.5) / (expected + 0.5))
-        clear = (np.abs(aim - expected) >= 3 * np.sqrt(expected + 1)) & (np.abs(weight) >= 1) & (good_rows > 0)
-        number = np.flatnonzero(clear)
-        base = table.column("chunk")[0].as_py() << _CHUNK_BITS
-        return pa.table({"feature": pa.array(number + base, pa.int64()), "weight": pa.array(weight[number], pa.float64())})
+        raw, aim, bad = (sum(np.frombuffer(x, np.int32).astype(np.float64) for x in table.column(c).to_pylist()) for c in ("raw", "aim", "bad"))
+        rows, good_rows, bad_rows = (sum(table.column(c).to_pylist()) for c in ("rows", "good_rows", "bad_rows"))
+        weight = shrunk(aim, raw, good_rows, rows) - shrunk(bad, raw, bad_rows, rows)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "weight": pa.array([weight.astype("<f8").tobytes()], pa.binary())})
 
-    counted = marked.mapInArrow(count, "chunk int, raw binary, aim binary, rows long, good_rows long")
-    found = counted.groupBy("chunk").applyInArrow(weigh, "feature long, weight double").collect()  # at most 2**BITS, by construction
-    found.sort()
-    return Model(np.array([r.feature for r in found], np.int64), np.array([r.weight for r in found], np.float64), order)
+    counted = marked.mapInArrow(count, "chunk int, raw binary, aim binary, bad binary, rows long, good_rows long, bad_rows long")
+    found = counted.groupBy("chunk").applyInArrow(weigh, "chunk int, weight binary").collect()  # 2**BITS numbers in all
+    dense = np.zeros((chunks, 1 << _CHUNK_BITS))
+    for r in found:
+        dense[r.chunk] = np.frombuffer(r.weight, "<f8")
+    feature = np.flatnonzero(dense)
+    return Model(feature, dense.reshape(-1)[feature], order)
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
@@ -196,7 +214,7 @@ def sample_quality(docs: DataFrame, labels: DataFrame, seed: int = 0, **options)
     """Fit on ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``quality``, ``toxic``), then :func:`resample`.
 
     A null text counts as empty and is scored like any other; a null ``doc_id`` has no label. Labels of no document, null labels and
-    repeated labels are allowed (a document is good if all its labels say so). Without good labels no feature has a weight and all
+    repeated labels are allowed (a document is good if all its labels say so). Without labels no feature has a weight and all
     documents stay. Repeated rows get one key, so they stay or go together. No documents give no rows.
     """
     return resample(docs, fit(docs, labels, seed=seed), seed=seed, **options)

@@ -34,6 +34,18 @@ def test_held_out_accuracy(spark):
     assert all(i not in kept for i in held_out if not truth[i])
 
 
+@pytest.mark.parametrize(("sf", "at_most"), [("sf0.001", 2), ("sf0.01", 0)])
+def test_planted_toxic_words_go(spark, sf, at_most):
+    """Also from small tables. The two that may stay of sf0.001's nine have a single such word, seen in few labelled documents."""
+    words = r"\\b(disgusting|scum|moron|loser|clown|worthless|trash|pathetic|stupid|idiot)\\b"
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    planted = {r.doc_id for r in docs.filter(F.expr(f"lower(text) rlike '{words}'")).select("doc_id").collect()}
+    kept = {r.doc_id for r in Q.resample(docs, Q.fit(docs, labels), temperature=1e-6).select("doc_id").collect()}
+    good = {r.doc_id for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").collect()}
+    assert len(planted) >= 9 and len(planted & kept) <= at_most
+    assert len(good & kept) >= 0.99 * len(good)
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(0)
     values = [int(x) for x in rng.integers(-(2**62), 2**62, 500)] + [5, 5, 5, -1, 0, 2**63 - 1, -(2**63)]
