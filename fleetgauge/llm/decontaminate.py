@@ -19,6 +19,8 @@ SHINGLE = 5
 BLOCKS = 8
 _LANES = 16
 _LANE_ONES = 0x0001000100010001
+#: So many hashes fit the 16-bit lanes; more are counted bit by bit.
+LANE_LIMIT = 0xFFFF
 #: More distinct shingles than this are joined without being broadcast (16 bytes each).
 BROADCAST_SHINGLES = 500_000
 
@@ -36,7 +38,21 @@ def shingles(tokens: str, size: int) -> Column:
 
 
 def simhash(hashes: str) -> Column:
-    """The bits set in over half of the hashes. Counts are kept in 16-bit lanes, so at most 65,535 hashes."""
+    """The bits set in over half of the hashes. Counts are kept in 16-bit lanes, those of more than ``LANE_LIMIT`` hashes as 64 numbers."""
+    return F.when(F.size(hashes) <= LANE_LIMIT, _simhash_in_lanes(hashes)).otherwise(_simhash_of_many(hashes))
+
+
+def _simhash_of_many(hashes: str) -> Column:
+    """Bit by bit, each with a counter of its own."""
+
+    def bit(p: Column) -> Column:
+        count = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, p).bitwiseAND(F.lit(1).cast("long")))
+        return F.call_function("shiftleft", F.when(count * 2 > F.size(hashes), F.lit(1)).otherwise(F.lit(0)).cast("long"), p)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda f, p: f.bitwiseOR(bit(p)))
+
+
+def _simhash_in_lanes(hashes: str) -> Column:
     lanes = F.transform(
         F.sequence(F.lit(0), F.lit(_LANES - 1)),
         lambda j: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(_LANE_ONES))),
@@ -129,9 +145,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = 23, similari
     rows = _keyed(docs).withColumn("tokens", words(F.col("text")))
     tokens = benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("n", F.size("tokens")).filter("n > 0")
     tokens = tokens.withColumn("size", F.least(F.col("n"), F.lit(SHINGLE)))
-    longest = tokens.agg(F.max("n")).first()[0] or 0
-    if longest - SHINGLE + 1 > 0xFFFF:
-        raise ValueError("benchmark items of more than 65,535 shingles do not fit the counters")
     sizes = [r["size"] for r in tokens.select("size").distinct().orderBy("size").collect()]  # at most SHINGLE values
     found = []
     for size in sizes or [SHINGLE]:

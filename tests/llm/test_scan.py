@@ -142,6 +142,17 @@ def test_leaks(spark):
     assert D.find_leaks(docs.limit(0), benchmark).count() == 0 and D.clean_documents(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_items_beyond_the_lanes(spark, monkeypatch):
+    rows, items = leaks()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((tuple(r) for r in D.find_leaks(frame(spark, rows), benchmark).collect()), key=repr)
+    monkeypatch.setattr(D, "LANE_LIMIT", 8)
+    assert sorted((tuple(r) for r in D.find_leaks(frame(spark, rows), benchmark).collect()), key=repr) == want and want
+    monkeypatch.undo()
+    many = spark.range(1).selectExpr("transform(sequence(1, 70000), i -> if(i <= 69000, 5L, 2L)) AS hashes")
+    assert many.select(D.simhash("hashes")).first()[0] == 5
+
+
 def test_leaks_run_no_python(spark):
     rows, items = leaks()
     plan = D.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
