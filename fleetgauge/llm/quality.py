@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
-Generative models over hashed features, of the target text (documents labelled good), the raw text (all documents) and the rejected
-text (documents labelled otherwise), give every document a log importance weight, target over raw plus raw over rejected; the documents with the largest weights, perturbed by Gumbel noise, are the
-sample (Gumbel top-k, that is, sampling without replacement in proportion to the weights).
+Generative models over hashed n-grams, of the target text (documents labelled good) and the raw text (all documents), give every
+document a log importance weight, target over raw. A third model, of the documents labelled otherwise, is the prior of what the target
+is not: its log ratio, rejected over raw, is subtracted. The documents with the largest log weights, perturbed by Gumbel noise, are
+the sample (Gumbel top-k, that is, sampling without replacement in proportion to the weights).
 
 A feature is an n-gram of tokens (runs of letters and digits, or of other visible characters; A-Z in lower case), or the text's shape:
 length, share of distinct tokens, of repeated neighbours and of punctuation, each in bands. A document counts a feature once, so no
@@ -14,21 +15,23 @@ common n-grams do not add up to noise in long documents, and none is cut.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.hashing import BYTE_VALUES, mix, prefix, runs
 from fleetgauge.llm.textio import byte_pieces
+from fleetgauge.llm.topk import kth_largest
 from fleetgauge.session import shared_dir
 
 BITS = 20
 _CHUNK_BITS = 10
+#: Bytes of text whose features are made at once: several numbers of 8 bytes for each byte.
+_PIECE = 256 << 10
 #: The standard errors at which a log ratio counts by half.
 SHRINK = 3.0
 #: Bytes by kind: 0 space, 1 letters, digits and all non-ASCII, 2 the rest.
@@ -86,19 +89,19 @@ class Model:
     weight: np.ndarray
     order: int
 
-    def column(self, text: Column) -> Column:
-        """The log importance weight of a text."""
-        feature, weight, order = self.feature, self.weight, self.order
+    def column(self, spark: SparkSession, text: Column) -> Column:
+        """The log importance weight of a text. The table of all ``2**BITS`` weights (8 MB) is broadcast."""
+        order, dense = self.order, np.zeros(1 << BITS)
+        dense[self.feature] = self.weight
+        shared = spark.sparkContext.broadcast(dense)
 
-        @F.pandas_udf("double")
-        def log_weight(texts: pd.Series) -> pd.Series:
-            dense = np.zeros(1 << BITS)
-            dense[feature] = weight
+        @F.arrow_udf("double")
+        def log_weight(texts: pa.Array) -> pa.Array:
             out = np.zeros(len(texts))
-            for a, b, buffer, ends in byte_pieces(pa.array(texts, pa.string())):
+            for a, b, buffer, ends in byte_pieces(texts, _PIECE):
                 doc, number = features(buffer, ends, order)
-                out[a:b] = np.bincount(doc, weights=dense[number], minlength=b - a)
-            return pd.Series(out)
+                out[a:b] = np.bincount(doc, weights=shared.value[number], minlength=b - a)
+            return pa.array(out)
 
         return log_weight(text)
 
@@ -123,25 +126,28 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 1, max_labelled: int =
     bad = verdict.filter("doc_id is not null and (quality = 0 or toxic = 1)")
 
     def chosen(some: DataFrame, kind: int) -> DataFrame:
-        return some.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_labelled).select("doc_id", F.lit(kind).alias("kind"))
+        keyed = some.withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+        cut = kth_largest(keyed, max_labelled)
+        return (keyed if cut is None else keyed.filter(F.col("key") >= F.lit(cut))).select("doc_id", F.lit(kind).alias("kind"))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # At most max_labelled ids of either kind.
+    # At most max_labelled ids of either kind (and any with the hash at the cut).
     labelled = F.broadcast(chosen(good, 1).unionByName(chosen(bad, 2)))
     marked = own.join(labelled, "doc_id", "left").select("text", F.coalesce("kind", F.lit(0)).alias("kind"))
     chunks = 1 << (BITS - _CHUNK_BITS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, aim, bad = (np.zeros(1 << BITS, np.int32) for _ in range(3))
+        raw, aim, bad = (np.zeros(1 << BITS, np.int64) for _ in range(3))
         rows = good_rows = bad_rows = 0
         for batch in batches:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
             rows, good_rows, bad_rows = rows + len(kind), good_rows + int((kind == 1).sum()), bad_rows + int((kind == 2).sum())
-            for a, b, buffer, ends in byte_pieces(batch.column("text")):
+            for a, b, buffer, ends in byte_pieces(batch.column("text"), _PIECE):
                 doc, number = features(buffer, ends, order)
                 own_kind = kind[a:b][doc]
                 for counts, some in ((raw, number), (aim, number[own_kind == 1]), (bad, number[own_kind == 2])):
-                    counts += np.bincount(some, minlength=1 << BITS).astype(np.int32)
+                    if len(some):
+                        counts += np.bincount(some, minlength=1 << BITS)
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -157,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 1, max_labelled: int =
             )
 
     def weigh(table: pa.Table) -> pa.Table:
-        raw, aim, bad = (sum(np.frombuffer(x, np.int32).astype(np.float64) for x in table.column(c).to_pylist()) for c in ("raw", "aim", "bad"))
+        raw, aim, bad = (sum(np.frombuffer(x, np.int64).astype(np.float64) for x in table.column(c).to_pylist()) for c in ("raw", "aim", "bad"))
         rows, good_rows, bad_rows = (sum(table.column(c).to_pylist()) for c in ("rows", "good_rows", "bad_rows"))
         weight = shrunk(aim, raw, good_rows, rows) - shrunk(bad, raw, bad_rows, rows)
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "weight": pa.array([weight.astype("<f8").tobytes()], pa.binary())})
@@ -171,42 +177,31 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 1, max_labelled: int =
     return Model(feature, dense.reshape(-1)[feature], order)
 
 
-def kth_largest(keys: DataFrame, k: int) -> int | None:
-    """The k-th largest value of the long column ``key``, found by counting leading bits (at most 2**16 counts a pass)."""
-    if k < 1:
-        return None
-    low = None
-    for shift in (48, 36, 24, 12, 0):
-        scope = keys if low is None else keys.filter(F.shiftright("key", shift + 12) == F.lit(low))
-        counts = scope.groupBy(F.shiftright("key", shift).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("part")).collect()
-        for low, n in counts:
-            if k <= n:
-                break
-            k -= n
-        else:
-            return None
-    return low
-
-
-def resample(docs: DataFrame, model: Model, k: int | None = None, reject_below: float = -2.0, temperature: float = 0.1, seed: int = 0) -> DataFrame:
-    """The sampled rows with all their columns, ``log_weight`` and ``sample_key``: the ``k`` largest keys (ties at the cut stay).
-
-    The key is the log weight over ``temperature`` plus Gumbel noise that is a function of id, text and ``seed``. By default ``k`` is the
-    number of documents with a log weight of at least ``reject_below``. Existing columns of the two names are replaced.
-    """
-    text = F.coalesce("text", F.lit(""))
-    weight = model.column(text)
+def sample_key(text: Column, temperature: float, seed: int | Column) -> Column:
+    """The log weight over ``temperature`` plus Gumbel noise, as a whole number, so that all passes agree whatever the order of additions."""
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", text, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    noise = -F.log(-F.log(uniform))
-    # As a whole number, so that both passes agree whatever the order of additions.
-    key = F.round((F.round(F.col("log_weight"), 6) / temperature + noise) * (1 << 20)).cast("long")
-    scored = docs.withColumn("log_weight", weight).withColumn("sample_key", key)
+    return F.round((F.round(F.col("log_weight"), 6) / temperature - F.log(-F.log(uniform))) * (1 << 20)).cast("long")
+
+
+def resample(docs: DataFrame, model: Model, k: int | None = None, reject_below: float = -2.0, temperature: float = 1.0, seed: int = 0, columns: Sequence[str] | None = None) -> DataFrame:
+    """The sampled rows with their ``columns`` (default: all), ``log_weight`` and ``sample_key``: the ``k`` largest keys (ties at the
+    cut stay).
+
+    The key is the log weight over ``temperature`` plus Gumbel noise that is a function of id, text and ``seed``; at 1 documents are
+    drawn without replacement in proportion to their weights. By default ``k`` is the number of documents with a log weight of at
+    least ``reject_below``. Existing columns of the two names are replaced. Every text is scored once: the rows are kept with their
+    keys below the shared folder, and cut there.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    weight = model.column(docs.sparkSession, text)
+    scored = docs.withColumn("log_weight", weight).withColumn("sample_key", sample_key(text, temperature, seed))
     store = f"{shared_dir(docs.sparkSession)}/quality-{uuid.uuid4().hex}"
-    scored.select("log_weight", F.col("sample_key").alias("key")).write.parquet(store)
-    keys = docs.sparkSession.read.parquet(store)
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in ("log_weight", "sample_key")]
+    scored.select(*kept, "log_weight", "sample_key").write.parquet(store)
+    scored = docs.sparkSession.read.schema(scored.select(*kept, "log_weight", "sample_key").schema).parquet(store)
     if k is None:
-        k = keys.filter(F.col("log_weight") >= reject_below).count()
-    cut = kth_largest(keys, k)
+        k = scored.filter(F.col("log_weight") >= reject_below).count()
+    cut = kth_largest(scored.select(F.col("sample_key").alias("key")), k)
     return scored.filter(F.lit(False) if cut is None else F.col("sample_key") >= F.lit(cut))
 
 
