@@ -4,8 +4,9 @@ The corpus' frequent words (pre-tokens) are compiled, with their ids, into a min
 shared folder, handed to all executors as a file by Spark and memory-mapped by their workers. Words that are not in it are merged
 exactly, many at a time.
 
-Texts are cut before every space that stands between two visible characters; no pre-token crosses such a place and none depends on
-the other side, so a piece has the same ids wherever it occurs, and each worker remembers the pieces it met last.
+Texts are cut into units before every space that stands between two visible characters; no pre-token crosses such a place and none
+depends on the other side, so a unit has the same ids wherever it occurs. The units of a run of texts are numbered once, each worker
+remembers those it met last, and texts are put together by number.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,13 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.lexicon import Lexicon, build
+from fleetgauge.llm.topk import kth_largest
+from fleetgauge.llm.words import numbered_units, text_runs
 from fleetgauge.session import shared_dir
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: The same for units of printable ASCII and Latin-1 letters, which need no Unicode classes.
+_PLAIN = re.compile(rf"[ -~{_LETTERS}]*")
+_PLAIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _NONE = np.iinfo(np.int32).max
 REMEMBERED = 250_000
+#: Distinct units a task counts before it sends them; bytes of text handled at once.
+COUNTED = 500_000
+RUN_BYTES = 2 << 20
 _WIDE = 32
 
 
@@ -71,7 +80,7 @@ class Vocabulary:
     def pre_tokens(self, text: str) -> list[str]:
         """The pre-tokens of a text; special strings are tokens of their own."""
         if self.specials is None or not self.specials.search(text):
-            return self.pattern.findall(text)
+            return (_PLAIN_PATTERN if _PLAIN.fullmatch(text) else self.pattern).findall(text)
         out = []
         for part in self.specials.split(text):
             out += [part] if part in self.special else self.pattern.findall(part)
@@ -165,17 +174,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def pieces(text: str) -> list[str]:
-    """The pieces of a text; all but the first follow a space that is not part of them."""
-    parts = text.split(" ")
-    for part in parts:
-        if not part or part[0].isspace() or part[-1].isspace():
-            return _SAFE.split(text)
-    return parts
-
-
 class Coder:
-    """Ids and decoded bytes of pieces: remembered, looked up in the lexicon, or merged."""
+    """Ids and decoded bytes of units: remembered, looked up in the lexicon, or merged."""
 
     def __init__(self, path: str, lexicon: str | None):
         self.vocabulary = vocabulary(path)
@@ -183,15 +183,15 @@ class Coder:
         self.memory: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
 
-    def learn(self, units: Iterable[str]) -> None:
-        """Encode units (pieces with the space before them) that are not in memory.
+    def learn(self, units: list[str]) -> list[tuple[str, int, bytes]]:
+        """Of distinct units: ids (each with a comma behind it), their number, and the bytes they stand for.
 
         Memory has two generations: when the younger is full it becomes the older one, so what recurs is not forgotten.
         """
         wanted = [u for u in units if u not in self.memory]
         if len(self.memory) + len(wanted) > REMEMBERED:
             self.older, self.memory = self.memory, {}
-            wanted = list(units)
+            wanted = units
         known = {u: self.older[u] for u in wanted if u in self.older}
         self.memory |= known
         fresh = [u for u in wanted if u not in known]
@@ -211,19 +211,28 @@ class Coder:
         for unit, tokens in zip(fresh, split, strict=True):
             numbers = [n for w in tokens for n in ids[w]]
             decoded = b"".join(map(self.vocabulary.bytes_of.__getitem__, numbers))
-            self.memory[unit] = (",".join(map(str, numbers)), len(numbers), decoded)
-
-    def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        """Ids joined by commas, their number, and the text decoded from them."""
-        cut = [pieces(t) if t else [] for t in texts]
-        units = [[p[0], *(" " + x for x in p[1:])] if p else [] for p in cut]
-        self.learn({u for parts in units for u in parts})
-        out = []
-        for parts in units:
-            found = [self.memory[u] for u in parts]
-            ids = ",".join([f[0] for f in found])
-            out.append((ids, sum([f[1] for f in found]), b"".join([f[2] for f in found]).decode("utf-8", "replace")))
-        return out
+            self.memory[unit] = (",".join(map(str, numbers)) + ",", len(numbers), decoded)
+        return list(map(self.memory.__getitem__, units))
+
+    def encode(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, list[bytes]]:
+        """Of each text: its ids joined by commas, their number, and the bytes decoded from them."""
+        code, ends, distinct = numbered_units(texts)
+        found = self.learn(distinct.to_pylist())
+        counts = np.fromiter((f[1] for f in found), np.int64, len(found))
+        total = np.concatenate([[0], np.cumsum(counts[code])])[ends]
+        ids = _joined(pa.array([f[0] for f in found], pa.large_string()), code, ends)
+        return [x[:-1] for x in ids], np.diff(total, prepend=0), _joined(pa.array([f[2] for f in found], pa.large_binary()), code, ends)
+
+
+def _joined(values: pa.Array, code: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The values of the given numbers, put together for each text."""
+    taken = values.take(pa.array(code))
+    _, offsets, data = taken.buffers()
+    if data is None or not len(taken):
+        return [b""] * len(ends)
+    at = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])].tolist()
+    view = memoryview(data)
+    return [bytes(view[a:b]) for a, b in itertools.pairwise(at)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -231,41 +240,44 @@ def _coder(path: str, lexicon: str | None) -> Coder:
     return Coder(path, lexicon)
 
 
-def _runs(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if texts:
-        yield start, len(texts)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def frequent_words(docs: DataFrame, path: str, size: int) -> list[str]:
-    """The ``size`` most frequent pre-tokens of all texts (ties: by the word)."""
+    """The pre-tokens of the ``size`` most frequent units of all texts; of units equally frequent, those with the larger hash.
+
+    All units are counted; tasks send each once for every :data:`COUNTED` distinct ones. The counts stay below the shared folder: the
+    least count that belongs to the ``size`` largest is found by a histogram, so only that many units come to the driver (and those
+    whose count and 32-bit hash are equal to the last). No texts, or a ``size`` of 0, give none.
+    """
+
+    def batch_of(counts: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        counts: dict[str, int] = {}
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            units: Counter[str] = Counter()
-            for text in texts:
-                parts = pieces(text) if text else [""]
-                units[parts[0]] += 1
-                units.update([" " + p for p in parts[1:]])
-            words: Counter[str] = Counter()
-            for unit, n in units.items():
-                for word in vocab.pre_tokens(unit):
-                    words[word] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-    counted = _texts(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]  # at most ``size`` words
+            for a, b in text_runs(batch.column("text"), RUN_BYTES):
+                code, _, distinct = numbered_units(batch.column("text").slice(a, b - a))
+                for unit, n in zip(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
+                    counts[unit] = counts.get(unit, 0) + n
+                if len(counts) > COUNTED:
+                    yield batch_of(counts)
+                    counts = {}
+        if counts:
+            yield batch_of(counts)
+
+    if size < 1:
+        return []
+    counted = _texts(docs).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    key = F.shiftleft(F.least("n", F.lit((1 << 31) - 1)), 32) + F.col("h")
+    folder = f"{shared_dir(docs.sparkSession)}/bpe-units-{uuid.uuid4().hex}"
+    counted.withColumn("h", F.hash("unit").cast("long") + F.lit(1 << 31)).select("unit", key.alias("key")).write.parquet(folder)
+    stored = docs.sparkSession.read.schema("unit string, key long").parquet(folder)
+    cut = kth_largest(stored.select("key"), size)
+    units = [r.unit for r in (stored if cut is None else stored.filter(F.col("key") >= F.lit(cut))).collect()]  # about ``size``
+    return sorted({w for u in units for w in vocabulary(path).pre_tokens(u)})
 
 
 def share_lexicon(docs: DataFrame, path: str, words: list[str]) -> str:
@@ -298,13 +310,12 @@ def encode_documents(docs: DataFrame, path: str, lexicon_words: int = 65_536, di
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, SparkFiles.get(name))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _runs(texts):
-                found = coder.encode(texts[a:b])
-                pair = [[f[0] for f in found], [f[2] for f in found]]
+            for a, b in text_runs(batch.column("text"), RUN_BYTES):
+                ids, counts, raw = coder.encode(batch.column("text").slice(a, b - a))
+                pair = [[x.decode() for x in ids], [x.decode("utf-8", "replace") for x in raw]]
                 if digests:
                     pair = [[hashlib.sha256(x.encode()).hexdigest() for x in column] for column in pair]
-                arrays = [batch.column("doc_id").slice(a, b - a), pa.array([f[1] for f in found], pa.int64()), *(pa.array(c, pa.string()) for c in pair)]
+                arrays = [batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), *(pa.array(c, pa.string()) for c in pair)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", *columns])
 
     return _texts(docs).mapInArrow(run, f"doc_id long, n_tokens long, {columns[0]} string, {columns[1]} string")

@@ -36,3 +36,35 @@ def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         ends = np.concatenate([[0], np.cumsum(real)])[ends]
         number = number[real]
     return number, ends, coded.dictionary
+
+
+#: Bytes that are or may be white space, and those that may begin a character of white space beyond ASCII.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_MAY_BLANK = np.zeros(256, bool)
+_MAY_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def numbered_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of texts (null: empty): the number of each unit, the place after each text's last unit, and the distinct units by number.
+
+    The units of a text, one after the other, are the text. It is cut before every space that stands between two characters which
+    certainly are no white space; next to a character that may be some (told by its first byte) it is not.
+    """
+    raw = texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+    _, offsets, data = raw.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    buffer = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    begins = np.zeros(len(buffer) + 1, bool)
+    begins[bounds[:-1]] = True
+    at = np.flatnonzero(buffer == 0x20)
+    at = at[~begins[at] & ~begins[at + 1] & (at + 1 < len(buffer))]
+    before, after = buffer[at - 1], buffer[at + 1]
+    wide = (before >= 0x80) & ((buffer[np.maximum(at - 2, 0)] == 0xC2) | _MAY_BLANK[buffer[np.maximum(at - 3, 0)]])
+    at = at[~(_BLANK[before] | wide | _BLANK[after] | _MAY_BLANK[after])]
+    begins[at] = True
+    starts = np.flatnonzero(begins[:-1])
+    edges = pa.py_buffer(np.append(starts, len(buffer)).astype(np.int64))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, edges, pa.py_buffer(buffer)]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(starts, bounds[1:]), coded.dictionary.cast(pa.large_string())
