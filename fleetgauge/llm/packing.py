@@ -13,7 +13,9 @@ nothing, and after a lost executor does the same again, so sequences are numbere
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 
@@ -24,22 +26,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.llm.bpe import byte_letters
 from fleetgauge.llm.words import numbered_words, text_runs
 
-#: Words whose ids a worker remembers, and their bytes.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, and their characters.
+REMEMBERED = 600_000
 REMEMBERED_BYTES = 64 << 20
+#: The normalizer, the pre-tokenizer and the mark of a word's end that the shorter way of :class:`WordIds` stands for.
+KNOWN_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "</w>",
+)
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Letters and punctuation but for the apostrophe, which may begin a part of its own.
+_PLAIN = re.compile(rf"[{_LETTERS}!-&(-/:-@\[-`{{-~]+")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]+")
 #: A sequence's number is its task's partition times this, plus its place.
 _PER_PARTITION = 1 << 36
 
 Piece = tuple[int, int, int]  # document, start, length
 
 
+class _Store:
+    """Ids of numbered keys, one key's after the other's."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        used = int(self.start[-1])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(used + len(ids), np.uint32)])
+        self.ids[used : used + len(ids)] = ids
+        self.start = np.concatenate([self.start, used + np.cumsum(counts)])
+        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys)), strict=True))
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+
+    def read(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys, and the place before each key's and after the last's."""
+        first = self.start[number]
+        counts = self.start[number + 1] - first
+        after = np.concatenate([[0], np.cumsum(counts)])
+        return self.ids[np.arange(after[-1]) + np.repeat(first - after[:-1], counts)], after
+
+
 class WordIds:
     """Token ids of texts under a tokenizer for which white space always ends a word.
 
     The normalizer of such a file works within words and its pre-tokenizer drops white space, so a word has the same ids wherever it
-    stands; each distinct word is encoded by the library once, and remembered.
+    stands; each distinct word is encoded once, and remembered. Where the file has the steps of :data:`KNOWN_STEPS`, words of Latin-1
+    letters and ASCII punctuation are put in lower case and cut here, and only their distinct parts go to the library's model; the
+    library encodes all other words whole.
     """
 
     def __init__(self, path: str):
@@ -47,38 +95,63 @@ class WordIds:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.ends_word = None
+        if (spec["normalizer"], spec["pre_tokenizer"], spec["model"]["end_of_word_suffix"]) == KNOWN_STEPS:
+            vocabulary = self.library.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(KNOWN_STEPS[2])]] = True
+            self.model = tokenizers.Tokenizer(self.library.model)
+            self.model.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+            self.letters = {byte: letter for letter, byte in byte_letters().items() if byte != 0x20}
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.bytes = self.used = 0
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1, np.int64)
+        self.words, self.parts = _Store(), _Store()
+        self.bytes = 0
+
+    def _is_plain(self, word: str) -> bool:
+        return self.ends_word is not None and _PLAIN.fullmatch(word) is not None and not any(s in word for s in self.special)
 
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        size = self.used + int(counts.sum())
-        if size > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(size, np.uint32)])
-        self.ids[self.used : size] = np.fromiter((i for ids in found for i in ids), np.uint32, size - self.used)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(counts)])
-        self.used = size
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        if not words:
+            return
         self.bytes += sum(map(len, words))
+        plain = [w for w in words if self._is_plain(w)]
+        if len(plain) < len(words):
+            known = set(plain)
+            other = [w for w in words if w not in known]
+            found = [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)]
+            self.words.add(other, np.fromiter((i for ids in found for i in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        if not plain:
+            return
+        cut = list(map(_PARTS.findall, "\n".join(plain).lower().split("\n")))
+        flat = [p for parts in cut for p in parts]
+        self._learn_parts([p for p in dict.fromkeys(flat) if p not in self.parts.number])
+        ids, after = self.parts.read(self.parts.numbers(flat))
+        ends = after[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+        self.words.add(plain, ids, np.diff(ends, prepend=0))
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Encode letters or punctuation, a few thousand at a time: every part ends with the one token that may end a word."""
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            line = " ".join(some)
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+            self.parts.add(some, ids, np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0))
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text ends; ``end_id`` follows every text."""
         code, ends, distinct = numbered_words(texts)
         words = distinct.to_pylist()
-        if len(self.number) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+        if len(self.words.number) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self._forget()
-        self._learn([w for w in words if w not in self.number])
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[code]
-        first = self.start[number]
-        counts = self.start[number + 1] - first
-        after = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.arange(after[-1]) + np.repeat(first - after[:-1], counts)]
+        self._learn([w for w in words if w not in self.words.number])
+        ids, after = self.words.read(self.words.numbers(words)[code])
         bounds = after[ends]
         if end_id is not None:
             ids = np.insert(ids, bounds, np.uint32(end_id))
