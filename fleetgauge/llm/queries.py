@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import bpe, decontaminate, exact_dedup, lm_scoring, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts
+from fleetgauge.llm import bpe, decontaminate, exact_dedup, filter_audit, lm_scoring, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +51,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampled documents; a document that is absent was rejected."""
-    out = quality.sample_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality.sample_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
     return out.select("doc_id", "log_weight", "sample_key", F.lit(True).alias("kept"))
 
 
@@ -96,12 +96,62 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whitening.whole_numbers("embedding").alias("x"))
+    return whitening.whiten(vectors).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 @query()
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query(
+    """
+    WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    first AS (SELECT t, min(doc_id) AS first_id FROM docs GROUP BY t),
+    cut AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words FROM docs),
+    marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    masks AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+               CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+               + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+               + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask
+        FROM cut JOIN first USING (t) LEFT JOIN marks USING (doc_id)
+    ),
+    counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY ALL),
+    letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders AS (
+        SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits, a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+        FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+    ),
+    steps AS (
+        SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS earlier
+        FROM orders, (SELECT unnest(range(1, 6)) AS step)
+    ),
+    audit AS (
+        SELECT part, filter_order, step, bit,
+               sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+               sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+               sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+               sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+               sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+               sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+        FROM counts, steps GROUP BY ALL
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+    FROM audit
+    """
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -71,7 +71,7 @@ def test_coding_stage(steps):
 
 def test_queries_are_registered(spark):
     names = driver.queries()
-    assert set(QUERIES) <= set(names) and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in QUERIES if n != "pipeline"}
+    assert set(QUERIES) <= set(names) and {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in QUERIES if n != "pipeline"}
     con = connect(SF)
     for name, sql in ORACLES.items():
         assert not compare(spark, con, QUERIES[name], sql, SF)[1]
