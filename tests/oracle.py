@@ -51,7 +51,7 @@ def compare(spark, con, build, sql: str, sf_dir: str) -> tuple[int, list[str]]:
         problems.append(f"columns {sorted(set(df.columns) ^ set(rel.columns))}")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     types = dict(zip(rel.columns, [str(t) for t in rel.types]))
-    alike = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+    alike = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     for name, kind in kinds.items():
         if name in types and alike.get(kind) != types[name]:
             problems.append(f"type of {name}: {kind} / {types[name]}")
