@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from fleetgauge.queries.registry import CLIENT, K, age, pct, query, rule
-from fleetgauge.queries.performance import checkpointer
+from fleetgauge.queries.performance import checkpointer, checkpointer_view
 from fleetgauge.session import shared_dir
 from fleetgauge.sources.derive import TEXTS, Telemetry, _spark_sql, _without_zone
 from fleetgauge.streaming import live as S
@@ -89,16 +90,65 @@ def _user_totals(t: Telemetry):
 
 
 _GROWTH = """SELECT cluster_id, name, interval_start, interval_end, CASE WHEN events_total < b THEN events_total ELSE events_total - b END AS events_total FROM (
-  SELECT *, lag(events_total) OVER w AS b, lag(snapshot_ts) OVER w AS interval_start, snapshot_ts AS interval_end,
-    max(snapshot_ts) OVER () AS newest FROM (SELECT 'c' || user_id % 5 AS cluster_id, 'user' || user_id AS name, ts AS snapshot_ts, min(event_id) AS events_total FROM events GROUP BY ALL)
+  SELECT *, lag(events_total) OVER w AS b, lag(snapshot_ts) OVER w AS interval_start, snapshot_ts AS interval_end FROM (SELECT 'c' || user_id % 5 AS cluster_id, 'user' || user_id AS name, ts AS snapshot_ts, min(event_id) AS events_total FROM events GROUP BY ALL)
   WINDOW w AS (PARTITION BY cluster_id, name ORDER BY snapshot_ts))
-WHERE b IS NOT NULL AND interval_end <= newest - INTERVAL 10 MINUTE"""
+WHERE b IS NOT NULL"""
+
+
+def _run_to_end(t: Telemetry, live, name: str) -> str:
+    """Drive a stream over all there is, then close it; the folder of its output."""
+    out, mark = _fresh_dir(t, name), _fresh_dir(t, f"{name}-progress")
+    live.start(out, mark, once=True).awaitTermination()
+    live.close(out, mark)
+    return out
 
 
 @query("live_counter_deltas_stream", [], _GROWTH)
 def _(t):
-    out, state, mark = [_fresh_dir(t, f"deltas-{part}") for part in ("out", "state", "progress")]
-    S.counter_deltas(
-        _user_totals(t), ["cluster_id", "name"], ["events_total"], out, state, mark, once=True
-    ).awaitTermination()
-    return t.spark.read.parquet(out).drop("batch")
+    deltas = S.counter_deltas(_user_totals(t), ["cluster_id", "name"], ["events_total"])
+    return deltas.growth(_run_to_end(t, deltas, "deltas"))
+
+
+def _replayed(t: Telemetry, name: str):
+    """A derived table as a stream that comes in several batches, every snapshot of even clusters twice."""
+    folder = _fresh_dir(t, f"replay-{name}")
+    rows = t[name]
+    rows.unionByName(rows.filter("cast(substring(cluster_id, 2) as int) % 2 = 0")).repartition(4, "snapshot_ts").write.parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _episodes(base: str, series: str) -> str:
+    """The alerts of ``base`` (which has all snapshots and ``hit``) that start an episode."""
+    return f"""SELECT cluster_id, snapshot_ts, 'alerts' AS source, rule, severity, subject, metric, message FROM (
+  SELECT *, lag(hit) OVER (PARTITION BY {series} ORDER BY snapshot_ts) AS before FROM ({base}) s) e WHERE hit AND NOT coalesce(before, false)"""
+
+
+@query(
+    "live_checkpointer_alerts_stream",
+    ["t_counters"],
+    _episodes(
+        """SELECT cluster_id, snapshot_ts, 'checkpointer' AS rule, 'warning' AS severity, 'checkpointer' AS subject,
+          CAST(write_time_ms AS DOUBLE) AS metric, 'checkpointer needs attention' AS message,
+          coalesce((checkpoints_timed > 0 AND checkpoints_req > checkpoints_timed * 2) OR write_time_ms > 10000 OR sync_time_ms > 10000, false) AS hit
+        FROM t_counters""",
+        "cluster_id",
+    ),
+)
+def _(t):
+    # Snapshots are a day apart, and a batch of files may be weeks ahead of the next.
+    live = S.checkpointer_episodes(checkpointer_view(_replayed(t, "t_counters")), lateness=timedelta(days=400))
+    return live.alerts(_run_to_end(t, live, "checkpointer-alerts"))
+
+
+@query(
+    "live_wraparound_alerts_stream",
+    ["t_databases"],
+    _episodes(
+        f"""SELECT cluster_id, snapshot_ts, 'wraparound' AS rule, 'critical' AS severity, datname AS subject, {_XID} AS metric,
+          datname || ' nears wraparound' AS message, coalesce({_XID} > 50, false) AS hit FROM t_databases WHERE datallowconn""",
+        "cluster_id, subject",
+    ),
+)
+def _(t):
+    live = S.wraparound_episodes(_replayed(t, "t_databases"), lateness=timedelta(days=4000))
+    return live.alerts(_run_to_end(t, live, "wraparound-alerts"))

@@ -178,8 +178,12 @@ def _(t):
 
 
 def checkpointer(t):
+    return checkpointer_view(t["t_counters"])
+
+
+def checkpointer_view(counters):
     """The checkpointer view of the daily counters."""
-    return t["t_counters"].select(
+    return counters.select(
         "cluster_id",
         "snapshot_ts",
         F.col("checkpoints_timed").alias("num_timed"),

@@ -133,36 +133,6 @@ def test_schemas_carry_the_keys():
         assert [f.name for f in schema.fields][:2] == ["cluster_id", "snapshot_ts"], name
 
 
-def test_stream_of_counters_orders_late_rows(spark):
-    """Rows arrive out of order over several files; growth comes out in event-time order."""
-    root, out, state, mark = [_new_dir(spark) for _ in range(4)]
-    schema = "cluster_id string, name string, snapshot_ts timestamp, n long"
-
-    def batch(i, *rows):
-        data = [("c", name, dt.datetime(2024, 1, 1, 0, m), v) for name, m, v in rows]
-        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{root}/day={i}")
-
-    def run():
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
-        query = live.counter_deltas(
-            stream, ["cluster_id", "name"], ["n"], out, state, mark, lateness=dt.timedelta(minutes=5), bucket="hour", once=True
-        )
-        query.awaitTermination(120)
-        rows = spark.read.parquet(out).collect()
-        return sorted((r.name, r.interval_start.minute, r.interval_end.minute, r.n) for r in rows)
-
-    batch(1, ("a", 0, 10), ("a", 2, 30), ("b", 1, 7))
-    batch(2, ("a", 1, 20), ("a", 3, 5), ("a", 3, 5))
-    batch(3, ("a", 30, 100))
-    settled = [("a", 0, 1, 10), ("a", 1, 2, 10), ("a", 2, 3, 5)]
-    assert run() == settled
-    # The stream is resumed: a row too late is dropped, the waiting one settles.
-    batch(4, ("a", 20, 50), ("a", 40, 130), ("b", 41, 9))
-    assert run() == [*settled, ("a", 3, 30, 95)]
-    batch(5, ("b", 59, 10))
-    assert run() == [*settled, ("a", 3, 30, 95), ("a", 30, 40, 30), ("b", 1, 41, 2)]
-
-
 def test_per_batch_top_n(spark):
     t = Telemetry(spark, SF)
     root, out, mark = _new_dir(spark), _new_dir(spark), _new_dir(spark)
