@@ -55,24 +55,25 @@ def repeated_strings(rows, window=400):
     return out
 
 
-def lm_scores(rows, order=3, backoff=0.4, min_count=2):
-    count = Counter()
+def lm_scores(rows, order=3, backoff=0.4, min_count=2, others_only=False):
     docs = [(doc_id, words(text)) for doc_id, text in rows]
-    for _, w in docs:
-        for n in range(1, order + 1):
-            count.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    total = sum(len(w) for _, w in docs)
-
-    def score(context, word):
-        if not context:
-            return count[(word,)] / total
-        whole = count[(*context, word)]
-        if whole >= min_count:
-            return whole / count[tuple(context)]
-        return backoff * score(context[1:], word)
 
+    def grams(w):
+        return Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+
+    whole = sum((grams(w) for _, w in docs), Counter())
+    everything = sum(len(w) for _, w in docs)
     out = []
     for doc_id, w in docs:
-        s = math.fsum(math.log10(score(w[max(0, i - order + 1) : i], x)) for i, x in enumerate(w))
-        out.append((doc_id, len(w), s))
+        count, total = (whole - grams(w), everything - len(w)) if others_only else (whole, everything)
+
+        def score(context, word, count=count, total=total):
+            if not context:
+                return (count[(word,)] or backoff) / max(1, total)
+            seen = count[(*context, word)]
+            if seen >= min_count:
+                return seen / count[tuple(context)]
+            return backoff * score(context[1:], word)
+
+        out.append((doc_id, len(w), math.fsum(math.log10(score(w[max(0, i - order + 1) : i], x)) for i, x in enumerate(w))))
     return out
