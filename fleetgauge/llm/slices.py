@@ -9,6 +9,7 @@ slice, and the slice's texts are met by co-grouping on the one exchange that all
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SENT = "bucket long, slice long, keys binary, extra binary"
+#: Bytes of text for each row between a slice and a bucket, at least: about 30 words.
+ROW_BYTES = 200
 REPLY = "slice long, bucket long, reply binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
 _REPLY_ARROW = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("reply", pa.binary())])
@@ -43,6 +46,8 @@ def slice_documents(docs: DataFrame, slice_bytes: int, bucket_bytes: int) -> Sli
     """Deal ``doc_id`` and ``text`` (null: empty) into slices of about ``slice_bytes`` of text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    # A slice sends a row to each bucket. Both grow with the square root of a large corpus, so that a row never holds but a few keys.
+    slice_bytes, bucket_bytes = (max(n, math.isqrt(ROW_BYTES * total)) for n in (slice_bytes, bucket_bytes))
     count = max(1, -(-total // slice_bytes))
     bits = max(1, (total // bucket_bytes).bit_length())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))

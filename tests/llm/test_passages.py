@@ -59,12 +59,12 @@ def test_suffix_dedup_agrees_with_brute_force(spark, seed):
     assert sum(s.end - s.begin for s in row.spans) == row.n_removed and len(row.kept) == row.n_bytes - row.n_removed
 
 
-@pytest.mark.parametrize(("order", "min_count"), [(3, 2), (1, 1), (4, 1), (2, 3)])
-def test_lm_scores_agree_with_brute_force(spark, order, min_count):
+@pytest.mark.parametrize(("order", "min_count", "others"), [(3, 2, False), (1, 1, False), (4, 1, False), (2, 3, False), (3, 1, True), (4, 2, True), (1, 1, True)])
+def test_lm_scores_agree_with_brute_force(spark, order, min_count, others):
     rows = corpus(3)
-    out = lm_scoring.score_documents(spark.createDataFrame(rows, SCHEMA), order, 0.4, min_count, slice_bytes=3000, bucket_bytes=3000)
+    out = lm_scoring.score_documents(spark.createDataFrame(rows, SCHEMA), order, 0.4, min_count, slice_bytes=3000, bucket_bytes=3000, others_only=others)
     mine = sorted(((r.doc_id, r.n_words, r.log10_score) for r in out.collect()), key=lambda r: repr(r[:2]))
-    want = sorted(brute.lm_scores(rows, order, 0.4, min_count), key=lambda r: repr(r[:2]))
+    want = sorted(brute.lm_scores(rows, order, 0.4, min_count, others), key=lambda r: repr(r[:2]))
     assert [r[:2] for r in mine] == [r[:2] for r in want]
     for a, b in zip(mine, want):
         assert a[2] == pytest.approx(b[2], abs=1e-6)
@@ -81,6 +81,18 @@ def test_registered_lm_scoring_counts_every_ngram(spark, tmp_path):
         assert r.log10_score == pytest.approx(want[r.doc_id][2], abs=1e-9)
 
 
+def test_slices_grow_with_the_square_root(spark, monkeypatch):
+    """The rows between slices and buckets stay few, and results the same, when both have to grow."""
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    total = sum(len((t or "").encode()) for _, t in rows)
+    dealt = slices.slice_documents(df, 100, 100)
+    assert dealt.frame.select("slice").distinct().count() << dealt.bits <= 2 * total / slices.ROW_BYTES + 1
+    monkeypatch.setattr(slices, "ROW_BYTES", 1)
+    small = sorted(map(tuple, lm_scoring.score_documents(df, slice_bytes=500, bucket_bytes=500).select("doc_id", "n_words").collect()), key=repr)
+    assert small == sorted(((d, n) for d, n, _ in brute.lm_scores(rows)), key=repr)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for build in (substring_dedup.remove_repeated_passages, suffix_dedup.remove_repeated_strings, lm_scoring.score_documents):
