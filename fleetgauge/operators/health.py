@@ -577,14 +577,14 @@ def health_findings(checks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     whole = [m.cast("long"), s.cast("long")]
     rules = [
-        rule("connections_over_90", "connections", m > 90, "critical", m, text("connection usage above 90%")),
+        rule("connections_over_90", "connections", m > 90, "critical", m, text("over 90% of the connections are taken")),
         rule("connections_pooling", "connections", m > 90, "advice", m, text("raise max_connections or pool")),
-        rule("connections_over_75", "connections", (m > 75) & (m <= 90), "warning", m, text("connection usage above 75%")),
+        rule("connections_over_75", "connections", (m > 75) & (m <= 90), "warning", m, text("over 75% of the connections are taken")),
         rule("heap_hit_low", "cache", m < 90, "warning", m, text("buffer cache hit ratio is ", fixed_text(m, 2), "%")),
         rule("heap_hit_advice", "cache", m < 90, "advice", m, text("raise shared_buffers")),
         rule("index_hit_low", "cache", s < 95, "warning", s, text("index cache hit ratio is ", fixed_text(s, 2), "%")),
-        rule("lock_contention", "locks", m > 10, "warning", m, text(whole[0], " locks waiting")),
-        rule("blocked_sessions", "locks", s > 0, "warning", s, text(whole[1], " queries blocked by locks")),
+        rule("lock_contention", "locks", m > 10, "warning", m, text(whole[0], " lock requests not granted")),
+        rule("blocked_sessions", "locks", s > 0, "warning", s, text(whole[1], " sessions held up by a lock")),
         rule("blocked_advice", "locks", s > 0, "advice", s, text("look at the blocking sessions")),
         rule("lag_high", "replication", m > 100 * mib, "critical", m, text("replication lag above 100 MiB")),
         rule(
@@ -669,13 +669,17 @@ def unused_indexes(
     schema: str = "public",
     min_size_mb: float = 0,
     keys: Sequence[str] = KEYS,
+    primary_key_names: str = "%_pkey",
 ) -> DataFrame:
-    """Never scanned, not a primary key by name, at least the given size."""
+    """Never scanned, not a primary key by name, at least the given size.
+
+    ``primary_key_names`` is a LIKE pattern, whose underscore stands for any character unless a backslash precedes it.
+    """
     candidates = indexes.filter(
         (F.col("schemaname") == schema)
         & not_system_schema("schemaname")
         & (F.col("size_bytes") >= min_size_mb * 1024 * 1024)
-        & ~F.col("index_name").endswith("_pkey")
+        & ~F.col("index_name").like(primary_key_names)
         & (F.col("idx_scan") == 0)
     )
     rows = tables.select(*keys, "schemaname", "relname", F.col("n_live_tup").alias("table_rows"))
@@ -750,6 +754,40 @@ def duplicate_indexes(
     )
 
 
+def index_classes(index_defs: DataFrame, schema: str = "public", keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per index: its class of indexes with the same columns, and how the column lists of a table lead one another.
+
+    ``class_size`` and ``representative`` (the first name) describe the class; ``extends`` is the representative of the longest stored
+    list that leads this one, ``extended_by`` the number of classes whose longest stored lead this list is. ``relationship`` is
+    "duplicate" for all but the representative, "leading" where a longer list begins with this one, else "single". The result is as
+    long as the input however many indexes share a list; :func:`duplicate_indexes` has the pairs. Definitions are not moved: the
+    prefix chains are made of the distinct lists alone.
+    """
+    own = [*keys, "schema_name", "table_name"]
+    d = index_defs.filter((F.col("schema_name") == schema) & not_system_schema("schema_name") & (F.size("columns") > 0))
+    d = d.select(*own, "columns", "index_name")
+    lists = d.groupBy(*own, "columns").agg(F.count(F.lit(1)).alias("class_size"), F.min("index_name").alias("representative"))
+    shorter = F.transform(F.sequence(F.lit(1), F.size("columns") - 1), lambda i: F.slice("columns", F.lit(1), i))
+    leads = lists.filter(F.size("columns") > 1).select(*own, "columns", F.explode(shorter).alias("lead"))
+    stored = lists.select(*own, F.col("columns").alias("lead"), F.col("representative").alias("extends"))
+    longest = F.max(F.struct(F.size("lead").alias("n"), "lead", "extends")).alias("longest")
+    chain = leads.join(stored, [*own, "lead"]).groupBy(*own, "columns").agg(longest).select(*own, "columns", "longest.lead", "longest.extends")
+    extended = chain.groupBy(*own, F.col("lead").alias("columns")).agg(F.count(F.lit(1)).alias("extended_by"))
+    classes = lists.join(chain.drop("lead"), [*own, "columns"], "left").join(extended, [*own, "columns"], "left")
+    extended_by = F.coalesce("extended_by", F.lit(0).cast("long"))
+    relationship = F.when(F.col("index_name") != F.col("representative"), "duplicate").when(extended_by > 0, "leading").otherwise("single")
+    return d.join(classes, [*own, "columns"]).select(
+        *own,
+        "index_name",
+        F.array_join("columns", ",").alias("columns"),
+        "class_size",
+        "representative",
+        "extends",
+        extended_by.alias("extended_by"),
+        relationship.alias("relationship"),
+    )
+
+
 def index_health(
     indexes: DataFrame,
     tables: DataFrame,

@@ -124,7 +124,7 @@ def score_candidates(
         "columns",
         F.round(F.col("_sum") / F.col("_improved"), 4).alias("estimated_improvement_percent"),
         F.concat(
-            F.lit("Improves "), F.col("_improved").cast("string"), F.lit("/"), F.col("_queries").cast("string"), F.lit(" queries")
+            F.lit("serves "), F.col("_improved").cast("string"), F.lit(" of "), F.col("_queries").cast("string"), F.lit(" statements")
         ).alias("reason"),
     )
 
@@ -181,9 +181,9 @@ def recommend_for_statement(
     reason = F.when(
         F.coalesce("estimated_improvement_percent", F.lit(0.0)) != 0,
         F.concat(
-            F.lit("Estimated "), fixed_text(F.col("estimated_improvement_percent"), 1), F.lit("% improvement")
+            F.lit("cost less by "), fixed_text(F.col("estimated_improvement_percent"), 1), F.lit("%")
         ),
-    ).otherwise("Would be used by query")
+    ).otherwise("appears in the new plan")
     return topn(tried, max_recommendations, order, id_cols).select(
         *id_cols, "table_name", "columns", "estimated_improvement_percent", reason.alias("reason")
     )

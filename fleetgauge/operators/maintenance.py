@@ -174,7 +174,7 @@ def autovacuum_status(
         "warning",
         F.lit("autovacuum"),
         F.col("active_worker_count"),
-        text("all autovacuum workers are busy; raise autovacuum_max_workers"),
+        text("no autovacuum worker is free; allow more of them"),
     )
     descr = ["short_desc"] if "short_desc" in settings.columns else []
     when = ["snapshot_ts"] if "snapshot_ts" in settings.columns else []

@@ -109,7 +109,7 @@ def _(t):
     ["t_settings", "t_activity"],
     rule(
         "autovacuum_status", "workers_busy", "warning", "'autovacuum'", "active_worker_count",
-        "'all autovacuum workers are busy; raise autovacuum_max_workers'", f"FROM ({_AV}) WHERE workers_available = 0",
+        "'no autovacuum worker is free; allow more of them'", f"FROM ({_AV}) WHERE workers_available = 0",
     ),
 )
 def _(t):

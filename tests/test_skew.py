@@ -89,3 +89,26 @@ def test_one_object_with_a_third_of_all_locks(small_partitions):
     waiters, plan = _final_plan(S.lock_waiters(locks, _activity(spark), limit=20))
     assert sorted((r.blocked_pid, r.blocking_pid) for r in waiters) == [(0, 3 * i) for i in range(1, 21)]
     assert "WindowGroupLimit" in plan
+
+
+def test_index_classes_of_a_hot_table(small_partitions):
+    """A third of all indexes share one list on one table; the result has one row per index, as brute force has it."""
+    spark = small_partitions
+    hot, n = 2000, 6000
+    lists = [["a"], ["a", "b"], ["a", "b", "c"], ["b"], ["a", "c"], ["b", "a", "c", "d"]]
+    rows = [("public", "t", f"i{i:05d}", ["a", "b"] if i < hot else lists[i % 6], "x" * 50, i) for i in range(n)]
+    rows += [("public", "u", "only", ["a", "b", "c"], "d", 1), ("audit", "t", "other", ["a"], "d", 1), ("public", "u", "none", [], "d", 1)]
+    defs = _keyed(spark.createDataFrame(rows, "schema_name string, table_name string, index_name string, columns array<string>, definition string, size_bytes long"))
+    found = H.index_classes(defs).collect()
+    assert len(found) == n + 1
+    groups = {}
+    for schema, table, name, columns, *_ in rows:
+        if schema == "public" and columns:
+            groups.setdefault((table, tuple(columns)), []).append(name)
+    lead = {g: max((o for o in groups if o[0] == g[0] and len(o[1]) < len(g[1]) and g[1][: len(o[1])] == o[1]), key=lambda o: len(o[1]), default=None) for g in groups}
+    for r in found:
+        g = (r.table_name, tuple(r.columns.split(",")))
+        first, above = min(groups[g]), sum(v == g for v in lead.values())
+        kind = "duplicate" if r.index_name != first else "leading" if above else "single"
+        assert (r.class_size, r.representative, r.extended_by, r.relationship) == (len(groups[g]), first, above, kind)
+        assert r.extends == (min(groups[lead[g]]) if lead[g] else None)
