@@ -174,45 +174,71 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+#: What stands for a unit or word: its ids (each with a comma behind it), their number, and the bytes decoded from them.
+Code = tuple[str, int, bytes]
+
+
+class Memory:
+    """Codes met last, in two generations: when the younger is full it becomes the older one, so what recurs is not forgotten."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, Code] = {}
+        self.old: dict[str, Code] = {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Which of the distinct keys are not known; the others are in the younger generation then."""
+        wanted = [k for k in keys if k not in self.young]
+        if len(self.young) + len(wanted) > self.size:
+            self.old, self.young = self.young, {}
+            wanted = keys
+        known = {k: self.old[k] for k in wanted if k in self.old}
+        self.young |= known
+        return [k for k in wanted if k not in known]
+
+
 class Coder:
-    """Ids and decoded bytes of units: remembered, looked up in the lexicon, or merged."""
+    """Ids and decoded bytes of units: remembered, or put together from words that are remembered, in the lexicon, or merged."""
 
     def __init__(self, path: str, lexicon: str | None):
         self.vocabulary = vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.memory: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
-
-    def learn(self, units: list[str]) -> list[tuple[str, int, bytes]]:
-        """Of distinct units: ids (each with a comma behind it), their number, and the bytes they stand for.
-
-        Memory has two generations: when the younger is full it becomes the older one, so what recurs is not forgotten.
-        """
-        wanted = [u for u in units if u not in self.memory]
-        if len(self.memory) + len(wanted) > REMEMBERED:
-            self.older, self.memory = self.memory, {}
-            wanted = units
-        known = {u: self.older[u] for u in wanted if u in self.older}
-        self.memory |= known
-        fresh = [u for u in wanted if u not in known]
-        split = [self.vocabulary.pre_tokens(u) for u in fresh]
+        self.units, self.words = Memory(REMEMBERED), Memory(REMEMBERED * 3 // 5)
+
+    def _code(self, ids: list[int]) -> Code:
+        return "".join([f"{i}," for i in ids]), len(ids), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+
+    def _learn_words(self, words: list[str]) -> None:
+        fresh = self.words.missing(words)
         special = self.vocabulary.special
-        words = list({w for tokens in split for w in tokens if w not in special})
-        raw = [w.encode() for w in words]
-        ids = {content: [number] for content, number in special.items()}
-        unseen = list(range(len(words)))
+        known = self.words.young
+        for word in fresh:
+            if word in special:
+                known[word] = self._code([special[word]])
+        fresh = [w for w in fresh if w not in special]
+        raw = [w.encode() for w in fresh]
+        unseen = list(range(len(fresh)))
         if self.lexicon is not None:
             ranks = self.lexicon.ranks(raw)
             for i in np.flatnonzero(ranks >= 0).tolist():
-                ids[words[i]] = self.lexicon.tokens(int(ranks[i]))
+                known[fresh[i]] = self._code(self.lexicon.tokens(int(ranks[i])))
             unseen = np.flatnonzero(ranks < 0).tolist()
-        for i, merged in zip(unseen, self.vocabulary.merge([raw[i] for i in unseen]), strict=True):
-            ids[words[i]] = merged
+        for i, ids in zip(unseen, self.vocabulary.merge([raw[i] for i in unseen]), strict=True):
+            known[fresh[i]] = self._code(ids)
+
+    def learn(self, units: list[str]) -> list[Code]:
+        """The codes of distinct units."""
+        fresh = self.units.missing(units)
+        split = [self.vocabulary.pre_tokens(u) for u in fresh]
+        self._learn_words(list({w for tokens in split for w in tokens}))
+        known, words = self.units.young, self.words.young
         for unit, tokens in zip(fresh, split, strict=True):
-            numbers = [n for w in tokens for n in ids[w]]
-            decoded = b"".join(map(self.vocabulary.bytes_of.__getitem__, numbers))
-            self.memory[unit] = (",".join(map(str, numbers)) + ",", len(numbers), decoded)
-        return list(map(self.memory.__getitem__, units))
+            if len(tokens) == 1:
+                known[unit] = words[tokens[0]]
+            else:
+                ids, counts, raw = zip(*[words[w] for w in tokens], strict=True)
+                known[unit] = "".join(ids), sum(counts), b"".join(raw)
+        return list(map(known.__getitem__, units))
 
     def encode(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, list[bytes]]:
         """Of each text: its ids joined by commas, their number, and the bytes decoded from them."""
