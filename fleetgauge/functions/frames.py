@@ -84,44 +84,69 @@ def findings(df: DataFrame, source: str, rules: Sequence[Rule], keys: Sequence[s
     return df.select(*keys, F.explode(hits).alias("_f")).select(*keys, "_f.*")
 
 
-def as_of(moments: DataFrame, history: DataFrame, values: Sequence[str], keys: Sequence[str], time_col: str = "snapshot_ts") -> DataFrame:
-    """For every distinct (keys, time) of ``moments``, the newest non-NULL of each of ``values`` in ``history`` at or before it.
-
-    The look-up runs per (keys, day); what a day starts with comes from one row per earlier day, so no key is one window partition.
+@dataclass(frozen=True)
+class Settings:
+    """Settings by validity: one (setting, unit) struct per name, ``_known``, and with ``timed`` the instants ``_from`` and ``_to``."""
+
+    frame: DataFrame
+    keys: list[str]
+    time_col: str
+    timed: bool
+
+    def own_keys(self) -> list[str]:
+        """What tells the rows of ``frame`` apart."""
+        return [*self.keys, "_from"] if self.timed else self.keys
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns in force at each row; all rows stay."""
+        if not self.timed:
+            return keyed_join(df, self.frame, self.keys, "left")
+        # Without keys, a key that is zero for every row, but no constant (see keyed_join).
+        keys, extra = self.keys, {}
+        if not keys:
+            keys, extra = ["_one"], {"_one": F.pmod(F.hash(self.time_col), F.lit(1))}
+        other = self.frame if self.keys else self.frame.withColumn("_one", F.pmod(F.hash("_from"), F.lit(1)))
+        renamed = {k: f"_of_{k}" for k in keys}
+        left, now = df.withColumns(extra) if extra else df, F.col(self.time_col)
+        on = functools.reduce(lambda x, y: x & y, [F.col(k) == F.col(r) for k, r in renamed.items()])
+        on = on & (now >= F.col("_from")) & (F.col("_to").isNull() | (now < F.col("_to")))
+        return left.join(other.withColumnsRenamed(renamed), on, "left").drop(*renamed.values(), *extra, "_from", "_to")
+
+
+def settings_in_force(
+    settings: DataFrame, names: Sequence[str], keys: Sequence[str] = KEYS, settings_keys: Sequence[str] = ("cluster_id",), time_col: str = "snapshot_ts"
+) -> Settings:
+    """The settings of a history as intervals in which nothing changes, to be met by rows of ``keys``.
+
+    A snapshot that repeats what was in force makes no interval, so there are as many as changes, and rows meet them by an equi-join
+    with a range. Unchanged snapshots are dropped per (keys, day) first: only the first of a day and changes are ordered per key.
+    Without times there is one value, and if ``time_col`` is not among ``keys`` the newest one counts.
     """
-    both = (
-        history.select(*keys, time_col, *values, F.lit(False).alias("_asked"))
-        .unionByName(moments.select(*keys, time_col, F.lit(True).alias("_asked")), allowMissingColumns=True)
-        .groupBy(*keys, time_col)
-        .agg(*[F.max(v).alias(v) for v in values], F.max("_asked").alias("_asked"))
-        .withColumn("_day", F.date_trunc("day", F.col(time_col).cast("timestamp")))
-    )
-    newest = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col(time_col))).alias(v) for v in values]
-    days = both.groupBy(*keys, "_day").agg(*newest)
-    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    start = days.select(*keys, "_day", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_start_{v}") for v in values])
-    so_far = Window.partitionBy(*keys, "_day").orderBy(time_col).rowsBetween(Window.unboundedPreceding, 0)
-    today = both.select(*keys, "_day", time_col, "_asked", *[F.last(v, ignorenulls=True).over(so_far).alias(v) for v in values])
-    known = [F.coalesce(v, f"_start_{v}").alias(v) for v in values]
-    return today.filter("_asked").join(start, [*keys, "_day"]).select(*keys, time_col, *known)
-
-
-def _in_force(
-    moments: DataFrame, settings: DataFrame, names: Sequence[str], keys: Sequence[str], settings_keys: Sequence[str], time_col: str
-) -> tuple[DataFrame, list[str]]:
-    """Settings in force as one (setting, unit) struct per name, ``_known`` (any setting known at all), and the columns to join on."""
+    settings_keys = list(settings_keys)
     cell = F.struct("setting", "unit")
     own = {n: (F.col("name") == n) & F.col("setting").isNotNull() for n in names}
     timed = time_col in settings.columns
-    if timed and time_col in keys:
-        at = [*settings_keys, time_col]
-        picked = [F.max(F.when(is_own, cell)).alias(n) for n, is_own in own.items()]
-        history = settings.groupBy(*at).agg(*picked, F.lit(True).alias("_known"))
-        return as_of(moments, history, [*names, "_known"], settings_keys, time_col), at
-    # Without times there is one value; without a moment to look up, the newest one counts.
-    newest = F.col(time_col) if timed else F.lit(0)
-    picked = [F.max_by(cell, F.when(is_own, F.struct(newest, cell))).alias(n) for n, is_own in own.items()]
-    return settings.groupBy(*settings_keys).agg(*picked, F.lit(True).alias("_known")), list(settings_keys)
+    if not (timed and time_col in keys):
+        newest = F.col(time_col) if timed else F.lit(0)
+        picked = [F.max_by(cell, F.when(is_own, F.struct(newest, cell))).alias(n) for n, is_own in own.items()]
+        return Settings(settings.groupBy(*settings_keys).agg(*picked, F.lit(True).alias("_known")), settings_keys, time_col, False)
+    picked = [F.max(F.when(is_own, cell)).alias(n) for n, is_own in own.items()]
+    history = settings.filter(F.col(time_col).isNotNull()).groupBy(*settings_keys, F.col(time_col).alias("_from")).agg(*picked)
+    values = F.struct(*[F.col(n) for n in names])
+
+    def changes(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        """The first row of each group, and those whose values, gaps filled from before, differ from the row before."""
+        order = Window.partitionBy(*by).orderBy("_from")
+        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+        filled = rows.withColumns({n: F.last(n, ignorenulls=True).over(so_far) for n in names})
+        seen = filled.withColumns({"_values": values, "_number": F.row_number().over(order)}).withColumn("_before", F.lag("_values").over(order))
+        return seen.filter((F.col("_number") == 1) | ~F.col("_values").eqNullSafe(F.col("_before"))).drop("_values", "_number", "_before")
+
+    # Gaps are filled within the day only where the day has a value, so filling again over all days completes them.
+    daily = changes(history.withColumn("_day", F.date_trunc("day", F.col("_from").cast("timestamp"))), [*settings_keys, "_day"]).drop("_day")
+    following = F.lead("_from").over(Window.partitionBy(*settings_keys).orderBy("_from"))
+    intervals = changes(daily, settings_keys).withColumn("_to", following)
+    return Settings(intervals.withColumn("_known", F.lit(True)), settings_keys, time_col, True)
 
 
 def with_settings(
@@ -130,39 +155,25 @@ def with_settings(
     names: Sequence[str],
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
-    moments: DataFrame | None = None,
     time_col: str = "snapshot_ts",
 ) -> DataFrame:
     """``df`` with one text column per setting name: the value in force at the row's moment, and ``_known``.
 
     Settings with ``time_col`` are a history, and the newest value at or before the row's own ``time_col`` counts; settings without
     it hold at all times. If ``time_col`` is not among ``keys``, the newest value counts. All rows stay; a setting not known (yet)
-    is NULL, and ``_known`` is false where no setting is. ``moments``: a cheaper frame that has all keys and times of ``df``.
+    is NULL, and ``_known`` is false where no setting is.
     """
-    found, on = _in_force(df if moments is None else moments, settings, names, keys, settings_keys, time_col)
-    texts = found.select(*on, *[F.col(n)["setting"].alias(n) for n in names], "_known")
-    return keyed_join(df, texts, on, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    found = settings_in_force(settings, names, keys, settings_keys, time_col).attach(df)
+    return found.withColumns({n: F.col(n)["setting"] for n in names} | {"_known": F.coalesce("_known", F.lit(False))})
 
 
-def settings_at(
-    moments: DataFrame,
-    settings: DataFrame,
-    names: Sequence[str],
-    keys: Sequence[str] = KEYS,
-    settings_keys: Sequence[str] = ("cluster_id",),
-    time_col: str = "snapshot_ts",
-) -> tuple[DataFrame, list[str]]:
-    """The settings in force at each of the moments in long form (``name``, ``setting``, ``unit``), and its key columns.
-
-    Moments where only other settings are known keep one row without a name.
-    """
-    found, on = _in_force(moments, settings, names, keys, settings_keys, time_col)
+def setting_rows(found: Settings, names: Sequence[str]) -> DataFrame:
+    """The settings of each row of ``found`` in long form (``name``, ``setting``, ``unit``); one without any keeps a row without a name."""
     cells = [
         F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("name"), F.col(n)["setting"].alias("setting"), F.col(n)["unit"].alias("unit")))
         for n in names
     ]
-    rows = F.filter(F.array(*cells), lambda c: c.isNotNull())
-    return found.filter("_known").select(*on, F.inline_outer(rows)), on
+    return found.frame.select(*found.own_keys(), F.inline_outer(F.filter(F.array(*cells), lambda c: c.isNotNull())))
 
 
 def first_names(df: DataFrame, name: str, order: Sequence[Column], keys: Sequence[str] = KEYS, n: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ from fleetgauge.functions.frames import (
     counter_operator,
     findings,
     keyed_join,
-    settings_at,
+    setting_rows,
+    settings_in_force,
     text,
     topn,
     with_settings,
@@ -94,7 +96,7 @@ def mxid_wraparound(
 ) -> DataFrame:
     """Databases whose limit is not known keep their row, without the limit and what follows from it."""
     d = with_settings(
-        databases.filter("datallowconn"), settings, ["autovacuum_multixact_freeze_max_age"], keys, settings_keys, databases
+        databases.filter("datallowconn"), settings, ["autovacuum_multixact_freeze_max_age"], keys, settings_keys
     )
     age, limit = F.col("mxid_age"), F.col("autovacuum_multixact_freeze_max_age").cast("long")
     frozen = F.col("datminmxid") == 0
@@ -377,7 +379,7 @@ def check_connections(
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
-    d = with_settings(activity_facts(activity, keys), settings, _CONNECTION_SETTINGS, keys, settings_keys, activity)
+    d = with_settings(activity_facts(activity, keys), settings, _CONNECTION_SETTINGS, keys, settings_keys)
     return _rows_of(d, [_connections_cell()], keys)
 
 
@@ -538,10 +540,13 @@ def health_checks(
         ],
         keys,
     )
-    # One look-up of the settings in force serves the connection limits and the settings check.
-    in_force, on = settings_at(facts, settings, [*_CONNECTION_SETTINGS, *RULED_SETTINGS], keys, settings_keys)
-    limits = in_force.groupBy(*on).agg(*[F.max(F.when(F.col("name") == n, F.col("setting"))).alias(n) for n in _CONNECTION_SETTINGS])
-    d = keyed_join(keyed_join(facts, limits, on, "left"), settings_penalty(in_force, on), on, "left")
+    # Limits and penalty are worked out once per interval of the settings, of which there are few, and met by the facts once.
+    names = [*_CONNECTION_SETTINGS, *RULED_SETTINGS]
+    found = settings_in_force(settings, names, keys, settings_keys)
+    penalty = settings_penalty(setting_rows(found, names), found.own_keys())
+    limits = found.frame.withColumns({n: F.col(n)["setting"] for n in _CONNECTION_SETTINGS}).drop(*RULED_SETTINGS)
+    in_force = replace(found, frame=keyed_join(limits, penalty, found.own_keys(), "left"))
+    d = in_force.attach(facts)
     # A key was observed when its sessions, databases or counters were; then no replica is a fact.
     observed = F.coalesce("used", "any_database", "checkpoints_timed").isNotNull()
     cells = [

@@ -93,7 +93,7 @@ def freeze_prediction(
     """
     limits = ["autovacuum_freeze_max_age", "autovacuum_multixact_freeze_max_age"]
     kept = tables.filter(F.col("relkind").isin("r", "m") & not_system_schema("schemaname"))
-    d = with_settings(kept, settings, limits, keys, settings_keys, tables)
+    d = with_settings(kept, settings, limits, keys, settings_keys)
     xid_max = F.col("autovacuum_freeze_max_age").cast("long")
     mxid_max = F.col("autovacuum_multixact_freeze_max_age").cast("long")
     d = d.withColumns(
@@ -155,7 +155,7 @@ def autovacuum_status(
     )
     names = ["autovacuum", "autovacuum_max_workers", "autovacuum_naptime"]
     counts = activity.groupBy(*keys).agg(F.count_if(is_worker).alias("active_worker_count"))
-    d = with_settings(counts, settings, names, keys, settings_keys, activity)
+    d = with_settings(counts, settings, names, keys, settings_keys)
     max_workers = F.coalesce(F.col("autovacuum_max_workers").cast("long"), F.lit(3).cast("long"))
     naptime = F.coalesce(F.col("autovacuum_naptime").cast("long"), F.lit(60).cast("long"))
     known = F.coalesce(*names).isNotNull()
@@ -269,7 +269,7 @@ def tables_needing_vacuum(
     kept = _vacuum_tables(tables, schema, include_toast).filter(F.col("n_dead_tup") >= min_dead_tuples)
     # Cut before the settings join: neither filter nor order depends on a setting.
     top = topn(kept, limit, [F.desc_nulls_first("n_dead_tup"), F.asc("schemaname"), F.asc("relname")], keys)
-    d = with_settings(top, settings, _TRIGGER_SETTINGS, keys, settings_keys, tables)
+    d = with_settings(top, settings, _TRIGGER_SETTINGS, keys, settings_keys)
     threshold = _trigger_threshold()
     return d.select(
         *keys,

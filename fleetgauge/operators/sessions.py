@@ -69,7 +69,7 @@ def connection_usage(
     used = activity.groupBy(*keys).agg(
         F.count_if(F.col("backend_type") == "client backend").alias("used_connections")
     )
-    return with_settings(used, settings, ["max_connections"], keys, settings_keys, activity).select(
+    return with_settings(used, settings, ["max_connections"], keys, settings_keys).select(
         *keys, "used_connections", F.col("max_connections").cast("long").alias("max_connections")
     )
 

@@ -113,3 +113,30 @@ def test_unknown_mode(spark):
 
     with pytest.raises(ValueError):
         rollback_rate(spark.range(1), mode="hourly")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_settings_in_force_match_a_look_back(spark, seed):
+    """Intervals of changes give every row the newest value at or before it, also with gaps, repeats and several changes a day."""
+    rng = random.Random(seed)
+    history = [(c, f"2024-01-{rng.randint(2, 6):02d} {rng.randint(0, 23):02d}:00:00", rng.choice("ab"), rng.choice(("1", "1", "2", None)), None) for c in ("x", "y") for _ in range(40)]
+    history = list({h[:3]: h for h in history}.values()) + [("z", "2024-01-03 00:00:00", "other", "9", "kB")]
+    moments = [(c, f"2024-01-{d:02d} {h:02d}:30:00", i) for c in ("x", "y", "z", "none", None) for d in range(1, 8) for h in (0, 7, 13, 23) for i in (1, 2)]
+    cast = F.col("t").cast("timestamp").alias("snapshot_ts")
+    settings = spark.createDataFrame(history, "cluster_id string, t string, name string, setting string, unit string").withColumn("snapshot_ts", cast).drop("t")
+    rows = spark.createDataFrame(moments, "cluster_id string, t string, i int").withColumn("snapshot_ts", cast)
+    got = {(r.cluster_id, r.t, r.i): (r.a, r.b, r["_known"]) for r in X.with_settings(rows, settings, ["a", "b"]).collect()}
+    assert len(got) == len(moments)
+    for c, t, i in moments:
+        seen = sorted(h for h in history if h[0] == c and h[1] <= t)
+        newest = {n: next((h[3] for h in reversed(seen) if h[2] == n and h[3] is not None), None) for n in "ab"}
+        assert got[c, t, i] == (newest["a"], newest["b"], bool(seen))
+    found = X.settings_in_force(settings, ["a", "b"])
+    assert found.frame.filter("_to <= _from").count() == 0 and found.frame.filter("cluster_id = 'x'").count() <= len({h[1] for h in history if h[0] == "x"})
+
+
+def test_unchanged_settings_make_one_interval(spark):
+    settings = spark.range(500).select(F.lit("c").alias("cluster_id"), F.timestamp_seconds(F.col("id") * 7200).alias("snapshot_ts"), F.lit("a").alias("name"), F.lit("1").alias("setting"), F.lit(None).cast("string").alias("unit"))
+    assert X.settings_in_force(settings, ["a"]).frame.count() == 1
+    rows = spark.range(3).select(F.timestamp_seconds(F.col("id")).alias("snapshot_ts"))
+    assert [r.a for r in X.with_settings(rows, settings.drop("cluster_id"), ["a"], ["snapshot_ts"], []).collect()] == ["1"] * 3
