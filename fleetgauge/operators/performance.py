@@ -300,8 +300,9 @@ def top_statements(
     min_mean_time_ms: float = 0,
     order_by: str = "mean_time",
     keys: Sequence[str] = KEYS,
+    query_chars: int | None = 500,
 ) -> DataFrame:
-    """The heaviest statements; execution times arrive in whole microseconds."""
+    """The heaviest statements; execution times arrive in whole microseconds. ``query_chars`` cuts their texts (``None``: whole)."""
     total, calls = F.col("total_exec_us"), F.col("calls")
     mean = total / calls
     orders = {"mean_time": mean, "calls": calls, "rows": F.col("rows_returned")}
@@ -315,7 +316,7 @@ def top_statements(
     return topn(kept, limit, [ranked.desc_nulls_first(), F.asc("queryid")], keys).select(
         *keys,
         "queryid",
-        left_text("query", 500).alias("query_text"),
+        (F.col("query") if query_chars is None else left_text("query", query_chars)).alias("query_text"),
         "calls",
         _mean_ms(total, calls).alias("mean_time_ms"),
         _us_as_ms("min_exec_us").alias("min_time_ms"),

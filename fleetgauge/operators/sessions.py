@@ -171,7 +171,9 @@ def active_sessions(
     include_system: bool = False,
     database: str | None = None,
     keys: Sequence[str] = KEYS,
+    query_chars: int | None = 500,
 ) -> DataFrame:
+    """Sessions with their ages; ``query_chars`` cuts the statement text, ``None`` leaves it whole."""
     d = activity
     if not include_idle:
         d = d.filter(F.col("state") != "idle")
@@ -192,7 +194,7 @@ def active_sessions(
         "wait_event",
         age_seconds("snapshot_ts", "query_start").alias("duration_seconds"),
         age_seconds("snapshot_ts", "xact_start").alias("transaction_seconds"),
-        left_text("query", 500).alias("query"),
+        ("query" if query_chars is None else left_text("query", query_chars).alias("query")),
         "backend_type",
     )
 
@@ -202,11 +204,11 @@ def sessions_by_state(activity: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
 
 
 def blocked_sessions(
-    activity: DataFrame, edges: DataFrame | None = None, limit: int = 10, keys: Sequence[str] = KEYS
+    activity: DataFrame, edges: DataFrame | None = None, limit: int | None = 10, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Blocked and blocking session pairs of sessions that wait for a lock."""
+    """Blocked and blocking session pairs of sessions that wait for a lock, each pair once; ``limit`` of a key, ``None`` for all."""
     keys = list(keys)
-    edges = blocking_edges(activity, keys) if edges is None else edges.select(*keys, "pid", "blocking_pid")
+    edges = blocking_edges(activity, keys) if edges is None else edges.select(*keys, "pid", "blocking_pid").distinct()
     blocked = activity.filter(F.col("wait_event_type") == "Lock").select(
         *keys, "pid", F.col("query").alias("blocked_query"), "wait_event_type", "wait_event"
     )
@@ -248,13 +250,18 @@ def active_queries(
     include_system: bool = False,
     database: str | None = None,
     keys: Sequence[str] = KEYS,
+    blocked_limit: int | None = 10,
+    query_chars: int | None = 500,
 ) -> dict[str, DataFrame]:
-    """Session detail, counts by state (independent of the filters), blocked pairs, findings."""
-    detail = active_sessions(activity, min_duration_seconds, include_idle, include_system, database, keys)
+    """Session detail, counts by state (independent of the filters), blocked pairs, findings.
+
+    ``blocked_limit`` cuts the pairs of a key and ``query_chars`` the statement texts (``None``: all).
+    """
+    detail = active_sessions(activity, min_duration_seconds, include_idle, include_system, database, keys, query_chars)
     return {
         "active_queries": detail,
         "by_state": sessions_by_state(activity, keys),
         "total_connections": detail.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_connections")),
-        "blocked_queries": blocked_sessions(activity, edges, keys=keys),
+        "blocked_queries": blocked_sessions(activity, edges, blocked_limit, keys),
         "findings": session_findings(detail, keys),
     }

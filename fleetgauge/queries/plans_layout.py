@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.operators import baseline as X
 from fleetgauge.operators import layout as L
+from fleetgauge.operators import maintenance as M
 from fleetgauge.operators import performance as P
 from fleetgauge.plans import explain as E
 from fleetgauge.queries.health import index_defs
 from fleetgauge.queries.performance import _REPORT, _grown
 from fleetgauge.queries.registry import K, fixed, query, rule, top
-from fleetgauge.sources.telemetry import as_json, read_telemetry
+from fleetgauge.session import shared_dir
+from fleetgauge.sources.telemetry import as_json, read_baseline, read_telemetry, write_baseline, write_telemetry
 
 # --- sources and sinks --------------------------------------------------------------------------
 
@@ -58,13 +63,47 @@ def _(t):
 @query(
     "io3_report_json",
     ["t_databases"],
-    f"""SELECT {K}, '{{"datname":"' || datname || '","blks_read":' || blks_read || ',"deadlocks":' || deadlocks || '}}' AS json FROM t_databases""",
+    f"""SELECT {K}, '{{"datname":"' || datname || '","blks_read":' || blks_read || ',"deadlocks":' || deadlocks
+      || ',"cluster_id":"' || cluster_id || '","snapshot_ts":"' || strftime(snapshot_ts, '%Y-%m-%dT%H:%M:%S.000') || '"}}' AS json FROM t_databases""",
+)
+def _(t):
+    keys = K.split(", ")
+    return as_json(t["t_databases"].select("datname", "blks_read", "deadlocks", *keys), keys)
+
+
+def _folder(t, name: str) -> str:
+    """A new folder that all executors reach."""
+    return f"{shared_dir(t.spark)}/fleetgauge-{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "io1_read_partitioned",
+    ["t_activity"],
+    f"""SELECT {K}, pid, state FROM t_activity WHERE cluster_id IN ('c1', 'c3') AND snapshot_ts >= TIMESTAMP '2024-01-05' AND snapshot_ts < TIMESTAMP '2024-01-20'""",
+)
+def _(t):
+    """The whole table written twice, as by a retried collector, and read back with pruning by day and cluster."""
+    root, rows = _folder(t, "telemetry"), t["t_activity"].select(*K.split(", "), "pid", "state")
+    for _ in range(2):
+        write_telemetry(rows, root, "activity", run="collector-1")
+    found = read_telemetry(t.spark, root, "activity", rows.schema, clusters=["c1", "c3"], since=date(2024, 1, 5), until=date(2024, 1, 20))
+    return found.select(*rows.columns)
+
+
+@query(
+    "io3_baseline_table",
+    ["t_databases"],
+    f"""SELECT {K}, 'databases' AS section, datname AS item, 'size_bytes' AS metric, CAST(size_bytes AS DOUBLE) AS value
+    FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY size_bytes DESC NULLS FIRST, datname) AS r FROM t_databases WHERE NOT datistemplate) d WHERE r <= 10""",
 )
 def _(t):
-    rows = t["t_databases"].select(*K.split(", "), "datname", "blks_read", "deadlocks")
-    body = as_json(rows.select("datname", "blks_read", "deadlocks", *K.split(", ")), K.split(", "))
-    # Timestamps print differently per engine; the check compares the other fields.
-    return body.withColumn("json", F.regexp_replace("json", ',"cluster_id":.*$', "}"))
+    """A baseline written twice, with a second section beside it, and one section read back."""
+    path = _folder(t, "baseline")
+    sizes = X.baseline_metrics({"databases": M.database_sizes(t["t_databases"])})
+    other = sizes.withColumn("section", F.lit("other"))
+    for _ in range(2):
+        write_baseline(sizes.unionByName(other), path)
+    return read_baseline(t.spark, path, sizes.schema, sections=["databases"])
 
 
 # --- plan rules ---------------------------------------------------------------------------------

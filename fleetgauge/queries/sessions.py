@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from fleetgauge.operators import replication as R
 from fleetgauge.operators import sessions as S
 from fleetgauge.queries.registry import CLIENT, K, age, lsn, pretty, query, rule, setting, top
@@ -145,6 +147,21 @@ def _(t):
     return _active(t)["blocked_queries"]
 
 
+@query(
+    "s7_blocked_by_pid_lists",
+    ["t_activity", "t_blocking_edges"],
+    f"""SELECT DISTINCT e.cluster_id, e.snapshot_ts, e.pid AS blocked_pid, a.query AS blocked_query, e.blocking_pid, b.query AS blocking_query, a.wait_event_type, a.wait_event
+FROM t_blocking_edges e JOIN t_activity a ON a.cluster_id = e.cluster_id AND a.snapshot_ts = e.snapshot_ts AND a.pid = e.pid AND a.wait_event_type = 'Lock'
+JOIN t_activity b ON b.cluster_id = e.cluster_id AND b.snapshot_ts = e.snapshot_ts AND b.pid = e.blocking_pid""",
+)
+def _(t):
+    """All pairs, without a limit, out of each session's list of blocking pids, which names some twice."""
+    blockers = t["t_blocking_edges"].groupBy(*K.split(", "), "pid").agg(F.collect_list("blocking_pid").alias("pids"))
+    sessions = t["t_activity"].join(blockers, [*K.split(", "), "pid"], "left")
+    listed = sessions.withColumn("blocking_pids", F.concat("pids", "pids")).drop("pids")
+    return S.active_queries(listed, blocked_limit=None)["blocked_queries"]
+
+
 @query(
     "s7_findings",
     ["t_activity"],

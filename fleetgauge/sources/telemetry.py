@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from fleetgauge.sources.schemas import SCHEMAS
 
 PARTITION = "snapshot_date"
+#: Second level of the folders: the collector job that wrote them.
+RUN = "run"
 
 
 def read_telemetry(
@@ -27,13 +29,13 @@ def read_telemetry(
 ) -> DataFrame:
     """One telemetry table below ``root`` with its declared schema, nothing inferred.
 
-    The table lies in ``root/table``, partitioned by ``snapshot_date``: the date bounds prune
+    The table lies in ``root/table``, partitioned by ``snapshot_date`` and run: the date bounds prune
     partitions, the cluster list is pushed down to the file scan. ``since`` is inclusive, ``until``
     exclusive.
     """
     declared = schema or SCHEMAS[table]
     if partitioned:
-        declared = T.StructType([*declared.fields, T.StructField(PARTITION, T.DateType())])
+        declared = T.StructType([*declared.fields, T.StructField(PARTITION, T.DateType()), T.StructField(RUN, T.StringType())])
     reader = spark.readStream if streaming else spark.read
     df = reader.schema(declared).parquet(f"{root.rstrip('/')}/{table}")
     if clusters is not None:
@@ -42,24 +44,28 @@ def read_telemetry(
         df = df.filter(F.col(PARTITION) >= F.lit(since))
     if until is not None:
         df = df.filter(F.col(PARTITION) < F.lit(until))
-    return df.drop(PARTITION) if partitioned else df
+    return df.drop(PARTITION, RUN) if partitioned else df
 
 
-def write_telemetry(df: DataFrame, root: str, table: str, mode: str = "append") -> None:
-    """Append snapshots to a telemetry table.
+def _write_days(df: DataFrame, path: str, run: str, folders: Sequence[str], order: Sequence[str]) -> None:
+    """Replace what this run has written of the days (and other folders) that ``df`` holds, and nothing else.
 
-    Rows of one day and cluster are brought together; the rebalance hint lets Spark split a pair
-    that outgrows the advisory partition size and merge small ones. Files are sorted by cluster for
-    row-group skipping.
+    Rows of one folder are brought together; the rebalance hint lets Spark split one that outgrows the advisory partition size and
+    merge small ones, so a folder is written by few tasks. A job that is repeated, or retried after a failure, leaves one copy.
     """
-    day = df.withColumn(PARTITION, F.to_date("snapshot_ts"))
-    (
-        day.hint("rebalance", F.col(PARTITION), F.col("cluster_id"))
-        .sortWithinPartitions(PARTITION, "cluster_id", "snapshot_ts")
-        .write.mode(mode)
-        .partitionBy(PARTITION)
-        .parquet(f"{root.rstrip('/')}/{table}")
-    )
+    day = df.withColumns({PARTITION: F.to_date("snapshot_ts"), RUN: F.lit(run)})
+    together = day.hint("rebalance", *[F.col(c) for c in order])
+    writer = together.sortWithinPartitions(*order, "snapshot_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*folders).parquet(path)
+
+
+def write_telemetry(df: DataFrame, root: str, table: str, run: str = "collector") -> None:
+    """Add the snapshots of a collector run to a telemetry table, in folders by day and run.
+
+    A run owns its rows of a day: writing them again replaces them. Jobs that collect at the same time carry names of their own in
+    ``run``. Files are sorted by cluster for row-group skipping.
+    """
+    _write_days(df, f"{root.rstrip('/')}/{table}", run, [PARTITION, RUN], [PARTITION, "cluster_id"])
 
 
 def write_report(df: DataFrame, path: str, format: str = "json", mode: str = "overwrite") -> None:
@@ -77,7 +83,26 @@ def as_json(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.select(*keys, row.alias("json"))
 
 
-def write_baseline(metrics: DataFrame, path: str, mode: str = "append") -> None:
-    """A baseline metric table, one folder per day and section."""
-    day = metrics.withColumn(PARTITION, F.to_date("snapshot_ts"))
-    day.write.mode(mode).partitionBy(PARTITION, "section").parquet(path)
+def write_baseline(metrics: DataFrame, path: str, run: str = "baseline") -> None:
+    """A baseline metric table, one folder per day, section and run; a run that is repeated replaces its own.
+
+    A day's section is written by the tasks that hold it, not by every task.
+    """
+    order = [PARTITION, "section", *[c for c in ("cluster_id",) if c in metrics.columns]]
+    _write_days(metrics, path, run, [PARTITION, "section", RUN], order)
+
+
+def read_baseline(
+    spark: SparkSession, path: str, schema: T.StructType, sections: Sequence[str] | None = None, since: date | None = None, until: date | None = None
+) -> DataFrame:
+    """The metrics of a baseline table (``schema`` as written); sections and days prune folders."""
+    files = [f for f in schema.fields if f.name != "section"]
+    folders = [T.StructField(PARTITION, T.DateType()), T.StructField("section", T.StringType()), T.StructField(RUN, T.StringType())]
+    df = spark.read.schema(T.StructType([*files, *folders])).parquet(path)
+    if sections is not None:
+        df = df.filter(F.col("section").isin(*sections))
+    if since is not None:
+        df = df.filter(F.col(PARTITION) >= F.lit(since))
+    if until is not None:
+        df = df.filter(F.col(PARTITION) < F.lit(until))
+    return df.select(*schema.fieldNames())

@@ -18,7 +18,7 @@ from fleetgauge.queries import registry
 from fleetgauge.session import shared_dir
 from fleetgauge.sources.derive import Telemetry
 from fleetgauge.sources.schemas import SCHEMAS
-from fleetgauge.sources.telemetry import read_telemetry, write_baseline, write_report, write_telemetry
+from fleetgauge.sources.telemetry import read_baseline, read_telemetry, write_baseline, write_report, write_telemetry
 from fleetgauge.streaming import live
 
 SF = "/root/testdata/sf0.001"
@@ -123,9 +123,44 @@ def test_reports(spark):
     assert spark.read.parquet(f"{root}/p").count() == 1
     with pytest.raises(ValueError):
         write_report(df, f"{root}/x", "xml")
-    metrics = df.select(F.lit("2024-01-01 00:00:00").cast("timestamp").alias("snapshot_ts"), F.lit("s").alias("section"), "v")
-    write_baseline(metrics, f"{root}/b")
-    assert spark.read.parquet(f"{root}/b").filter("section = 's'").count() == 1
+
+
+def _files(root):
+    return sorted(f for d, _, names in os.walk(root) for f in names if f.endswith(".parquet") for f in [os.path.join(d, f)])
+
+
+def test_a_repeated_run_replaces_its_own_days(spark):
+    """Also when it comes with fewer days; other runs, and days it does not hold, stay."""
+    root, schema = _new_dir(spark), SCHEMAS["wal"]
+
+    def write(run, days, add=0):
+        rows = [(f"c{c}", dt.datetime(2024, 1, d, 5), c + add, d, 0, 0) for c in range(3) for d in days]
+        write_telemetry(spark.createDataFrame(rows, schema), root, "wal", run=run)
+
+    def seen():
+        return sorted(tuple(r)[:4] for r in read_telemetry(spark, root, "wal").collect())
+
+    write("one", range(1, 5))
+    once, files = seen(), len(_files(root))
+    write("one", range(1, 5))
+    assert seen() == once and len(_files(root)) == files
+    write("two", [2])
+    assert len(seen()) == len(once) + 3
+    write("one", [3], add=10)
+    assert len(seen()) == len(once) + 3 and {r[2] for r in seen() if r[3] == 3} == {10, 11, 12}
+
+
+def test_baseline_files_are_clustered_and_repeatable(spark):
+    root = _new_dir(spark)
+    rows = [("c", dt.datetime(2024, 1, d), f"s{s}", f"i{i}", "m", float(i)) for d in (1, 2) for s in range(3) for i in range(200)]
+    metrics = spark.createDataFrame(rows, "cluster_id string, snapshot_ts timestamp, section string, item string, metric string, value double").repartition(8)
+    for _ in range(2):
+        write_baseline(metrics, f"{root}/b")
+        back = read_baseline(spark, f"{root}/b", metrics.schema, sections=["s1"], since=dt.date(2024, 1, 2))
+        assert back.columns == metrics.columns and sorted(map(tuple, back.collect())) == sorted(r for r in rows if r[2] == "s1" and r[1].day == 2)
+        assert len(_files(f"{root}/b")) == 6
+    plan = back._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "section" in plan and "snapshot_date" in plan
 
 
 def test_schemas_carry_the_keys():
