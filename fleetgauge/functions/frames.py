@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import inspect
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -241,16 +242,25 @@ def interval_deltas(
 def counter_operator(id_cols: Sequence[str], counters: Sequence[str]) -> Callable:
     """Give an operator over cumulative counters the ``mode`` keyword.
 
-    ``cumulative`` reads the counters as they are (since the last reset); ``interval`` first turns
-    them into growth since the previous snapshot.
+    ``cumulative`` reads the counters as they are (since the last reset); ``interval`` first turns them into growth since the previous
+    snapshot of the same series. A series is told by ``id_cols`` and the operator's ``keys`` but for ``time_col``, so any keys do;
+    every series has resets of its own.
     """
 
     def wrap(op: Callable) -> Callable:
+        signature = inspect.signature(op)
+
         @functools.wraps(op)
-        def run(df: DataFrame, *args, mode: str = "cumulative", **kwargs):
+        def run(df: DataFrame, *args, mode: str = "cumulative", time_col: str = "snapshot_ts", **kwargs):
             if mode == "interval":
+                if time_col not in df.columns:
+                    raise ValueError(f"growth since the previous snapshot needs the column {time_col}")
+                call = signature.bind(df, *args, **kwargs)
+                call.apply_defaults()
+                series = [k for k in call.arguments["keys"] if k != time_col]
                 present = [c for c in counters if c in df.columns]
-                df = interval_deltas(df, [c for c in id_cols if c in df.columns], present)
+                ids = [c for c in id_cols if c in df.columns and c not in series]
+                df = interval_deltas(df, ids, present, time_col, series)
             elif mode != "cumulative":
                 raise ValueError(f"unknown mode {mode!r}")
             return op(df, *args, **kwargs)

@@ -24,6 +24,7 @@ from fleetgauge.functions.expressions import (
     zero_as_missing,
 )
 from fleetgauge.functions.frames import Rule, counter_operator, findings, first_names, keyed_join, text, topn
+from fleetgauge.sources.schemas import SCHEMAS
 
 DATABASE_COUNTERS = (
     "xact_commit",
@@ -136,6 +137,22 @@ def database_io(databases: DataFrame, database: str | None = None, keys: Sequenc
     )
 
 
+IO_CONTEXT_COUNTERS = (
+    "reads",
+    "read_bytes",
+    "writes",
+    "write_bytes",
+    "extends",
+    "extend_bytes",
+    "hits",
+    "evictions",
+    "reuses",
+    "fsyncs",
+    "fsync_time",
+)
+
+
+@counter_operator(["backend_type", "object", "context"], IO_CONTEXT_COUNTERS)
 def io_by_context(io_contexts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Reads, writes and extends per backend type, object and context."""
     sizes = [c for c in ("read_bytes", "write_bytes", "extend_bytes") if c in io_contexts.columns]
@@ -156,12 +173,73 @@ def io_statistics(
 ) -> dict[str, DataFrame]:
     out = {"database": database_io(databases, database, keys, mode=mode)}
     if io_contexts is not None:
-        out["by_context"] = io_by_context(io_contexts, keys)
+        out["by_context"] = io_by_context(io_contexts, keys, mode=mode)
     return out
 
 
 PROGRESS_OPERATIONS = ("analyze", "create_index", "cluster", "vacuum")
 
+#: The views' columns of each operation, as (name, source column of the progress table).
+PROGRESS_COLUMNS = {
+    "analyze": (
+        ("pid", "pid"),
+        ("datname", "datname"),
+        ("relname", "relname"),
+        ("phase", "phase"),
+        ("sample_blks_total", "blocks_total"),
+        ("sample_blks_scanned", "blocks_scanned"),
+        ("scan_progress_pct", None),
+        ("child_tables_total", "child_tables_total"),
+        ("child_tables_done", "child_tables_done"),
+        ("delay_time", "delay_time"),
+    ),
+    "create_index": (
+        ("pid", "pid"),
+        ("datname", "datname"),
+        ("table_name", "relname"),
+        ("index_name", "index_name"),
+        ("command", "command"),
+        ("phase", "phase"),
+        ("blocks_total", "blocks_total"),
+        ("blocks_done", "blocks_done"),
+        ("tuples_total", "tuples_total"),
+        ("tuples_done", "tuples_done"),
+        ("partitions_total", "partitions_total"),
+        ("partitions_done", "partitions_done"),
+    ),
+    "cluster": (
+        ("pid", "pid"),
+        ("datname", "datname"),
+        ("relname", "relname"),
+        ("command", "command"),
+        ("phase", "phase"),
+        ("heap_blks_total", "blocks_total"),
+        ("heap_tuples_scanned", "heap_tuples_scanned"),
+        ("heap_tuples_written", "heap_tuples_written"),
+        ("cluster_index_relid", "cluster_index_relid"),
+    ),
+    "vacuum": (
+        ("pid", "pid"),
+        ("database", "datname"),
+        ("schema_name", "schemaname"),
+        ("table_name", "relname"),
+        ("phase", "phase"),
+        ("heap_blks_total", "blocks_total"),
+        ("heap_blks_scanned", "blocks_scanned"),
+        ("heap_blks_vacuumed", "blocks_done"),
+        ("index_vacuum_count", "index_vacuum_count"),
+        ("max_dead_tuples", "max_dead_tuples"),
+        ("num_dead_tuples", "num_dead_tuples"),
+        ("scan_progress_pct", None),
+        ("vacuum_progress_pct", None),
+        ("query", None),
+        ("state", None),
+        ("duration_seconds", None),
+        ("wait_event_type", None),
+        ("wait_event", None),
+    ),
+}
+
 
 def operation_progress(
     progress: DataFrame,
@@ -170,24 +248,42 @@ def operation_progress(
     include_toast: bool = False,
     keys: Sequence[str] = KEYS,
 ) -> dict[str, DataFrame]:
-    """Running maintenance with its progress, and counts per operation.
+    """Running maintenance: one frame per wanted operation with that view's columns, all in one frame, and counts per operation.
 
-    An analyze without a total has no percentage; a vacuum without one stands at 0.
+    An analyze without a total has no percentage; a vacuum without one stands at 0. Columns that the progress table lacks are NULL.
     """
     keys = list(keys)
     wanted = PROGRESS_OPERATIONS if operation == "all" else (operation.replace("-", "_"),)
-    rows = progress.filter(F.col("operation").isin(*wanted))
+    unknown = set(wanted) - set(PROGRESS_OPERATIONS)
+    if unknown:
+        raise ValueError(f"unknown operation {operation!r}")
+    declared = {f.name: f.dataType for f in SCHEMAS["progress"].fields}
+    absent = {c: F.lit(None).cast(kind) for c, kind in declared.items() if c not in progress.columns and c not in KEYS}
+    rows = progress.withColumns(absent).filter(F.col("operation").isin(*wanted))
     is_vacuum = F.col("operation") == "vacuum"
     hidden = F.col("schemaname").isin("pg_catalog", "information_schema")
     if not include_toast:
         hidden = hidden | F.col("relname").startswith("pg_toast")
     # A vacuum needs a known table; the other operations keep rows without one.
-    rows = rows.filter(~is_vacuum | F.coalesce(~hidden, F.lit(False)))
-    sessions = activity.select(*keys, "pid", "query", "state", "xact_start", "wait_event_type", "wait_event")
+    rows = rows.filter(~is_vacuum | F.coalesce(F.col("relname").isNotNull() & ~hidden, F.lit(False)))
     total, scanned, done = F.col("blocks_total"), F.col("blocks_scanned"), F.col("blocks_done")
     scan_pct = F.when(is_vacuum, pct_ratio(scanned, total)).when(F.col("operation") == "analyze", percent(scanned, total))
     session_cols = ("query", "state", "wait_event_type", "wait_event")
-    detail = rows.join(sessions, [*keys, "pid"], "left").select(
+    measures = {"scan_progress_pct": scan_pct, "vacuum_progress_pct": F.when(is_vacuum, pct_ratio(done, total))}
+    # Only vacuums show their session.
+    sessions = activity.select(*keys, "pid", "query", "state", "xact_start", "wait_event_type", "wait_event")
+
+    def with_sessions(df: DataFrame) -> DataFrame:
+        found = df.join(sessions, [*keys, "pid"], "left").withColumns(measures)
+        age = F.when(is_vacuum, age_seconds("snapshot_ts", "xact_start"))
+        return found.withColumns({"duration_seconds": age} | {c: F.when(is_vacuum, F.col(c)) for c in session_cols})
+
+    out = {}
+    for op in wanted:
+        own = rows.filter(F.col("operation") == op)
+        own = with_sessions(own) if op == "vacuum" else own.withColumns(measures)
+        out[op] = own.select(*keys, *[F.col(source or name).alias(name) for name, source in PROGRESS_COLUMNS[op]])
+    out["operations"] = with_sessions(rows).select(
         *keys,
         "operation",
         "pid",
@@ -199,14 +295,14 @@ def operation_progress(
         "blocks_total",
         "blocks_scanned",
         "blocks_done",
-        scan_pct.alias("scan_progress_pct"),
-        F.when(is_vacuum, pct_ratio(done, total)).alias("vacuum_progress_pct"),
-        F.when(is_vacuum, age_seconds("snapshot_ts", "xact_start")).alias("duration_seconds"),
-        *[F.when(is_vacuum, F.col(c)).alias(c) for c in session_cols],
+        "scan_progress_pct",
+        "vacuum_progress_pct",
+        "duration_seconds",
+        *session_cols,
     )
     counts = [F.count_if(F.col("operation") == op).alias(f"{op}_count") for op in wanted]
-    summary = rows.groupBy(*keys).agg(*counts, F.count(F.lit(1)).alias("total_count"))
-    return {"operations": detail, "summary": summary}
+    out["summary"] = rows.groupBy(*keys).agg(*counts, F.count(F.lit(1)).alias("total_count"))
+    return out
 
 
 @counter_operator([], ["wal_records", "wal_fpi", "wal_bytes", "wal_buffers_full"])

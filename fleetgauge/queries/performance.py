@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import performance as P
-from fleetgauge.queries.registry import K, SYSTEM, age, fixed, hit, pct, pct0, pretty, query, rule, top, trunc
+from fleetgauge.queries.registry import CHECKS, K, SYSTEM, age, fixed, hit, pct, pct0, pretty, query, rule, top, trunc
 
 
 @query(
@@ -24,7 +24,7 @@ def _grown(table: str, ids: str, counters: list[str]) -> str:
     )
     lags = ", ".join(f"lag({c}) OVER w AS _{c}" for c in counters)
     return (
-        f"(SELECT * REPLACE ({cols}) FROM (SELECT *, row_number() OVER w AS _n, {lags} FROM {table} "
+        f"(SELECT * EXCLUDE (_n, {', '.join(f'_{c}' for c in counters)}) REPLACE ({cols}) FROM (SELECT *, row_number() OVER w AS _n, {lags} FROM {table} "
         f"WINDOW w AS (PARTITION BY {ids} ORDER BY snapshot_ts)) WHERE _n > 1)"
     )
 
@@ -108,8 +108,59 @@ _VISIBLE = "(operation <> 'vacuum' OR (schemaname NOT IN ('pg_catalog', 'informa
 _V = "p.operation = 'vacuum'"
 
 
-def _progress(t) -> dict:
-    return P.operation_progress(t["t_progress"], t["t_activity"])
+def _progress(t, **options) -> dict:
+    return P.operation_progress(t["t_progress"], t["t_activity"], **options)
+
+
+_SHOWN = "schemaname NOT IN ('pg_catalog', 'information_schema')"
+
+
+@query(
+    "p7_analyze_progress",
+    ["t_progress"],
+    f"""SELECT {K}, pid, datname, relname, phase, blocks_total AS sample_blks_total, blocks_scanned AS sample_blks_scanned,
+  {pct('blocks_scanned', 'blocks_total')} AS scan_progress_pct, child_tables_total, child_tables_done, delay_time FROM t_progress WHERE operation = 'analyze'""",
+)
+def _(t):
+    return _progress(t, operation="analyze")["analyze"]
+
+
+@query(
+    "p7_create_index_progress",
+    ["t_progress"],
+    f"""SELECT {K}, pid, datname, relname AS table_name, index_name, command, phase, blocks_total, blocks_done, tuples_total, tuples_done, partitions_total, partitions_done
+FROM t_progress WHERE operation = 'create_index'""",
+)
+def _(t):
+    return _progress(t, operation="create-index")["create_index"]
+
+
+@query(
+    "p7_cluster_progress",
+    ["t_progress"],
+    f"""SELECT {K}, pid, datname, relname, command, phase, blocks_total AS heap_blks_total, heap_tuples_scanned, heap_tuples_written, cluster_index_relid
+FROM t_progress WHERE operation = 'cluster'""",
+)
+def _(t):
+    return _progress(t, operation="cluster")["cluster"]
+
+
+def _vacuum_progress(where: str) -> str:
+    return f"""SELECT {K}, pid, p.datname AS database, schemaname AS schema_name, relname AS table_name, phase, blocks_total AS heap_blks_total,
+  blocks_scanned AS heap_blks_scanned, blocks_done AS heap_blks_vacuumed, index_vacuum_count, max_dead_tuples, num_dead_tuples,
+  {pct0('blocks_scanned', 'blocks_total')} AS scan_progress_pct, {pct0('blocks_done', 'blocks_total')} AS vacuum_progress_pct, query, state,
+  {age('snapshot_ts', 'xact_start')} AS duration_seconds, wait_event_type, wait_event
+FROM t_progress p LEFT JOIN t_activity a USING ({K}, pid) WHERE operation = 'vacuum' AND {where}"""
+
+
+@query("p7_vacuum_progress", ["t_progress", "t_activity"], _vacuum_progress(f"{_SHOWN} AND relname NOT LIKE 'pg_toast%'"))
+def _(t):
+    return _progress(t)["vacuum"]
+
+
+@query("p7_vacuum_progress_with_toast", ["t_progress", "t_activity"], _vacuum_progress(f"{_SHOWN} AND relname IS NOT NULL"))
+def _(t):
+    return _progress(t, operation="vacuum", include_toast=True)["vacuum"]
 
 
 @query(
@@ -196,19 +247,62 @@ def checkpointer_view(counters):
     )
 
 
+_CHECKPOINTER_VIEW = f"""(SELECT {K}, checkpoints_timed AS num_timed, checkpoints_req AS num_requested, checkpoints_timed + checkpoints_req AS num_done,
+  write_time_ms, sync_time_ms, buffers_checkpoint AS buffers_written, slru_written FROM t_counters)"""
+
+
 @query(
     "p12_checkpointer_stats",
     ["t_counters"],
     f"""SELECT *, coalesce({pct('write_time_ms', '100 * num_done')}, 0) AS avg_write_time_per_checkpoint_ms,
   coalesce({pct('sync_time_ms', '100 * num_done')}, 0) AS avg_sync_time_per_checkpoint_ms,
   CASE WHEN num_timed > 0 AND num_requested > num_timed * 2 THEN 'WARNING' WHEN write_time_ms > 10000 OR sync_time_ms > 10000 THEN 'WARNING' ELSE 'OK' END AS checkpointer_status
-FROM (SELECT {K}, checkpoints_timed AS num_timed, checkpoints_req AS num_requested, checkpoints_timed + checkpoints_req AS num_done, write_time_ms, sync_time_ms,
-  buffers_checkpoint AS buffers_written, slru_written FROM t_counters)""",
+FROM {_CHECKPOINTER_VIEW}""",
 )
 def _(t):
     return P.checkpointer_stats(checkpointer(t))
 
 
+# Every counter report over growth: the check is that of the totals, over a plain lag of each series.
+_CONTEXT = list(P.IO_CONTEXT_COUNTERS)
+_CONFLICTS = [c for c in P.DATABASE_COUNTERS if c.startswith("confl_")]
+_INTERVALS = {
+    "p2_rollback_rate": ("t_databases", "cluster_id, datname", ["xact_commit", "xact_rollback"], lambda t: P.rollback_rate(t["t_databases"], mode="interval")),
+    "p5_temp_file_usage": ("t_databases", "cluster_id, datname", ["temp_files", "temp_bytes"], lambda t: P.temp_file_usage(t["t_databases"], threshold_gb=1, mode="interval")),
+    "p6_database_io": (
+        "t_databases",
+        "cluster_id, datname",
+        ["temp_files", "temp_bytes", "blks_read", "blks_hit", "blk_read_time", "blk_write_time"],
+        lambda t: P.io_statistics(t["t_databases"], t["t_io_contexts"], mode="interval")["database"],
+    ),
+    "p6_io_by_context": (
+        "t_io_contexts",
+        "cluster_id, backend_type, object, context",
+        _CONTEXT,
+        lambda t: P.io_statistics(t["t_databases"], t["t_io_contexts"], mode="interval")["by_context"],
+    ),
+    "p8_wal_statistics": ("t_counters", "cluster_id", ["wal_records", "wal_fpi", "wal_bytes", "wal_buffers_full"], lambda t: P.wal_statistics(t["t_counters"], mode="interval")),
+    "p9_slru_stats": ("t_slru", "cluster_id, name", list(P.SLRU_COUNTERS), lambda t: P.slru_stats(t["t_slru"], mode="interval")),
+    "p10_user_function_stats": ("t_functions", "cluster_id, funcid", ["calls", "total_time_us", "self_time_us"], lambda t: P.user_function_stats(t["t_functions"], mode="interval")),
+    "p11_recovery_conflicts": ("t_databases", "cluster_id, datname", _CONFLICTS, lambda t: P.recovery_conflicts(t["t_databases"], mode="interval")),
+    "p12_checkpointer_stats": (
+        _CHECKPOINTER_VIEW,
+        "cluster_id",
+        ["num_timed", "num_requested", "num_done", "write_time_ms", "sync_time_ms", "buffers_written", "slru_written"],
+        lambda t: P.checkpointer_stats(checkpointer(t), mode="interval"),
+    ),
+}
+
+
+def register_intervals(reports: dict) -> None:
+    for name, (table, ids, counters, build) in reports.items():
+        tables, sql = CHECKS[name]
+        query(f"{name}_interval", tables, sql.replace(f"FROM {table}", f"FROM {_grown(table, ids, counters)}"))(build)
+
+
+register_intervals(_INTERVALS)
+
+
 def _statements(order: str, n: int = 10) -> str:
     return f"""SELECT {K}, queryid, left(query, 500) AS query_text, calls, {pct('total_exec_us', '100000 * calls')} AS mean_time_ms,
   {pct('min_exec_us', '100000')} AS min_time_ms, {pct('max_exec_us', '100000')} AS max_time_ms, {pct('stddev_exec_us', '100000')} AS stddev_time_ms,
@@ -403,6 +497,17 @@ def _(t):
     return _io(t)["indexes"]
 
 
+_TABLE_IDS, _INDEX_IDS = "cluster_id, schemaname, relname", "cluster_id, schemaname, relname, index_name"
+_TABLE_GROWTH = [c for c in P.TABLE_COUNTERS if not c.startswith("tidx_")]
+register_intervals(
+    {
+        "p17_buffer_pool_io": ("t_tables", _TABLE_IDS, _TABLE_GROWTH, lambda t: P.buffer_pool_io(t["t_tables"], mode="interval")),
+        "p18_table_io": ("t_tables", _TABLE_IDS, _TABLE_GROWTH, lambda t: P.table_io(t["t_tables"], min_size_gb=0.01, mode="interval")),
+        "p19_index_io": ("t_indexes", _INDEX_IDS, ["idx_scan", "idx_blks_read", "idx_blks_hit"], lambda t: P.index_io(t["t_indexes"], min_size_gb=0.01, mode="interval")),
+    }
+)
+
+
 @query("p20_disk_io_findings", ["t_tables", "t_indexes"], f"SELECT DISTINCT * FROM ({_IO_WITH} {_IO_NOTES})")
 def _(t):
     return _io(t)["findings"]

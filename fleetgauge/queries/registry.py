@@ -10,6 +10,8 @@ from fleetgauge.sources.derive import Telemetry, with_derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The text of each check and the tables it reads, for checks that build on another.
+CHECKS: dict[str, tuple[list[str], str]] = {}
 
 K = "cluster_id, snapshot_ts"
 
@@ -27,6 +29,7 @@ def query(name: str, tables: list[str], sql: str | None) -> Callable:
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_derived(tables, sql)
+            CHECKS[name] = tables, sql
         return build
 
     return add

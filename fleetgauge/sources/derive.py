@@ -242,8 +242,9 @@ FROM {{orders}}
     "t_index_counters": f"""
 SELECT {_K_ORDER}, 'public' AS schemaname, 't' || CAST(o_custkey AS STRING) AS relname,
        'ix_' || CAST(o_orderkey AS STRING) AS index_name,
-       o_orderkey % 50 AS idx_scan, o_orderkey % 900 AS idx_tup_read, o_orderkey % 800 AS idx_tup_fetch
-FROM {{orders}} WHERE o_orderstatus <> 'O'
+       CASE WHEN o_orderstatus <> 'O' THEN o_orderkey % 50 END AS idx_scan, CASE WHEN o_orderstatus <> 'O' THEN o_orderkey % 900 END AS idx_tup_read,
+       CASE WHEN o_orderstatus <> 'O' THEN o_orderkey % 800 END AS idx_tup_fetch
+FROM {{orders}}
 """,
     "t_heap_samples": """
 SELECT cluster_id, snapshot_ts, schemaname, relname, table_len, tuple_len, tuple_count, tuple_percent,
@@ -334,7 +335,7 @@ FROM {orders}
     "t_prepared_xacts": f"""
 SELECT {_K_EVENT}, 'gid' || CAST(event_id AS STRING) AS gid, 'user' || CAST(user_id AS STRING) AS owner,
        'db' || CAST(user_id % 3 AS STRING) AS database, CAST(ts AS TIMESTAMP) AS prepared, event_id AS transaction
-FROM {{events}} WHERE event_type = 'purchase'
+FROM {{events}}
 """,
     "t_sequences": """
 SELECT 'c' || CAST(p_partkey % 5 AS STRING) AS cluster_id, TIMESTAMP '2024-01-01 00:00:00' AS snapshot_ts, 'public' AS schemaname,
@@ -412,8 +413,13 @@ SELECT cluster_id, snapshot_ts, pid, datname, CASE pid % 4 WHEN 0 THEN 'analyze'
        CASE WHEN pid % 13 = 0 THEN NULL WHEN pid % 10 = 0 THEN 'pg_toast_' || CAST(pid % 60 AS STRING) WHEN pid % 10 = 7 THEN 'pg_toast_' || CAST(pid % 60 AS STRING)
             ELSE 't' || CAST(pid % 60 AS STRING) END AS relname,
        CASE WHEN pid % 4 = 1 THEN 'ix' || CAST(pid % 60 AS STRING) END AS index_name, 'scanning' AS phase,
-       (pid % 7) * 100 AS blocks_total, (pid % 7) * (pid % 100) AS blocks_scanned, (pid % 7) * (pid % 50) AS blocks_done
-FROM {t_activity} WHERE backend_type <> 'client backend'
+       (pid % 7) * 100 AS blocks_total, (pid % 7) * (pid % 100) AS blocks_scanned, (pid % 7) * (pid % 50) AS blocks_done,
+       CASE pid % 8 WHEN 1 THEN 'CREATE INDEX' WHEN 5 THEN 'REINDEX' WHEN 2 THEN 'CLUSTER' WHEN 6 THEN 'VACUUM FULL' END AS command,
+       pid % 1000 AS tuples_total, pid % 500 AS tuples_done, pid % 3 AS partitions_total, pid % 2 AS partitions_done,
+       pid % 5 AS child_tables_total, pid % 4 AS child_tables_done, CAST(pid % 80 AS DOUBLE) / 8 AS delay_time,
+       pid % 900 AS heap_tuples_scanned, pid % 800 AS heap_tuples_written, CASE WHEN pid % 3 = 0 THEN pid END AS cluster_index_relid,
+       pid % 6 AS index_vacuum_count, pid % 700 AS max_dead_tuples, pid % 300 AS num_dead_tuples
+FROM {t_activity}
 """,
     "t_subscriptions": """
 SELECT cluster_id, snapshot_ts, 'sub_' || usename AS subname, CASE WHEN max(pid) % 9 = 0 THEN NULL ELSE max(pid) END AS subid,

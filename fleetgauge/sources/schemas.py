@@ -96,7 +96,10 @@ _COLUMNS = {
     ),
     "progress": (
         "operation string, pid long, datname string, schemaname string, relname string, index_name string, "
-        "phase string, blocks_total long, blocks_scanned long, blocks_done long"
+        "phase string, blocks_total long, blocks_scanned long, blocks_done long, command string, tuples_total long, tuples_done long, "
+        "partitions_total long, partitions_done long, child_tables_total long, child_tables_done long, delay_time double, "
+        "heap_tuples_scanned long, heap_tuples_written long, cluster_index_relid long, index_vacuum_count long, "
+        "max_dead_tuples long, num_dead_tuples long"
     ),
     "sequences": (
         "schemaname string, sequence_name string, last_val long, max_val long, seqcycle boolean"

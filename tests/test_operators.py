@@ -514,3 +514,40 @@ def test_no_keys_equals_the_one_key_slice(table):
     assert P.buffer_pool_io(t, keys=[]).first().heap_hit_ratio == P.buffer_pool_io(t).first().heap_hit_ratio == 50.0
     need = M.tables_needing_vacuum(t, s, keys=[], settings_keys=[])
     assert need.count() == M.tables_needing_vacuum(t, s).count() == 9
+
+
+def test_interval_mode_takes_any_keys(spark):
+    """Series are told by the keys but for the time; each has resets of its own, and one moment alone has no growth."""
+    from fleetgauge.operators.performance import io_statistics, wal_statistics
+
+    rows = [(r, f"2024-01-0{d}", "db", n) for r, values in (("eu", (10, 30, 5)), ("us", (100, 90, 95))) for d, n in enumerate(values, 1)]
+    df = spark.createDataFrame(rows, "region string, t string, datname string, wal_records long").withColumn("snapshot_ts", F.col("t").cast("timestamp"))
+    df = df.withColumns({c: F.col("wal_records") * 2 for c in ("wal_fpi", "wal_bytes", "wal_buffers_full")})
+    got = sorted((r.region, r.wal_records, r.wal_fpi) for r in wal_statistics(df, ["region", "snapshot_ts"], mode="interval").collect())
+    assert got == [("eu", 5, 10), ("eu", 20, 40), ("us", 5, 10), ("us", 90, 180)]
+    one = df.filter("region = 'eu'").drop("region")
+    assert sorted(r.wal_records for r in wal_statistics(one, keys=[], mode="interval").collect()) == [5, 20]
+    with pytest.raises(ValueError, match="snapshot_ts"):
+        wal_statistics(df.drop("snapshot_ts"), keys=["region"], mode="interval")
+    context = df.select("region", "snapshot_ts", F.lit("client").alias("backend_type"), F.lit("relation").alias("object"), F.lit("normal").alias("context"), F.col("wal_records").alias("reads"), (F.col("wal_records") * 8).alias("read_bytes"))
+    databases = df.select("region", "snapshot_ts", "datname", *[F.col("wal_records").alias(c) for c in ("temp_files", "temp_bytes", "blks_read", "blks_hit", "blk_read_time", "blk_write_time")])
+    found = io_statistics(databases, context, mode="interval", keys=["region", "snapshot_ts"])
+    assert sorted((r.region, r.reads, r.read_bytes_pretty) for r in found["by_context"].collect()) == [("eu", 5, "40 bytes"), ("eu", 20, "160 bytes"), ("us", 5, "40 bytes"), ("us", 90, "720 bytes")]
+    assert found["database"].count() == 4
+
+
+def test_progress_views_have_their_own_columns(table):
+    from fleetgauge.sources.schemas import SCHEMAS
+
+    p = table("progress", {"operation": "vacuum", "pid": 1, "schemaname": "public", "relname": "t", "num_dead_tuples": 7}, {"operation": "create_index", "pid": 2, "relname": "t", "command": "REINDEX", "tuples_done": 3}, {"operation": "vacuum", "pid": 3, "schemaname": "public"})
+    out = P.operation_progress(p, table("activity"), include_toast=True)
+    assert [(r.pid, r.num_dead_tuples) for r in out["vacuum"].collect()] == [(1, 7)]
+    assert [(r.pid, r.command, r.tuples_done, r.partitions_done) for r in out["create_index"].collect()] == [(2, "REINDEX", 3, None)]
+    assert out["cluster"].count() == 0 and set(P.PROGRESS_COLUMNS) == set(P.PROGRESS_OPERATIONS)
+    # A progress table as collected by an older version lacks the newer columns.
+    old = p.drop("command", "tuples_done", "num_dead_tuples")
+    assert P.operation_progress(old, table("activity"), "vacuum")["vacuum"].schema == out["vacuum"].schema
+    assert set(P.operation_progress(p, table("activity"), "create-index")) == {"create_index", "operations", "summary"}
+    with pytest.raises(ValueError):
+        P.operation_progress(p, table("activity"), "reindex")
+    assert {"delay_time", "cluster_index_relid"} <= {f.name for f in SCHEMAS["progress"].fields}
