@@ -168,13 +168,16 @@ def with_settings(
     return found.withColumns({n: F.col(n)["setting"] for n in names} | {"_known": F.coalesce("_known", F.lit(False))})
 
 
-def setting_rows(found: Settings, names: Sequence[str]) -> DataFrame:
-    """The settings of each row of ``found`` in long form (``name``, ``setting``, ``unit``); one without any keeps a row without a name."""
+def setting_rows(found: Settings, names: Sequence[str], carried: Sequence[Column | str] = ()) -> DataFrame:
+    """The settings of each row of ``found`` in long form (``name``, ``setting``, ``unit``); one without any keeps a row without a name.
+
+    ``carried`` columns come along.
+    """
     cells = [
         F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("name"), F.col(n)["setting"].alias("setting"), F.col(n)["unit"].alias("unit")))
         for n in names
     ]
-    return found.frame.select(*found.own_keys(), F.inline_outer(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    return found.frame.select(*found.own_keys(), *carried, F.inline_outer(F.filter(F.array(*cells), lambda c: c.isNotNull())))
 
 
 def first_names(df: DataFrame, name: str, order: Sequence[Column], keys: Sequence[str] = KEYS, n: int = 5) -> DataFrame:

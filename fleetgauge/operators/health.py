@@ -272,13 +272,13 @@ def _rows_of(df: DataFrame, cells: Sequence[Column], keys: Sequence[str]) -> Dat
     return df.select(*keys, F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
 
 
-def _blocked() -> Column:
+def blocked_session() -> Column:
     return F.coalesce((F.col("wait_event_type") == "Lock") & (F.col("state") == "active"), F.lit(False))
 
 
 def activity_facts(activity: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return activity.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("used"), F.count_if(_blocked()).alias("blocking_queries")
+        F.count(F.lit(1)).alias("used"), F.count_if(blocked_session()).alias("blocking_queries")
     )
 
 
@@ -402,7 +402,7 @@ def lock_counts(locks: DataFrame, activity: DataFrame, keys: Sequence[str] = KEY
             F.lit(0).alias("is_lock"),
             F.lit(False).alias("waits"),
             F.lit(None).cast("long").alias("wait_pid"),
-            _blocked().alias("blocked"),
+            blocked_session().alias("blocked"),
         )
     )
     return both.groupBy(*keys).agg(
@@ -459,50 +459,44 @@ def _own_keys(settings: DataFrame, settings_keys: Sequence[str]) -> list[str]:
     return [*settings_keys, "snapshot_ts"] if timed else list(settings_keys)
 
 
-def settings_findings(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
-    """Advice on the watched settings, one row per setting (and snapshot of it) that deserves it."""
-    settings_keys = _own_keys(settings, settings_keys)
+def _setting_rules() -> list[Rule]:
+    """What is wrong with a watched setting, over the columns name, setting and unit."""
     value, unit, name = F.col("setting"), F.col("unit"), F.col("name")
     size = size_to_bytes(value, unit)
     current = F.concat(value, F.coalesce(unit, F.lit("")))
-    watched = settings.filter(name.isin(*CRITICAL_SETTINGS))
 
     def rule(setting: str, severity: str, when: Column, advice: str) -> Rule:
         metric = F.coalesce(value.try_cast("double"), F.lit(0.0))
         return Rule(setting, (name == setting) & when, severity, name, metric, text(name, " = ", current, ": ", advice))
 
-    return findings(
-        watched,
-        "settings",
-        [
-            rule("shared_buffers", "high", size < 128 * 1024**2, "raise towards a quarter of system memory"),
-            rule("work_mem", "medium", size < 4 * 1024**2, "raise for complex queries"),
-            rule("effective_cache_size", "info", F.lit(True), "expected near three quarters of system memory"),
-            rule(
-                "checkpoint_completion_target",
-                "medium",
-                value.try_cast("double") < 0.9,
-                "raise to 0.9 to spread checkpoint writes",
-            ),
-            rule("autovacuum", "critical", value == "off", "turn on to prevent wraparound"),
-        ],
-        settings_keys,
-    )
+    return [
+        rule("shared_buffers", "high", size < 128 * 1024**2, "raise towards a quarter of system memory"),
+        rule("work_mem", "medium", size < 4 * 1024**2, "raise for complex queries"),
+        rule("effective_cache_size", "info", F.lit(True), "expected near three quarters of system memory"),
+        rule(
+            "checkpoint_completion_target",
+            "medium",
+            value.try_cast("double") < 0.9,
+            "raise to 0.9 to spread checkpoint writes",
+        ),
+        rule("autovacuum", "critical", value == "off", "turn on to prevent wraparound"),
+    ]
+
+
+def settings_findings(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
+    """Advice on the watched settings, one row per setting (and snapshot of it) that deserves it."""
+    return findings(settings, "settings", _setting_rules(), _own_keys(settings, settings_keys))
 
 
 def settings_penalty(settings: DataFrame, settings_keys: Sequence[str] = ("cluster_id",)) -> DataFrame:
     """Penalty points and number of findings per settings key (and snapshot), also where there are none."""
-    settings_keys = _own_keys(settings, settings_keys)
-    points = F.lit(0)
-    for severity, value in SEVERITY_PENALTY.items():
-        points = F.when(F.col("severity") == severity, value).otherwise(points)
-    charged = settings_findings(settings, settings_keys).select(*settings_keys, points.alias("p"), F.lit(1).alias("f"))
-    present = settings.select(*settings_keys, F.lit(0).alias("p"), F.lit(0).alias("f"))
-    return (
-        charged.unionByName(present)
-        .groupBy(*settings_keys)
-        .agg(F.sum("p").alias("settings_penalty"), F.sum("f").alias("settings_findings"))
-    )
+    points, found = F.lit(0), F.lit(0)
+    for rule in _setting_rules():
+        hit = F.coalesce(rule.when, F.lit(False))
+        points = points + F.when(hit, SEVERITY_PENALTY.get(rule.severity, 0)).otherwise(0)
+        found = found + F.when(hit, 1).otherwise(0)
+    rows = settings.groupBy(*_own_keys(settings, settings_keys))
+    return rows.agg(F.sum(points).alias("settings_penalty"), F.sum(found).alias("settings_findings"))
 
 
 def _settings_cell(present: Column) -> Column:
@@ -516,6 +510,35 @@ def check_settings(settings: DataFrame, settings_keys: Sequence[str] = ("cluster
     return _rows_of(settings_penalty(settings, keys), [_settings_cell(F.lit(True))], keys)
 
 
+def checks_of_facts(
+    facts: DataFrame, settings: DataFrame, keys: Sequence[str] = KEYS, settings_keys: Sequence[str] = ("cluster_id",)
+) -> DataFrame:
+    """The facts, one row per key, with ``checks``, the array of all present checks."""
+    # Limits and penalty are worked out once per interval of the settings, of which there are few, and met by the facts once.
+    names = [*_CONNECTION_SETTINGS, *RULED_SETTINGS]
+    found = settings_in_force(settings, names, keys, settings_keys)
+    limits = [F.col(n)["setting"].alias(f"_{n}") for n in _CONNECTION_SETTINGS]
+    validity = ["_to"] if found.timed else []
+    rows = setting_rows(found, names, [*validity, *limits])
+    by = [*found.own_keys(), *validity, *[f"_{n}" for n in _CONNECTION_SETTINGS]]
+    penalty = settings_penalty(rows, by).withColumnsRenamed({f"_{n}": n for n in _CONNECTION_SETTINGS})
+    d = replace(found, frame=penalty).attach(facts)
+    # A key was observed when its sessions, databases or counters were; then no replica is a fact.
+    observed = F.coalesce("used", "any_database", "checkpoints_timed").isNotNull()
+    cells = [
+        _connections_cell(),
+        _cache_cell(),
+        _locks_cell(),
+        _replication_cell(observed | F.col("replicas").isNotNull()),
+        _wraparound_cell(),
+        _disk_cell(),
+        _bgwriter_cell(),
+        _checkpoints_cell(),
+        _settings_cell(observed),
+    ]
+    return d.select(*facts.columns, F.filter(F.array(*cells), lambda c: c.isNotNull()).alias("checks"))
+
+
 def health_checks(
     activity: DataFrame,
     tables: DataFrame,
@@ -540,27 +563,7 @@ def health_checks(
         ],
         keys,
     )
-    # Limits and penalty are worked out once per interval of the settings, of which there are few, and met by the facts once.
-    names = [*_CONNECTION_SETTINGS, *RULED_SETTINGS]
-    found = settings_in_force(settings, names, keys, settings_keys)
-    penalty = settings_penalty(setting_rows(found, names), found.own_keys())
-    limits = found.frame.withColumns({n: F.col(n)["setting"] for n in _CONNECTION_SETTINGS}).drop(*RULED_SETTINGS)
-    in_force = replace(found, frame=keyed_join(limits, penalty, found.own_keys(), "left"))
-    d = in_force.attach(facts)
-    # A key was observed when its sessions, databases or counters were; then no replica is a fact.
-    observed = F.coalesce("used", "any_database", "checkpoints_timed").isNotNull()
-    cells = [
-        _connections_cell(),
-        _cache_cell(),
-        _locks_cell(),
-        _replication_cell(observed | F.col("replicas").isNotNull()),
-        _wraparound_cell(),
-        _disk_cell(),
-        _bgwriter_cell(),
-        _checkpoints_cell(),
-        _settings_cell(observed),
-    ]
-    return _rows_of(d, cells, keys)
+    return checks_of_facts(facts, settings, keys, settings_keys).select(*keys, F.inline("checks"))
 
 
 def overall_health(checks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -793,6 +796,13 @@ def index_classes(index_defs: DataFrame, schema: str = "public", keys: Sequence[
     )
 
 
+def index_score() -> Column:
+    """100 less capped penalties for invalid, unused and duplicate indexes."""
+    i, u, d = F.col("invalid_indexes"), F.col("unused_indexes"), F.col("duplicate_indexes")
+    score = 100 - F.least(F.lit(30), i * 10) - F.least(F.lit(20), u * 2) - F.least(F.lit(20), d * 5)
+    return F.greatest(F.lit(0), score).cast("long")
+
+
 def index_health(
     indexes: DataFrame,
     tables: DataFrame,
@@ -871,8 +881,6 @@ def index_health(
                 ).alias("message"),
             )
         )
-    i, u, d = F.col("invalid_indexes"), F.col("unused_indexes"), F.col("duplicate_indexes")
-    score = 100 - F.least(F.lit(30), i * 10) - F.least(F.lit(20), u * 2) - F.least(F.lit(20), d * 5)
     out["summary"] = (
         counted.groupBy(*keys)
         .agg(
@@ -881,7 +889,7 @@ def index_health(
             F.sum("d").alias("duplicate_indexes"),
             F.sum("s").alias("potential_savings_bytes"),
         )
-        .withColumn("score", F.greatest(F.lit(0), score).cast("long"))
+        .withColumn("score", index_score())
     )
     notes = drop[0]
     for part in drop[1:]:

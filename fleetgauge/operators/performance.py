@@ -613,6 +613,32 @@ def relation_sizes(tables: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 # --- disk I/O -----------------------------------------------------------------------------------
 
 
+POOL_COUNTERS = ("heap_blks_read", "heap_blks_hit", "idx_blks_read", "idx_blks_hit")
+
+
+def heap_ratio(zero_is_missing: bool = True) -> Column:
+    return zero_as_missing(hit_ratio("heap_blks_hit", "heap_blks_read"), 100, zero_is_missing)
+
+
+def pool_ratios(zero_is_missing: bool = True) -> tuple[Column, Column]:
+    """Cache hit ratios of heap and index blocks."""
+    return heap_ratio(zero_is_missing), zero_as_missing(hit_ratio("idx_blks_hit", "idx_blks_read"), 100, zero_is_missing)
+
+
+def io_candidates(size: str, schema: str = "public", min_size_gb: float = 1) -> Column:
+    """Whether a relation is large enough for the I/O reports."""
+    return (F.col("schemaname") == schema) & not_system_schema("schemaname") & (F.col(size) >= gb_to_bytes(min_size_gb))
+
+
+def physical_reads() -> Column:
+    return F.col("heap_blks_read") + F.coalesce("idx_blks_read", F.lit(0).cast("long"))
+
+
+def scan_ratio() -> Column:
+    """Share of sequential scans in all scans of a table."""
+    return pct_ratio("seq_scan", F.col("seq_scan") + F.coalesce("idx_scan", F.lit(0).cast("long")))
+
+
 @counter_operator(["schemaname", "relname"], TABLE_COUNTERS)
 def buffer_pool_io(tables: DataFrame, zero_is_missing: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
     names = {

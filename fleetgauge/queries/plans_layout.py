@@ -340,10 +340,18 @@ def _baseline_sql() -> str:
     return f"SELECT * FROM (WITH {ctes} " + " UNION ALL ".join(cells for _, _, cells in parts) + ")"
 
 
+_BASELINE_TABLES = ["t_activity", "t_tables", "t_locks", "t_replication", "t_databases", "t_counters", "t_settings", "t_indexes", "t_statements"]
+
+
+@query("x1_baseline_report", _BASELINE_TABLES, _baseline_sql())
+def _(t):
+    return X.baseline_metrics(X.baseline_report(_telemetry(t)))
+
+
 @query(
     "x1_baseline_metrics",
-    ["t_activity", "t_tables", "t_locks", "t_replication", "t_databases", "t_counters", "t_settings", "t_indexes", "t_statements"],
+    _BASELINE_TABLES,
     _baseline_sql(),
 )
 def _(t):
-    return X.baseline_metrics(X.baseline_report(_telemetry(t)))
+    return X.baseline_pass(_telemetry(t))

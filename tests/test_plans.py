@@ -211,3 +211,20 @@ def test_report_order(spark):
     rows = [("idle", 5, 1), ("active", 3, 2), ("active", None, 3), ("active", 9, 4)]
     df = spark.createDataFrame(rows, "state string, duration_seconds long, pid long")
     assert [r.pid for r in in_report_order(df, "active_queries", []).collect()] == [3, 4, 2, 1]
+
+
+def test_baseline_reads_each_table_once_per_purpose(spark):
+    """Under the scans and shuffles of the separate reports, and the same metrics."""
+    from fleetgauge.queries.plans_layout import _telemetry
+
+    t, root = _telemetry(Telemetry(spark, SF)), _new_dir(spark)
+    for name, df in t.items():
+        df.write.parquet(f"{root}/{name}")
+    stored = {name: spark.read.parquet(f"{root}/{name}") for name in t}
+    fused, apart = X.baseline_pass(stored), X.baseline_metrics(X.baseline_report(stored))
+    assert sorted(map(tuple, fused.collect()), key=repr) == sorted(map(tuple, apart.collect()), key=repr)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (fused, apart)]
+    scans, moves = [p.count("FileScan") for p in plans], [p.count("Exchange hashpartitioning") for p in plans]
+    assert scans[0] <= 18 and scans[0] < 0.6 * scans[1] and moves[0] < 0.4 * moves[1]
+    without = {k: v for k, v in stored.items() if k != "index_defs"}
+    assert X.baseline_pass(without).filter("metric = 'score' and section = 'index_health'").count() > 0
