@@ -1,20 +1,21 @@
 """Exact dedup over an extendible-hash index kept on shared files.
 
-The index has one entry per distinct text: its hash key, its place in the chain of texts with that key, the row that stays and the
-number of copies. A directory over the leading bits of the key says which bucket an entry belongs to. It doubles until no bucket
+The directory over the leading bits of the texts' hash keys is built first, from the distinct keys alone. It doubles until no bucket
 holds more than ``capacity`` keys; a bucket is split only as deep as it is overfull itself, so several directory cells may share one.
-Entries are written by range of (bucket, key), so that one task owns a bucket's chain.
+Every row finds its cell, and through it the bucket, which decides where its text is grouped, chained and looked up.
 
-Texts are compared byte for byte, as grouping columns of the aggregate that finds the entries; copies are counted before they are
-shuffled, so a text that a third of all rows share sends one row per task. Rows then look up their entry by key and digest; where a
-chain holds two texts with one digest, by the text itself. Only DataFrame functions are used.
+The index has one entry per distinct text: its bucket, hash key, place in the chain of texts with that key, the row that stays and the
+number of copies. Texts are compared byte for byte, as grouping columns within the bucket; copies are counted before they are
+shuffled, so a text that a third of all rows share sends one row per task. Entries are written by range of (bucket, key), so that one
+task owns a bucket's chains. Rows then look up their entry by bucket, key and digest; where a chain holds two texts with one digest, by
+the text itself. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,14 @@ class Index:
     directory: DataFrame
     depth: int
 
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with a ``key``, and the ``bucket`` that the directory sends them to.
+
+        The directory has a few cells per ``capacity`` keys; Spark broadcasts it while it is small.
+        """
+        cells = self.directory.select("cell", "bucket")
+        return rows.withColumn("cell", _cell(F.col("key"), self.depth)).join(cells, "cell").drop("cell")
+
 
 def _key(text: Column) -> Column:
     return F.xxhash64(text)
@@ -75,15 +84,16 @@ def build_directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
 
 def build_index(docs: DataFrame, folder: str, capacity: int, key: Callable[[Column], Column], digest: Callable[[Column], Column]) -> Index:
     """Index ``doc_id`` and ``text`` under ``folder``, which every executor has to reach."""
-    texts = docs.groupBy(key(F.col("text")).alias("key"), "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    found = _stored(texts.select("key", digest(F.col("text")).alias("digest"), F.octet_length("text").alias("n_bytes"), "keep_id", "group_size"), folder, "found")
-    cells, depth = build_directory(found.select("key").distinct(), capacity)
-    directory = _stored(cells, folder, "directory")
-    placed = found.join(directory, _cell(found["key"], depth) == directory["cell"]).select("bucket", *found.columns)
+    keyed = docs.select("doc_id", "text", key(F.col("text")).alias("key"))
+    cells, depth = build_directory(_stored(keyed.select("key").distinct(), folder, "keys"), capacity)
+    index = Index(docs, _stored(cells, folder, "directory"), depth)
+    texts = index.placed(keyed).groupBy("bucket", "key", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    found = texts.select("bucket", "key", digest(F.col("text")).alias("digest"), F.octet_length("text").alias("n_bytes"), "keep_id", "group_size")
     slot = Window.partitionBy("bucket", "key").orderBy("digest", "n_bytes", "keep_id")
     twins = F.count(F.lit(1)).over(Window.partitionBy("bucket", "key", "digest", "n_bytes")) > 1
-    chained = placed.repartitionByRange("bucket", "key").withColumns({"chain": F.row_number().over(slot), "twin": twins})
-    return Index(_stored(chained.sortWithinPartitions("bucket", "key", "chain"), folder, "entries"), directory, depth)
+    owned = _stored(found, folder, "found").repartitionByRange("bucket", "key")
+    chained = owned.withColumns({"chain": F.row_number().over(slot), "twin": twins})
+    return replace(index, entries=_stored(chained.sortWithinPartitions("bucket", "key", "chain"), folder, "entries"))
 
 
 def exact_dedup(
@@ -108,14 +118,14 @@ def exact_dedup(
     entries = index.entries.select("key", "digest", "n_bytes", "bucket", "chain", "keep_id", "group_size", "twin")
     text = F.col("text")
     probe = rows.select("doc_id", key(text).alias("key"), digest(text).alias("digest"), F.octet_length(text).alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
-    found = probe.join(entries.filter("not twin").drop("twin"), ["key", "digest", "n_bytes"])
+    found = index.placed(probe).join(entries.filter("not twin").drop("twin"), ["bucket", "key", "digest", "n_bytes"])
     if not entries.filter("twin").isEmpty():
-        found = found.unionByName(_by_text(rows, entries.filter("twin"), key, digest))
+        found = found.unionByName(_by_text(index, rows, entries.filter("twin"), key, digest))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain")
 
 
-def _by_text(rows: DataFrame, twins: DataFrame, key: Callable, digest: Callable) -> DataFrame:
+def _by_text(index: Index, rows: DataFrame, twins: DataFrame, key: Callable, digest: Callable) -> DataFrame:
     """Rows of texts that share key, digest and length with another text, matched by their text.
 
     The chain is numbered anew among the texts themselves; bucket and key are those of the index.
@@ -123,7 +133,7 @@ def _by_text(rows: DataFrame, twins: DataFrame, key: Callable, digest: Callable)
     slots = twins.select("key", "digest", "n_bytes", "bucket").distinct()
     text = F.col("text")
     keyed = rows.select("doc_id", "text", key(text).alias("key"), digest(text).alias("digest"), F.octet_length(text).alias("n_bytes"))
-    members = keyed.join(slots, ["key", "digest", "n_bytes"])
+    members = index.placed(keyed).join(slots, ["bucket", "key", "digest", "n_bytes"])
     groups = members.groupBy("key", "digest", "n_bytes", "bucket", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     slot = Window.partitionBy("key", "digest", "n_bytes").orderBy("text")
     groups = groups.withColumn("chain", F.row_number().over(slot)).drop("bucket")

@@ -50,6 +50,26 @@ def test_groups_agree_with_brute_force(spark, key, digest, capacity):
     assert mine == brute(data)
 
 
+@pytest.mark.parametrize("broken", ["one bucket by two names", "a cell in two buckets", "a cell is missing"])
+def test_the_directory_decides(spark, monkeypatch, broken):
+    """With a directory that sends rows elsewhere, the groups come out otherwise."""
+    data, build = rows(), X.build_directory
+
+    def wrong(keys, capacity):
+        cells, depth = build(keys, capacity)
+        first = cells.agg(F.min("cell")).first()[0]
+        if broken == "one bucket by two names":
+            other = cells.withColumn("bucket", F.floor(F.rand(1) * 1e6).cast("long"))
+            return cells.unionByName(other), depth
+        if broken == "a cell in two buckets":
+            return cells.unionByName(cells.filter(F.col("cell") == first).withColumn("bucket", F.lit(-1).cast("long"))), depth
+        return cells.filter(F.col("cell") != first), depth
+
+    monkeypatch.setattr(X, "build_directory", wrong)
+    out = X.exact_dedup(spark.createDataFrame(data, SCHEMA), 8).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted((tuple(r) for r in out.collect()), key=repr) != brute(data)
+
+
 def test_directory_splits_only_what_is_overfull(spark):
     crowded = [(i,) for i in range(1, 2000)]  # all below one leading prefix
     spread = [((i << 54) - (1 << 63),) for i in range(0, 1024, 7)]
