@@ -18,6 +18,7 @@ import itertools
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[ -~{_LETTERS}]*")
 _PLAIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _NONE = np.iinfo(np.int32).max
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Distinct units a task counts before it sends them; bytes of text handled at once.
 COUNTED = 500_000
 RUN_BYTES = 2 << 20
@@ -174,17 +175,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-#: What stands for a unit or word: its ids (each with a comma behind it), their number, and the bytes decoded from them.
-Code = tuple[str, int, bytes]
-
-
 class Memory:
-    """Codes met last, in two generations: when the younger is full it becomes the older one, so what recurs is not forgotten."""
+    """Ids (unsigned, 32 bits each) of what was met last, in two generations: when the younger is full it becomes the older one, so what recurs is not forgotten."""
 
     def __init__(self, size: int):
         self.size = size
-        self.young: dict[str, Code] = {}
-        self.old: dict[str, Code] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def missing(self, keys: list[str]) -> list[str]:
         """Which of the distinct keys are not known; the others are in the younger generation then."""
@@ -204,55 +201,51 @@ class Coder:
         self.vocabulary = vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.units, self.words = Memory(REMEMBERED), Memory(REMEMBERED * 3 // 5)
-
-    def _code(self, ids: list[int]) -> Code:
-        return "".join([f"{i}," for i in ids]), len(ids), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+        ids = range(max(self.vocabulary.bytes_of) + 1)
+        self.texts = pa.array([f"{i}," for i in ids], pa.large_string())
+        self.pieces = pa.array([self.vocabulary.bytes_of.get(i, b"") for i in ids], pa.large_binary())
 
     def _learn_words(self, words: list[str]) -> None:
-        fresh = self.words.missing(words)
-        special = self.vocabulary.special
-        known = self.words.young
+        fresh, special, known = self.words.missing(words), self.vocabulary.special, self.words.young
         for word in fresh:
             if word in special:
-                known[word] = self._code([special[word]])
+                known[word] = array("I", [special[word]]).tobytes()
         fresh = [w for w in fresh if w not in special]
         raw = [w.encode() for w in fresh]
         unseen = list(range(len(fresh)))
         if self.lexicon is not None:
             ranks = self.lexicon.ranks(raw)
             for i in np.flatnonzero(ranks >= 0).tolist():
-                known[fresh[i]] = self._code(self.lexicon.tokens(int(ranks[i])))
+                known[fresh[i]] = array("I", self.lexicon.tokens(int(ranks[i]))).tobytes()
             unseen = np.flatnonzero(ranks < 0).tolist()
         for i, ids in zip(unseen, self.vocabulary.merge([raw[i] for i in unseen]), strict=True):
-            known[fresh[i]] = self._code(ids)
+            known[fresh[i]] = array("I", ids).tobytes()
 
-    def learn(self, units: list[str]) -> list[Code]:
-        """The codes of distinct units."""
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units."""
         fresh = self.units.missing(units)
         split = [self.vocabulary.pre_tokens(u) for u in fresh]
         self._learn_words(list({w for tokens in split for w in tokens}))
         known, words = self.units.young, self.words.young
         for unit, tokens in zip(fresh, split, strict=True):
-            if len(tokens) == 1:
-                known[unit] = words[tokens[0]]
-            else:
-                ids, counts, raw = zip(*[words[w] for w in tokens], strict=True)
-                known[unit] = "".join(ids), sum(counts), b"".join(raw)
+            known[unit] = words[tokens[0]] if len(tokens) == 1 else b"".join([words[w] for w in tokens])
         return list(map(known.__getitem__, units))
 
     def encode(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, list[bytes]]:
         """Of each text: its ids joined by commas, their number, and the bytes decoded from them."""
         code, ends, distinct = numbered_units(texts)
         found = self.learn(distinct.to_pylist())
-        counts = np.fromiter((f[1] for f in found), np.int64, len(found))
-        total = np.concatenate([[0], np.cumsum(counts[code])])[ends]
-        ids = _joined(pa.array([f[0] for f in found], pa.large_string()), code, ends)
-        return [x[:-1] for x in ids], np.diff(total, prepend=0), _joined(pa.array([f[2] for f in found], pa.large_binary()), code, ends)
+        start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        counts = np.diff(start)[code]
+        after = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.frombuffer(b"".join(found), np.uint32)[np.arange(after[-1]) + np.repeat(start[code] - after[:-1], counts)]
+        bounds = after[ends]
+        return [x[:-1] for x in _joined(self.texts, ids, bounds)], np.diff(bounds, prepend=0), _joined(self.pieces, ids, bounds)
 
 
-def _joined(values: pa.Array, code: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """The values of the given numbers, put together for each text."""
-    taken = values.take(pa.array(code))
+def _joined(values: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The values of the ids, put together for each text."""
+    taken = values.take(pa.array(ids))
     _, offsets, data = taken.buffers()
     if data is None or not len(taken):
         return [b""] * len(ends)
