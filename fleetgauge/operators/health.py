@@ -513,7 +513,7 @@ def check_settings(settings: DataFrame, settings_keys: Sequence[str] = ("cluster
 def checks_of_facts(
     facts: DataFrame, settings: DataFrame, keys: Sequence[str] = KEYS, settings_keys: Sequence[str] = ("cluster_id",)
 ) -> DataFrame:
-    """The facts, one row per key, with ``checks``, the array of all present checks."""
+    """The facts, one row per key, with the connection limits, the settings' penalty, and ``checks``, the array of all present checks."""
     # Limits and penalty are worked out once per interval of the settings, of which there are few, and met by the facts once.
     names = [*_CONNECTION_SETTINGS, *RULED_SETTINGS]
     found = settings_in_force(settings, names, keys, settings_keys)
@@ -536,7 +536,7 @@ def checks_of_facts(
         _checkpoints_cell(),
         _settings_cell(observed),
     ]
-    return d.select(*facts.columns, F.filter(F.array(*cells), lambda c: c.isNotNull()).alias("checks"))
+    return d.withColumn("checks", F.filter(F.array(*cells), lambda c: c.isNotNull()))
 
 
 def health_checks(
@@ -551,21 +551,98 @@ def health_checks(
     settings_keys: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
     """All nine checks in long form; a check whose telemetry is absent for a key has no row."""
-    keys = list(keys)
-    facts = _merged(
-        [
-            activity_facts(activity, keys),
-            lock_facts(locks, keys),
-            cache_facts(tables, keys),
-            replication_facts(replication, keys),
-            database_facts(databases, keys),
-            bgwriter_facts(bgwriter, keys),
-        ],
-        keys,
-    )
+    facts = health_facts(activity, tables, locks, replication, databases, bgwriter, keys)
     return checks_of_facts(facts, settings, keys, settings_keys).select(*keys, F.inline("checks"))
 
 
+def health_facts(
+    activity: DataFrame,
+    tables: DataFrame,
+    locks: DataFrame,
+    replication: DataFrame,
+    databases: DataFrame,
+    bgwriter: DataFrame,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """What the checks look at, one row per key of any table."""
+    keys = list(keys)
+    parts = [
+        activity_facts(activity, keys),
+        lock_facts(locks, keys),
+        cache_facts(tables, keys),
+        replication_facts(replication, keys),
+        database_facts(databases, keys),
+        bgwriter_facts(bgwriter, keys),
+    ]
+    return _merged(parts, keys)
+
+
+def health_details(
+    facts: DataFrame,
+    replication: DataFrame,
+    databases: DataFrame,
+    settings: DataFrame,
+    keys: Sequence[str] = KEYS,
+    settings_keys: Sequence[str] = ("cluster_id",),
+    oldest: int | None = 5,
+) -> dict[str, DataFrame]:
+    """What stands behind each check, lazily, by its name: the numbers of a key, or the rows they come from.
+
+    ``facts`` is the result of :func:`checks_of_facts`. Replication lists the replicas with their lag, wraparound the ``oldest``
+    databases (``None``: all), disk usage all databases by size, settings the watched ones as collected.
+    """
+    keys, zero = list(keys), F.lit(0).cast("long")
+    limit = F.col("max_connections").cast("long")
+    timed, requested = F.col("checkpoints_timed"), F.col("checkpoints_req")
+    written = F.col("buffers_checkpoint") + F.col("buffers_clean") + F.col("buffers_backend")
+    own = databases.filter(~F.col("datname").isin(*TEMPLATE_DATABASES))
+    by_age = topn(own, oldest, [F.desc_nulls_last("xid_age"), F.asc("datname")], keys)
+    lag = F.coalesce(lsn_diff("sent_lsn", "replay_lsn"), zero)
+    return {
+        "connections": facts.filter("used is not null").select(
+            *keys,
+            F.col("used").alias("total_connections"),
+            limit.alias("max_connections"),
+            F.col("superuser_reserved_connections").cast("long").alias("superuser_reserved"),
+            percent("used", limit, 1).alias("used_percent"),
+        ),
+        "cache": facts.filter("tables is not null").select(
+            *keys,
+            "heap_blks_hit",
+            "heap_blks_read",
+            F.coalesce(percent("heap_blks_hit", F.col("heap_blks_hit") + F.col("heap_blks_read")), F.lit(0.0)).alias("heap_hit_ratio"),
+            "idx_blks_hit",
+            "idx_blks_read",
+            F.coalesce(percent("idx_blks_hit", F.col("idx_blks_hit") + F.col("idx_blks_read")), F.lit(0.0)).alias("index_hit_ratio"),
+        ),
+        "locks": facts.filter("waiting_locks is not null or blocking_queries is not null").select(
+            *keys, F.coalesce("waiting_locks", zero).alias("waiting_locks"), F.coalesce("blocking_queries", zero).alias("blocking_queries")
+        ),
+        "replication": replication.select(*keys, "application_name", "client_addr", "state", "sync_state", lag.alias("lag_bytes")),
+        "wraparound": by_age.select(
+            *keys, "datname", "xid_age", (F.lit(XID_LIMIT) - F.col("xid_age")).alias("xids_remaining"), percent("xid_age", F.lit(XID_LIMIT)).alias("used_percent")
+        ),
+        "disk_usage": own.select(*keys, "datname", size_pretty("size_bytes").alias("size"), "size_bytes"),
+        "bgwriter": facts.filter("checkpoints_timed is not null").select(
+            *keys,
+            "checkpoints_timed",
+            "checkpoints_req",
+            F.coalesce(percent(timed, timed + requested, 1), F.lit(100.0)).alias("timed_percent"),
+            "buffers_checkpoint",
+            "buffers_clean",
+            "buffers_backend",
+            F.coalesce(percent("buffers_backend", written, 1), F.lit(0.0)).alias("backend_write_percent"),
+        ),
+        "checkpoints": facts.filter("checkpoints_timed is not null").select(
+            *keys,
+            (timed + requested).alias("total_checkpoints"),
+            (F.col("reset_micros") / 1e6).alias("seconds_since_reset"),
+            F.coalesce(percent((timed + requested) * F.lit(36_000_000).cast("long"), F.col("reset_micros")), F.lit(0.0)).alias("checkpoints_per_hour"),
+        ),
+        "settings": settings.filter(F.col("name").isin(*CRITICAL_SETTINGS)).select(*_own_keys(settings, settings_keys), "name", "setting", "unit"),
+    }
+
+
 def overall_health(checks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean of the present checks (one decimal, ties to even) and its band."""
     d = checks.groupBy(*keys).agg(
@@ -646,19 +723,24 @@ def health_check(
     include_recommendations: bool = True,
     keys: Sequence[str] = KEYS,
     settings_keys: Sequence[str] = ("cluster_id",),
-) -> dict[str, DataFrame]:
-    checks = health_checks(activity, tables, locks, replication, databases, bgwriter, settings, keys, settings_keys)
+    verbose: bool = False,
+) -> dict[str, DataFrame | dict[str, DataFrame]]:
+    """Checks, overall score, findings; with ``verbose`` also ``details``, the :func:`health_details` of the same facts."""
+    keys = list(keys)
+    facts = checks_of_facts(health_facts(activity, tables, locks, replication, databases, bgwriter, keys), settings, keys, settings_keys)
+    checks = facts.select(*keys, F.inline("checks"))
     notes = health_findings(checks, keys)
     by_setting = settings_findings(settings, settings_keys)
     if not include_recommendations:
         notes = notes.filter(F.col("severity") != "advice")
         by_setting = by_setting.filter(F.col("severity").isin("critical", "high"))
-    return {
+    out = {
         "checks": checks,
         "overall": overall_health(checks, keys),
         "findings": notes,
         "settings_findings": by_setting,
     }
+    return out | ({"details": health_details(facts, replication, databases, settings, keys, settings_keys)} if verbose else {})
 
 
 # --- index health -------------------------------------------------------------------------------

@@ -23,10 +23,17 @@ def workload_statements(
     statements: DataFrame,
     min_calls: int = 5,
     min_avg_time_ms: float = 5,
-    limit: int = 50,
+    limit: int | None = 50,
     keys: Sequence[str] = KEYS,
+    own: DataFrame | None = None,
 ) -> DataFrame:
-    """The SELECT statements that took most time in total."""
+    """The SELECT statements that took most time in total; ``limit`` of a key, ``None`` for all.
+
+    ``own`` (``queryid``, and any of ``keys``) names the caller's statements instead: all of them count, whatever their time.
+    """
+    if own is not None:
+        named = [c for c in (*keys, "queryid") if c in own.columns]
+        return statements.join(own.select(*named).distinct(), named, "left_semi").select(*keys, "queryid").distinct()
     kept = statements.filter(
         (F.col("calls") >= min_calls)
         & (F.col("total_exec_us") >= F.col("calls") * F.lit(int(round(min_avg_time_ms * 1000))))
@@ -69,15 +76,15 @@ def workload_columns(
     )
 
 
-def layout_candidates(columns: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One candidate per column, and one over the three most used columns of a table."""
+def layout_candidates(columns: DataFrame, keys: Sequence[str] = KEYS, width: int = 3) -> DataFrame:
+    """One candidate per column, and one over the ``width`` most used columns of a table."""
     keys = list(keys)
     single = columns.select(
         *keys, "table_name", F.col("column_name").alias("columns"), F.lit("single column in use").alias("reason")
     )
     order = [F.desc("statements"), F.asc("column_name")]
     rank = F.row_number().over(Window.partitionBy(*keys, "table_name").orderBy(*order))
-    lead = columns.withColumn("_r", rank).filter(F.col("_r") <= 3)
+    lead = columns.withColumn("_r", rank).filter(F.col("_r") <= width)
     pairs = F.array_sort(F.collect_list(F.struct("_r", "column_name")))
     several = (
         lead.groupBy(*keys, "table_name")
@@ -129,29 +136,65 @@ def score_candidates(
     )
 
 
+#: A page's bytes less header and special space, the share of a leaf that is filled, and the bytes of an entry beside
+#: its columns (line pointer and tuple header), which are aligned to eight.
+PAGE_BYTES, PAGE_ROOM, FILL_PERCENT, ENTRY_BYTES, ALIGNED = 8192, 8152, 90, 12, 8
+
+
+def estimated_sizes(
+    candidates: DataFrame, widths: DataFrame, table_rows: DataFrame, id_cols: Sequence[str] = ("cluster_id",)
+) -> DataFrame:
+    """The bytes a B-tree over each distinct candidate would take: ``id_cols``, ``table_name``, ``columns``, ``estimated_size_bytes``.
+
+    ``widths`` has the mean bytes of each column (``table_name``, ``column_name``, ``avg_width``), ``table_rows`` the rows of each
+    table (``table_name``, ``row_count``). Leaves are filled to 90 %, one level of inner pages stands above several leaves, and a page
+    is the index's own. Unknown where a width or the number of rows is.
+    """
+    table = [*id_cols, "table_name"]
+    each = candidates.select(*table, "columns").distinct()
+    parts = each.withColumn("column_name", F.explode(F.split("columns", ",")))
+    known = parts.join(widths.select(*table, "column_name", "avg_width"), [*table, "column_name"], "left")
+    width = F.when(F.count("avg_width") == F.count(F.lit(1)), F.sum("avg_width"))
+    whole = known.groupBy(*table, "columns").agg(width.cast("long").alias("_width")).join(table_rows.select(*table, "row_count"), table, "left")
+    entry = F.expr(f"{ENTRY_BYTES} + {ALIGNED} * ((_width + {ALIGNED - 1}) div {ALIGNED})")
+    sized = whole.withColumn("_entry", entry).withColumn("_held", F.expr(f"if(_entry is null, null, greatest({PAGE_ROOM} * {FILL_PERCENT} div 100 div _entry, 1))"))
+    leaves = sized.withColumn("_leaves", F.expr("if(row_count is null or _held is null, null, greatest((row_count + _held - 1) div _held, 1))"))
+    pages = F.expr("1 + _leaves + if(_leaves > 1, (_leaves + _held - 1) div _held, 0)")
+    return leaves.select(*table, "columns", (pages * PAGE_BYTES).alias("estimated_size_bytes"))
+
+
+def _with_sizes(df: DataFrame, sizes: DataFrame | None, id_cols: Sequence[str]) -> DataFrame:
+    if sizes is None:
+        return df.withColumn("estimated_size_bytes", F.lit(None).cast("long"))
+    return df.join(sizes, [*id_cols, "table_name", "columns"], "left")
+
+
 def recommend_layout(
     scored: DataFrame,
-    max_recommendations: int = 10,
+    max_recommendations: int | None = 10,
     min_improvement_percent: float = 10,
     tables: Sequence[str] | None = None,
     keys: Sequence[str] = KEYS,
+    sizes: DataFrame | None = None,
+    id_cols: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
-    """The best candidates above the threshold.
+    """The best candidates of the wanted tables above the threshold; both filters come before the cut.
 
-    The cut comes before the table filter, so a filter can leave fewer rows than the limit.
+    ``sizes``: the :func:`estimated_sizes` per ``id_cols``; without them the size is NULL.
     """
-    order = [F.desc_nulls_last("estimated_improvement_percent"), F.asc("table_name"), F.asc("columns")]
-    best = topn(scored, max_recommendations, order, keys)
     if tables:
-        best = best.filter(F.lower("table_name").isin(*[t.lower() for t in tables]))
+        scored = scored.filter(F.lower("table_name").isin(*[t.lower() for t in tables]))
+    order = [F.desc_nulls_last("estimated_improvement_percent"), F.asc("table_name"), F.asc("columns")]
+    best = topn(scored.filter(F.col("estimated_improvement_percent") >= min_improvement_percent), max_recommendations, order, keys)
     statement = F.concat(
         F.lit("CREATE INDEX ON "), "table_name", F.lit(" USING btree ("), F.replace("columns", F.lit(","), F.lit(", ")), F.lit(")")
     )
-    return best.filter(F.col("estimated_improvement_percent") >= min_improvement_percent).select(
+    return _with_sizes(best, sizes, id_cols).select(
         *keys,
         "table_name",
         "columns",
         F.lit("btree").alias("using"),
+        "estimated_size_bytes",
         "estimated_improvement_percent",
         "reason",
         statement.alias("create_statement"),
@@ -161,10 +204,11 @@ def recommend_layout(
 def recommend_for_statement(
     candidates: DataFrame,
     what_if: DataFrame,
-    max_recommendations: int = 5,
+    max_recommendations: int | None = 5,
     id_cols: Sequence[str] = ("cluster_id", "queryid"),
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Candidates one statement would use, by its own improvement; unmeasured gains come last."""
+    """Candidates one statement would use, by its own improvement, with their sizes; unmeasured gains come last."""
     old, new = F.col("cost_before"), F.col("cost_after")
     gain = F.when((old != 0) & (new > 0), F.round((old - new) / old * 100, 4))
     tried = (
@@ -184,9 +228,8 @@ def recommend_for_statement(
             F.lit("cost less by "), fixed_text(F.col("estimated_improvement_percent"), 1), F.lit("%")
         ),
     ).otherwise("appears in the new plan")
-    return topn(tried, max_recommendations, order, id_cols).select(
-        *id_cols, "table_name", "columns", "estimated_improvement_percent", reason.alias("reason")
-    )
+    best = _with_sizes(topn(tried, max_recommendations, order, id_cols), sizes, ["cluster_id"])
+    return best.select(*id_cols, "table_name", "columns", "estimated_size_bytes", "estimated_improvement_percent", reason.alias("reason"))
 
 
 def recommend_indexes(
@@ -194,21 +237,32 @@ def recommend_indexes(
     column_usage: DataFrame,
     what_if: DataFrame,
     query_tables: DataFrame | None = None,
-    max_recommendations: int = 10,
+    max_recommendations: int | None = 10,
     min_improvement_percent: float = 10,
     tables: Sequence[str] | None = None,
     keys: Sequence[str] = KEYS,
-) -> dict[str, DataFrame]:
-    """The whole pipeline from statements to recommended indexes."""
+    widths: DataFrame | None = None,
+    table_rows: DataFrame | None = None,
+    min_calls: int = 5,
+    min_avg_time_ms: float = 5,
+    workload_limit: int | None = 50,
+    own_statements: DataFrame | None = None,
+) -> dict[str, DataFrame | None]:
+    """The whole pipeline from statements to recommended indexes.
+
+    The workload is the heaviest statements (``min_calls``, ``min_avg_time_ms``, ``workload_limit``), or ``own_statements``. Sizes are
+    estimated from ``widths`` and ``table_rows``.
+    """
     keys = list(keys)
-    workload = workload_statements(statements, keys=keys)
+    workload = workload_statements(statements, min_calls, min_avg_time_ms, workload_limit, keys, own_statements)
     usage = column_usage if query_tables is None else resolve_columns(column_usage, query_tables)
     candidates = layout_candidates(workload_columns(workload, usage, keys), keys)
     scored = score_candidates(candidates, what_if, workload, keys)
-    best = recommend_layout(scored, max_recommendations, min_improvement_percent, tables, keys)
+    sizes = None if widths is None or table_rows is None else estimated_sizes(candidates, widths, table_rows)
+    best = recommend_layout(scored, max_recommendations, min_improvement_percent, tables, keys, sizes)
     analyzed = workload.groupBy(*keys).agg(F.count(F.lit(1)).alias("analyzed_queries"))
     found = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     summary = analyzed.join(found, keys, "left").select(
         *keys, "analyzed_queries", F.coalesce("_n", F.lit(0).cast("long")).alias("total_recommendations")
     )
-    return {"recommendations": best, "candidates": candidates, "summary": summary}
+    return {"recommendations": best, "candidates": candidates, "summary": summary, "sizes": sizes}

@@ -37,8 +37,9 @@ NODE_FIELDS = (
 )
 
 # Breadth-first walk of one plan inside one row: `front` holds the nodes of the current level,
-# `done` those already passed. The text cannot be deeper than it has "Plans" fields, so the walk
-# needs no depth limit, no join per level and no shuffle.
+# `levels_done` the levels already passed, which are strung together once, at the end. The text
+# cannot be deeper than it has "Plans" fields, so the walk needs no depth limit, no join per level
+# and no shuffle.
 _NODE = "struct<node_id: string, parent_id: string, depth: int, node: variant>"
 _WALK = f"""
 reduce(
@@ -46,14 +47,14 @@ reduce(
   named_struct(
     'front', if(root is null, cast(array() as array<{_NODE}>),
                 array(named_struct('node_id', '1', 'parent_id', cast(null as string), 'depth', 1, 'node', root))),
-    'done', cast(array() as array<{_NODE}>)),
+    'levels_done', cast(array() as array<array<{_NODE}>>)),
   (acc, i) -> if(size(acc.front) = 0, acc, named_struct(
     'front', flatten(transform(acc.front, n -> transform(
       coalesce(try_variant_get(n.node, '$.Plans', 'array<variant>'), cast(array() as array<variant>)),
       (child, j) -> named_struct(
         'node_id', concat(n.node_id, '.', cast(j + 1 as string)), 'parent_id', n.node_id, 'depth', i + 1, 'node', child)))),
-    'done', concat(acc.done, acc.front))),
-  acc -> acc.done)
+    'levels_done', array_append(acc.levels_done, acc.front))),
+  acc -> flatten(acc.levels_done))
 """
 # All fields of a node in one pass over its document; a missing field is NULL.
 _FIELDS = "struct<" + ", ".join(f"`{name}`: {kind}" for name, _, kind in NODE_FIELDS) + ">"

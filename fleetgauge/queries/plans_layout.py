@@ -186,13 +186,32 @@ _SCORED = f"""(SELECT {K}, table_name, columns, round(s::DOUBLE / n, 4) AS estim
   SELECT w.cluster_id, w.snapshot_ts, x.table_name, x.candidate_columns AS columns, sum({_GAIN}) AS s, count(*) AS n FROM t_what_if x JOIN {_WORK} w USING (cluster_id, queryid)
   WHERE x.would_use AND cost_before <> 0 AND cost_after > 0 AND {_GAIN} <> 0 GROUP BY ALL) JOIN (SELECT DISTINCT {K}, table_name, columns FROM {_CAND}) USING ({K}, table_name, columns)
   JOIN (SELECT {K}, count(*) AS q FROM {_WORK} GROUP BY ALL) USING ({K}))"""
-_BEST = f"""(SELECT *, 'CREATE INDEX ON ' || table_name || ' USING btree (' || replace(columns, ',', ', ') || ')' AS create_statement, 'btree' AS using FROM (
-  SELECT * FROM {_SCORED} {top(10, 'estimated_improvement_percent DESC, table_name, columns')}) WHERE estimated_improvement_percent >= 10)"""
-_ADVICE = ["t_statements", "t_column_usage", "t_query_tables", "t_what_if"]
+_SIZES = """(SELECT cluster_id, table_name, columns, 8192 * (1 + leaves + CASE WHEN leaves > 1 THEN (leaves + held - 1) // held ELSE 0 END) AS estimated_size_bytes
+FROM (SELECT *, CASE WHEN row_count IS NOT NULL AND held IS NOT NULL THEN greatest((row_count + held - 1) // held, 1) END AS leaves
+FROM (SELECT *, CASE WHEN width IS NOT NULL THEN greatest(8152 * 90 // 100 // (12 + 8 * ((width + 7) // 8)), 1) END AS held
+FROM (SELECT cluster_id, table_name, columns, CASE WHEN count(avg_width) = count(*) THEN sum(avg_width)::BIGINT END AS width
+  FROM (SELECT DISTINCT cluster_id, table_name, columns, unnest(string_split(columns, ',')) AS column_name FROM {base}) c
+  LEFT JOIN t_column_widths USING (cluster_id, table_name, column_name) GROUP BY ALL) w
+LEFT JOIN t_table_rows USING (cluster_id, table_name)) h) l)"""
 
 
-def _advice(t) -> dict:
-    return L.recommend_indexes(t["t_statements"], t["t_column_usage"], t["t_what_if"], t["t_query_tables"])
+def _best(scored: str, n: int = 10, least: int = 10, where: str = "true") -> str:
+    return f"""(SELECT *, 'CREATE INDEX ON ' || table_name || ' USING btree (' || replace(columns, ',', ', ') || ')' AS create_statement, 'btree' AS using FROM (
+  SELECT * FROM {scored} WHERE estimated_improvement_percent >= {least} AND {where} {top(n, 'estimated_improvement_percent DESC, table_name, columns')}) b
+  LEFT JOIN {_SIZES.replace('{base}', scored)} z USING (cluster_id, table_name, columns))"""
+
+
+_BEST = _best(_SCORED)
+_TWO_TABLES = "table_name IN ('t3', 't11')"
+#: The caller's statements: those with a query number divisible by seven.
+_OWN_WORK = f"(SELECT DISTINCT {K}, queryid FROM t_statements WHERE queryid % 7 = 0)"
+_ADVICE = ["t_statements", "t_column_usage", "t_query_tables", "t_what_if", "t_column_widths", "t_table_rows"]
+
+
+def _advice(t, **options) -> dict:
+    return L.recommend_indexes(
+        t["t_statements"], t["t_column_usage"], t["t_what_if"], t["t_query_tables"], widths=t["t_column_widths"], table_rows=t["t_table_rows"], **options
+    )
 
 
 @query("p21_workload_statements", ["t_statements"], f"SELECT * FROM {_WORK}")
@@ -221,6 +240,26 @@ def _(t):
     return _advice(t)["recommendations"]
 
 
+@query(
+    "p23_recommend_for_tables",
+    _ADVICE,
+    f"SELECT * FROM {_best(_SCORED, 3, 25, where=_TWO_TABLES)}",
+)
+def _(t):
+    return _advice(t, tables=["T3", "t11"], max_recommendations=3, min_improvement_percent=25)["recommendations"]
+
+
+@query(
+    "p23_recommend_for_own_statements",
+    _ADVICE,
+    f"SELECT * FROM {_best(_SCORED.replace(_WORK, _OWN_WORK), 20, 5)}",
+)
+def _(t):
+    """The caller's statements as workload: those of one query number in seven."""
+    own = t["t_statements"].filter("queryid % 7 = 0").select("queryid")
+    return _advice(t, own_statements=own, max_recommendations=20, min_improvement_percent=5)["recommendations"]
+
+
 @query(
     "p23_recommend_summary",
     _ADVICE,
@@ -237,13 +276,15 @@ _OWN = "CASE WHEN cost_before <> 0 AND cost_after > 0 THEN round((cost_before -
 @query(
     "p23_recommend_for_statement",
     _ADVICE,
-    f"""SELECT cluster_id, queryid, table_name, columns, g AS estimated_improvement_percent,
+    f"""SELECT cluster_id, queryid, table_name, columns, estimated_size_bytes, g AS estimated_improvement_percent,
   CASE WHEN coalesce(g, 0) <> 0 THEN 'cost less by ' || {fixed('g', 1)} || '%' ELSE 'appears in the new plan' END AS reason
-FROM (SELECT x.cluster_id, x.queryid, x.table_name, x.candidate_columns AS columns, {_OWN} AS g FROM t_what_if x WHERE x.would_use) y
-SEMI JOIN {_CAND} c USING (cluster_id, table_name, columns) {top(5, 'coalesce(g, 0) DESC, table_name, columns', 'cluster_id, queryid')}""",
+FROM (SELECT * FROM (SELECT x.cluster_id, x.queryid, x.table_name, x.candidate_columns AS columns, {_OWN} AS g FROM t_what_if x WHERE x.would_use) y
+SEMI JOIN {_CAND} c USING (cluster_id, table_name, columns) {top(5, 'coalesce(g, 0) DESC, table_name, columns', 'cluster_id, queryid')}) b
+LEFT JOIN {_SIZES.replace('{base}', _CAND)} z USING (cluster_id, table_name, columns)""",
 )
 def _(t):
-    return L.recommend_for_statement(_advice(t)["candidates"], t["t_what_if"])
+    advice = _advice(t)
+    return L.recommend_for_statement(advice["candidates"], t["t_what_if"], sizes=advice["sizes"])
 
 
 # --- baselines ----------------------------------------------------------------------------------

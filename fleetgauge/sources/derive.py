@@ -442,6 +442,15 @@ SELECT DISTINCT 'c' || CAST(custkey % 5 AS STRING) AS cluster_id, custkey AS que
        CASE WHEN custkey % 2 = 0 THEN 't' || CAST(custkey % 20 AS STRING) ELSE 't' || CAST(part AS STRING) END AS table_name
 FROM (SELECT DISTINCT o_custkey AS custkey, l_partkey % 20 AS part
       FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey) u
+""",
+    "t_column_widths": """
+SELECT cluster_id, table_name, column_name,
+       CASE WHEN column_name = 'c6' THEN NULL ELSE CAST(substring(column_name, 2) AS BIGINT) * 5 + CAST(substring(table_name, 2) AS BIGINT) % 7 END AS avg_width
+FROM (SELECT DISTINCT cluster_id, table_name, column_name FROM {t_column_usage} WHERE table_name IS NOT NULL) u
+""",
+    "t_table_rows": """
+SELECT 'c' || CAST(l_suppkey % 5 AS STRING) AS cluster_id, 't' || CAST(l_partkey % 20 AS STRING) AS table_name, CAST(count(*) * 1000 AS BIGINT) AS row_count
+FROM {lineitem} GROUP BY 1, 2
 """,
     "t_what_if": """
 SELECT 'c' || CAST(o_custkey % 5 AS STRING) AS cluster_id, o_custkey AS queryid, 't' || CAST(l_partkey % 20 AS STRING) AS table_name,

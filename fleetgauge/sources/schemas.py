@@ -120,6 +120,8 @@ _COLUMNS = {
     "page_free_space": "relname string, blkno long, avail long",
     "plans": "plan_id long, plan string",
     "column_usage": "queryid long, table_name string, column_name string",
+    "column_widths": "table_name string, column_name string, avg_width long",
+    "table_rows": "table_name string, row_count long",
     "what_if": (
         "queryid long, table_name string, candidate_columns string, cost_before double, cost_after double, "
         "would_use boolean"

@@ -491,17 +491,40 @@ def test_unqualified_columns_need_a_single_table(spark):
     assert got == [(1, "a", "x"), (2, "t", "z")]
 
 
-def test_candidates_and_cut_before_table_filter(spark):
+def test_candidates_and_filters_before_the_cut(spark):
     cols = spark.createDataFrame([("k", "t", c, n) for c, n in (("a", 1), ("b", 9), ("c", 5), ("d", 5))] + [("k", "u", "a", 1)], "k string, table_name string, column_name string, statements long")
     got = {(r.table_name, r["columns"]) for r in L.layout_candidates(cols, ["k"]).collect()}
     assert got == {("t", "a"), ("t", "b"), ("t", "c"), ("t", "d"), ("t", "b,c,d"), ("u", "a")}
     scored = spark.createDataFrame([("k", "T", "a", 50.0, "r"), ("k", "u", "b", 40.0, "r"), ("k", "t", "c", 9.9, "r")], "k string, table_name string, columns string, estimated_improvement_percent double, reason string")
     pick = lambda **k: [r["columns"] for r in L.recommend_layout(scored, keys=["k"], **k).collect()]
     assert sorted(pick()) == ["a", "b"]
-    assert pick(max_recommendations=1, tables=["u"]) == []
+    assert pick(max_recommendations=1, tables=["u"]) == ["b"]
     assert pick(tables=["t"]) == ["a"]
 
 
+def test_estimated_sizes(spark):
+    """Entries of 12 bytes and the columns, aligned to eight; 7336 bytes of a page are filled."""
+    found = spark.createDataFrame([("c", "t", "a"), ("c", "t", "a,b"), ("c", "t", "a,x"), ("c", "u", "a"), ("c", "e", "a")], "cluster_id string, table_name string, columns string")
+    widths = spark.createDataFrame([("c", t, n, w) for t in "tue" for n, w in (("a", 4), ("b", 9))], "cluster_id string, table_name string, column_name string, avg_width long")
+    rows = spark.createDataFrame([("c", "t", 1_000_000), ("c", "e", 0)], "cluster_id string, table_name string, row_count long")
+    got = {(r.table_name, r["columns"]): r.estimated_size_bytes for r in L.estimated_sizes(found, widths, rows).collect()}
+
+    def pages(n, width):
+        held = 7336 // (12 + -(-width // 8) * 8)
+        leaves = max(1, -(-n // held))
+        return 1 + leaves + (-(-leaves // held) if leaves > 1 else 0)
+
+    assert got == {("t", "a"): 8192 * pages(10**6, 4), ("t", "a,b"): 8192 * pages(10**6, 13), ("t", "a,x"): None, ("u", "a"): None, ("e", "a"): 8192 * 2}
+
+
+def test_own_statements_as_workload(spark):
+    rows = [("c", 1, 1, 10, "DELETE FROM t"), ("c", 2, 100, 10**9, "SELECT 1"), ("d", 1, 1, 1, "SELECT 2")]
+    st = spark.createDataFrame(rows, "cluster_id string, queryid long, calls long, total_exec_us long, query string")
+    own = spark.createDataFrame([(1,), (1,)], "queryid long")
+    assert sorted(map(tuple, L.workload_statements(st, keys=["cluster_id"], own=own).collect())) == [("c", 1), ("d", 1)]
+    assert [r.queryid for r in L.workload_statements(st, keys=["cluster_id"], limit=None).collect()] == [2]
+
+
 # --- without keys -------------------------------------------------------------------------------
 
 

@@ -228,3 +228,25 @@ def test_baseline_reads_each_table_once_per_purpose(spark):
     assert scans[0] <= 18 and scans[0] < 0.6 * scans[1] and moves[0] < 0.4 * moves[1]
     without = {k: v for k, v in stored.items() if k != "index_defs"}
     assert X.baseline_pass(without).filter("metric = 'score' and section = 'index_health'").count() > 0
+
+
+def test_keys_with_all_nine_checks(spark):
+    """On one time grid the facts of all tables meet, and the score is the mean of nine."""
+    rows = driver.queries()["h6_whole_checks"](spark, SF).groupBy("cluster_id", "snapshot_ts").agg(F.count("check_name").alias("n"), F.count_distinct("check_name").alias("kinds"), F.sum("score").alias("total")).collect()
+    assert max(r.n for r in rows) == 9 and all(r.n == r.kinds for r in rows) and sum(r.n == 9 for r in rows) >= 10
+    overall = {(r.cluster_id, r.snapshot_ts): r for r in driver.queries()["h6_whole_overall"](spark, SF).collect()}
+    for r in rows:
+        assert overall[r.cluster_id, r.snapshot_ts].checks == r.n and abs(overall[r.cluster_id, r.snapshot_ts].overall_score - r.total / r.n) <= 0.05 + 1e-9
+
+
+def test_fifty_levels_touch_every_node_once(spark):
+    def plan(depth):
+        node = {"Node Type": "Seq Scan", "Total Cost": 1}
+        for level in range(depth - 1):
+            node = {"Node Type": "Append", "Total Cost": level, "Plans": [node, {"Node Type": "Result", "Plan Rows": level}]}
+        return {"Plan": node}
+
+    nodes = E.normalize_plans(_plans(spark, plan(50)))["nodes"].collect()
+    assert len(nodes) == 99 and max(r.depth for r in nodes) == 50 and len({r.node_id for r in nodes}) == 99
+    assert {r.node_type for r in nodes if r.depth == 50} == {"Seq Scan", "Result"}
+    assert all(r.parent_id == (r.node_id.rpartition(".")[0] or None) for r in nodes)
