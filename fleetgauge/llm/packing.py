@@ -97,7 +97,7 @@ class WordIds:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join([re.escape(t["content"]) for t in spec["added_tokens"]]) or "(?!)")
         self.ends_word = None
         if (spec["normalizer"], spec["pre_tokenizer"], spec["model"]["end_of_word_suffix"]) == KNOWN_STEPS:
             vocabulary = self.library.get_vocab()
@@ -112,14 +112,12 @@ class WordIds:
         self.words, self.parts = _Store(), _Store()
         self.bytes = 0
 
-    def _is_plain(self, word: str) -> bool:
-        return self.ends_word is not None and _PLAIN.fullmatch(word) is not None and not any(s in word for s in self.special)
-
     def _learn(self, words: list[str]) -> None:
         if not words:
             return
         self.bytes += sum(map(len, words))
-        plain = [w for w in words if self._is_plain(w)]
+        matches, special = _PLAIN.fullmatch, self.special.search
+        plain = [w for w in words if matches(w) and not special(w)] if self.ends_word is not None else []
         if len(plain) < len(words):
             known = set(plain)
             other = [w for w in words if w not in known]
