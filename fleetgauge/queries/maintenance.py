@@ -524,3 +524,47 @@ _IO = "estimated_bloat_percent DESC, index_size DESC, index_name"
 )
 def _(t):
     return _index_bloat(t)["findings"]
+
+
+# --- single objects -----------------------------------------------------------------------------
+
+_ONE_TABLE = "Brand_11_large"
+_ONE_SAMPLE = _metrics(False, f"schemaname = 'public' AND relname = '{_ONE_TABLE}'")
+
+
+def _one_table(t, **options) -> dict:
+    return B.table_bloat(t["t_heap_samples"], t["t_toast"], table=_ONE_TABLE, include_toast=True, **options)
+
+
+@query("m8_one_table_bloat", ["t_heap_samples"], f"SELECT * EXCLUDE (pts) FROM {_ONE_SAMPLE}")
+def _(t):
+    return _one_table(t)["tables"]
+
+
+@query(
+    "m8_one_table_toast",
+    ["t_heap_samples", "t_toast"],
+    f"""SELECT t.cluster_id, t.snapshot_ts, t.schemaname AS schema_name, t.relname AS table_name, t.toast_relname AS toast_table_name, t.toast_size_bytes AS toast_size,
+  {sized('t.toast_size_bytes')} AS toast_size_pretty, s.table_len, s.tuple_percent, s.dead_tuple_percent, s.free_percent
+FROM t_toast t JOIN t_heap_samples s ON s.cluster_id = t.cluster_id AND s.snapshot_ts = t.snapshot_ts AND s.schemaname = 'pg_toast' AND s.relname = t.toast_relname
+WHERE t.schemaname = 'public' AND t.relname = '{_ONE_TABLE}'""",
+)
+def _(t):
+    return _one_table(t)["toast"]
+
+
+_BTREE_COLUMNS = ("index_name", "table_name", "index_size", "avg_leaf_density", "estimated_bloat_percent", "bloat_severity")
+_ONE_BTREE = f"SELECT {K}, {', '.join(_BTREE_COLUMNS)} FROM {_BT} WHERE schema_name = 'public'"
+
+
+@query("m9_one_index_bloat", ["t_index_samples"], f"{_ONE_BTREE} AND index_name = '{_ONE_TABLE}_ix2'")
+def _(t):
+    found = B.index_bloat(t["t_index_samples"], index=f"{_ONE_TABLE}_ix2")["indexes"]
+    return found.select(*K.split(", "), *_BTREE_COLUMNS)
+
+
+@query("m9_one_table_indexes", ["t_index_samples"], f"{_ONE_BTREE} AND table_name = '{_ONE_TABLE}' AND index_size >= 1073741 AND estimated_bloat_percent >= 20")
+def _(t):
+    """The B-trees of one table; other access methods have no estimate, and are shown beside them by the operator."""
+    found = B.index_bloat(t["t_index_samples"], table=_ONE_TABLE, min_index_size_gb=0.001)["indexes"]
+    return found.filter("index_type = 'btree'").select(*K.split(", "), *_BTREE_COLUMNS)

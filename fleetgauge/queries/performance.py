@@ -381,6 +381,25 @@ def _(t):
     return P.table_index_report(t["t_indexes"])
 
 
+def _one_table(t) -> dict:
+    return P.table_stats(t["t_tables"], t["t_indexes"], table="Brand_11_large")
+
+
+@query("p16_one_table", ["t_tables"], f"{_REPORT} AND relname ILIKE 'Brand_11_large'")
+def _(t):
+    return _one_table(t)["tables"]
+
+
+@query(
+    "p16_one_table_indexes",
+    ["t_indexes"],
+    f"""SELECT {K}, relname AS table_name, index_name, idx_scan AS scans, idx_tup_read AS tuples_read, idx_tup_fetch AS tuples_fetched, {pretty('size_bytes')} AS size, size_bytes, definition
+FROM t_indexes WHERE schemaname = 'public' AND relname = 'Brand_11_large'""",
+)
+def _(t):
+    return _one_table(t)["indexes"]
+
+
 _NEEDS = {
     "needs_vacuum": "dead_tuple_ratio > 10",
     "needs_analyze": "coalesce(n_live_tup, 0) > 1000 AND coalesce(last_analyze, last_autoanalyze) IS NULL",
