@@ -30,7 +30,7 @@ def topn(df: DataFrame, n: int | None, order: Sequence[Column], keys: Sequence[s
 
 
 def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join on key names. Without keys the right side is one aggregate row, which Spark knows to be small."""
+    """Equi join on key names. Without keys the right side is one aggregate row, which is broadcast: its one key would be hot."""
     if on:
         return left.join(right, list(on), how)
 
@@ -38,7 +38,7 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("_one", F.pmod(F.hash(df.columns[0]), F.lit(1)))
 
-    return keyed(left).join(keyed(right), "_one", how).drop("_one")
+    return keyed(left).join(F.broadcast(keyed(right)), "_one", how).drop("_one")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
