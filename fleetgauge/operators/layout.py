@@ -12,6 +12,7 @@ from fleetgauge.functions.expressions import (
     exclude_like,
     fixed_text,
     is_select,
+    round_half_up_div,
 )
 from fleetgauge.functions.frames import topn
 
@@ -109,7 +110,7 @@ def score_candidates(
 ) -> DataFrame:
     """Mean improvement of each candidate over the workload statements it changes.
 
-    Improvements are kept at six decimals, so their sum does not depend on the order of rows.
+    Improvements are kept at six decimals, so their sum does not depend on the order of rows, and their mean is rounded exactly.
     """
     keys = list(keys)
     old, new = F.col("cost_before"), F.col("cost_after")
@@ -121,7 +122,7 @@ def score_candidates(
         .withColumnRenamed("candidate_columns", "columns")
         .join(workload, list(id_cols))
         .groupBy(*keys, "table_name", "columns")
-        .agg(F.sum("gain").cast("double").alias("_sum"), F.count(F.lit(1)).alias("_improved"))
+        .agg((F.sum("gain") * 1_000_000).cast("long").alias("_sum"), F.count(F.lit(1)).alias("_improved"))
     )
     totals = workload.groupBy(*keys).agg(F.count(F.lit(1)).alias("_queries"))
     found = candidates.select(*keys, "table_name", "columns").join(measured, [*keys, "table_name", "columns"])
@@ -129,7 +130,7 @@ def score_candidates(
         *keys,
         "table_name",
         "columns",
-        F.round(F.col("_sum") / F.col("_improved"), 4).alias("estimated_improvement_percent"),
+        (F.signum("_sum") * round_half_up_div(F.abs("_sum"), F.col("_improved") * 100, 1) / 10_000).alias("estimated_improvement_percent"),
         F.concat(
             F.lit("serves "), F.col("_improved").cast("string"), F.lit(" of "), F.col("_queries").cast("string"), F.lit(" statements")
         ).alias("reason"),

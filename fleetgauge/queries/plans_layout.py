@@ -182,7 +182,7 @@ _COLS = f"""(SELECT w.cluster_id, w.snapshot_ts, table_name, column_name, count(
 _CAND = f"""(SELECT {K}, table_name, column_name AS columns, 'single column in use' AS reason FROM {_COLS} UNION ALL
   SELECT {K}, table_name, array_to_string((list(column_name ORDER BY statements DESC, column_name))[1:3], ','), 'several columns in use' FROM {_COLS} GROUP BY {K}, table_name HAVING count(*) > 1)"""
 _GAIN = "CAST(round((cost_before - cost_after) / cost_before::DOUBLE * 100, 6) AS DECIMAL(20,6))"
-_SCORED = f"""(SELECT {K}, table_name, columns, round(s::DOUBLE / n, 4) AS estimated_improvement_percent, 'serves ' || n || ' of ' || q || ' statements' AS reason FROM (
+_SCORED = f"""(SELECT {K}, table_name, columns, sign(s) * CAST((2 * CAST(abs(s) * 1000000 AS HUGEINT) + n * 100) // (n * 200) AS DOUBLE) / 10000 AS estimated_improvement_percent, 'serves ' || n || ' of ' || q || ' statements' AS reason FROM (
   SELECT w.cluster_id, w.snapshot_ts, x.table_name, x.candidate_columns AS columns, sum({_GAIN}) AS s, count(*) AS n FROM t_what_if x JOIN {_WORK} w USING (cluster_id, queryid)
   WHERE x.would_use AND cost_before <> 0 AND cost_after > 0 AND {_GAIN} <> 0 GROUP BY ALL) JOIN (SELECT DISTINCT {K}, table_name, columns FROM {_CAND}) USING ({K}, table_name, columns)
   JOIN (SELECT {K}, count(*) AS q FROM {_WORK} GROUP BY ALL) USING ({K}))"""
