@@ -95,7 +95,11 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of words, by merging."""
-        out: list[list[int]] = [[]] * len(words)
+        return [array("I", ids).tolist() for ids in self.merged_bytes(words)]
+
+    def merged_bytes(self, words: list[bytes]) -> list[bytes]:
+        """The same, as unsigned numbers of 32 bits."""
+        out = [b""] * len(words)
         for low, high in ((0, 8), (8, 16), (16, _WIDE)):
             rows = [i for i, w in enumerate(words) if low < len(w) <= high]
             for part in range(0, len(rows), 4096):
@@ -104,10 +108,10 @@ class Vocabulary:
                     out[i] = ids
         for i, word in enumerate(words):
             if len(word) > _WIDE:
-                out[i] = self._merge_wide(word)
+                out[i] = array("I", self._merge_wide(word)).tobytes()
         return out
 
-    def _merge_narrow(self, words: list[bytes], width: int) -> list[list[int]]:
+    def _merge_narrow(self, words: list[bytes], width: int) -> list[bytes]:
         """All words in step: each round merges the best pair of every word that has one."""
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
         length = np.array([len(w) for w in words])
@@ -135,7 +139,9 @@ class Vocabulary:
             rank[row, best] = self.rank(ids[row, best], ids[row, best + 1])
             before = np.maximum(best - 1, 0)
             rank[row, before] = self.rank(ids[row, before], ids[row, before + 1])
-        return [r[:n].tolist() for r, n in zip(done, (done >= 0).sum(axis=1), strict=True)]
+        real = done >= 0
+        data, ends = done[real].astype(np.uint32).tobytes(), (4 * np.cumsum(real.sum(axis=1))).tolist()
+        return [data[a:b] for a, b in itertools.pairwise([0, *ends])]
 
     @functools.cached_property
     def _pairs(self) -> dict[int, int]:
@@ -189,6 +195,8 @@ class Memory:
         if len(self.young) + len(wanted) > self.size:
             self.old, self.young = self.young, {}
             wanted = keys
+        if not self.old:
+            return wanted
         known = {k: self.old[k] for k in wanted if k in self.old}
         self.young |= known
         return [k for k in wanted if k not in known]
@@ -218,8 +226,8 @@ class Coder:
             for i in np.flatnonzero(ranks >= 0).tolist():
                 known[fresh[i]] = array("I", self.lexicon.tokens(int(ranks[i]))).tobytes()
             unseen = np.flatnonzero(ranks < 0).tolist()
-        for i, ids in zip(unseen, self.vocabulary.merge([raw[i] for i in unseen]), strict=True):
-            known[fresh[i]] = array("I", ids).tobytes()
+        for i, ids in zip(unseen, self.vocabulary.merged_bytes([raw[i] for i in unseen]), strict=True):
+            known[fresh[i]] = ids
 
     def learn(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units."""
