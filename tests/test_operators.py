@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,34 @@ def test_duplicate_indexes_match_pairwise_definition(spark):
     assert got == want and len(got) > 50
 
 
+def test_duplicate_counts_are_the_pairs_without_making_them(spark):
+    rng = random.Random(3)
+    indexes = [(f"t{rng.randrange(3)}", f"i{n:03d}", "".join(rng.choice("abc") for _ in range(rng.randrange(1, 4)))) for n in range(120)]
+    defs = _defs(spark, [*indexes, indexes[0]])
+    pairs = Counter(r.index2 for r in H.duplicate_indexes(defs).collect())
+    counts = H.duplicate_counts(defs)
+    got = Counter()
+    for r in counts.collect():
+        got[r.index_name] += r.pairs
+    assert got == pairs and "Join" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_facts_read_the_indexes_once_and_count_as_the_lists(table, spark):
+    one = {"schemaname": "public", "is_valid": True, "idx_scan": 0, "size_bytes": 5}
+    rows = [
+        one | {"relname": "t", "index_name": "a"},
+        one | {"relname": "t", "index_name": "b", "is_valid": False},
+        one | {"relname": "gone", "index_name": "c", "size_bytes": None},
+        one | {"relname": "t", "index_name": "t_pkey"},
+        one | {"relname": "t", "index_name": "d", "idx_scan": None, "is_valid": None},
+    ]
+    indexes = table("indexes", *rows)
+    tables = table("tables", {"schemaname": "public", "relname": "t"}, {"schemaname": "public", "relname": "t"})
+    sums = H.index_facts(indexes, tables).agg(*[F.sum(c).alias(c) for c in ("indexes", "invalid_indexes", "unused_indexes", "potential_savings_bytes")])
+    unused = H.unused_indexes(indexes, tables)
+    assert tuple(sums.first()) == (5, H.invalid_indexes(indexes).count(), unused.count(), unused.agg(F.sum("size_bytes")).first()[0]) == (5, 1, 4, 20)
+
+
 def test_index_health_empty_scores_100(table, spark):
     healthy = table("indexes", {"schemaname": "public", "relname": "t", "index_name": "t_pkey", "is_valid": True, "idx_scan": 0, "size_bytes": 5})
     row = H.index_health(healthy, table("tables"), include_duplicates=False)["summary"].first()
