@@ -230,6 +230,13 @@ def test_baseline_reads_each_table_once_per_purpose(spark):
     assert X.baseline_pass(without).filter("metric = 'score' and section = 'index_health'").count() > 0
 
 
+@pytest.mark.parametrize("name", ["x1_baseline_metrics", "x1_baseline_report", "h7_index_findings"])
+def test_reports_do_not_aggregate_the_lines_for_each_reader(spark, name):
+    """Tables and indexes are stored once; the lines are read again at most for index definitions and for one joined side."""
+    plan = driver.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "lineitem.parquet" in line for line in plan.splitlines()) <= 4
+
+
 def test_keys_with_all_nine_checks(spark):
     """On one time grid the facts of all tables meet, and the score is the mean of nine."""
     rows = driver.queries()["h6_whole_checks"](spark, SF).groupBy("cluster_id", "snapshot_ts").agg(F.count("check_name").alias("n"), F.count_distinct("check_name").alias("kinds"), F.sum("score").alias("total")).collect()
