@@ -237,6 +237,13 @@ def test_reports_do_not_aggregate_the_lines_for_each_reader(spark, name):
     assert sum("FileScan" in line and "lineitem.parquet" in line for line in plan.splitlines()) <= 4
 
 
+@pytest.mark.parametrize("name", ["p23_recommend_layout", "p23_recommend_summary", "p23_recommend_for_statement", "p23_recommend_for_own_statements"])
+def test_advice_makes_its_workload_and_candidates_once(spark, name):
+    """The statements (out of orders alone) are not aggregated again by the steps that read them."""
+    plan = driver.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "o_totalprice" in line for line in plan.splitlines()) == 0
+
+
 def test_keys_with_all_nine_checks(spark):
     """On one time grid the facts of all tables meet, and the score is the mean of nine."""
     rows = driver.queries()["h6_whole_checks"](spark, SF).groupBy("cluster_id", "snapshot_ts").agg(F.count("check_name").alias("n"), F.count_distinct("check_name").alias("kinds"), F.sum("score").alias("total")).collect()
