@@ -13,6 +13,8 @@ import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +54,14 @@ class Series:
 
     def settle(self, mark: int | None, visit: Visit) -> Iterator[tuple[int, dict]]:
         """Visit the waiting rows up to ``mark`` (``None``: all) in order; of rows of one instant, the least."""
-        ready = sorted((r for r in self.waiting if mark is None or r[0] <= mark), key=lambda r: (r[0], _rank(r[1])))
+        ready = sorted((r for r in self.waiting if mark is None or r[0] <= mark), key=itemgetter(0))
         self.waiting = [] if mark is None else [r for r in self.waiting if r[0] > mark]
-        for t, row in ready:
+        for t, same in groupby(ready, itemgetter(0)):
+            # Differing rows alone are ranked: repeats of a row are one, and most instants have one row.
+            rows = list(dict.fromkeys(row for _, row in same))
             if t != self.settled_at:
                 self.settled_at = t
-                self.carried, out = visit(self.carried, t, json.loads(row))
+                self.carried, out = visit(self.carried, t, json.loads(min(rows, key=_rank) if len(rows) > 1 else rows[0]))
                 if out is not None:
                     yield t, out
 

@@ -134,3 +134,17 @@ def test_one_alert_per_episode(spark, quiet):
     assert found == sorted(want + ([("x", 100, 9.0, "load 9")] if quiet else []))
     assert alerts.alerts(out).columns == ["cluster_id", "snapshot_ts", "source", "rule", "severity", "subject", "metric", "message"]
     assert shared_dir(spark)
+
+
+def test_settling_ranks_only_differing_rows_of_one_instant(monkeypatch):
+    """Rows alone at their instant, and repeats of one row, are not decoded to be ranked; of differing rows the least counts."""
+    from fleetgauge.streaming import ordered as O
+
+    ranked, rank = [], O._rank
+    monkeypatch.setattr(O, "_rank", lambda row: ranked.append(row) or rank(row))
+    series = O.Series(None)
+    for t, row in [(3, '{"n":5}'), (1, '{"n":9}'), (2, '{"n":4}'), (2, '{"n":4}'), (3, '{"n":null}'), (3, '{"n":10}')]:
+        assert series.take(t, row)
+    got = list(series.settle(None, lambda carried, t, values: (None, values)))
+    assert got == [(1, {"n": 9}), (2, {"n": 4}), (3, {"n": None})]
+    assert sorted(ranked) == ['{"n":10}', '{"n":5}', '{"n":null}']
