@@ -8,7 +8,7 @@ import pytest
 
 import numpy as np
 
-from fleetgauge.llm import lm_scoring, queries, slices, substring_dedup, suffix_dedup
+from fleetgauge.llm import hashing, lm_scoring, queries, slices, substring_dedup, suffix_dedup
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string"
@@ -59,6 +59,37 @@ def test_suffix_dedup_agrees_with_brute_force(spark, seed):
     assert sum(s.end - s.begin for s in row.spans) == row.n_removed and len(row.kept) == row.n_bytes - row.n_removed
 
 
+def alternating(first, second, steps):
+    """A Thue-Morse sequence of two strings."""
+    signs = [0]
+    for _ in range(steps):
+        signs += [1 - x for x in signs]
+    return "".join((first, second)[x] for x in signs)
+
+
+def test_suffix_dedup_keeps_regular_texts_that_differ(spark):
+    """Hashes modulo a power of two, whatever their base, are equal for these strings, whole documents and windows alike."""
+    one, other = alternating("qR", "sA", 8), alternating("sA", "qR", 8)
+    left, right = "".join(f"{i:x}-" for i in range(60)), "".join(f"{i * i}+" for i in range(60))
+    x, y = alternating("nOM", "Kwm", 7), alternating("Kwm", "nOM", 7)
+    rows = [(1, one), (2, other), (3, left + x + right), (4, left + y + right), (5, x), (6, y), (7, one + x), (8, "x" + one)]
+    for slice_bytes in (500, 1 << 20):
+        for some in (rows[:2], rows[2:6], rows):
+            out = suffix_dedup.remove_repeated_strings(spark.createDataFrame(some, SCHEMA), slice_bytes=slice_bytes, bucket_bytes=500)
+            assert tuples(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeated_strings(some), key=repr)
+    assert not any(r[2] for r in brute.repeated_strings(rows[:6]))
+
+
+def test_byte_runs_are_sums_modulo_a_prime():
+    buffer = np.random.default_rng(1).integers(0, 256, 200_000, np.uint8)
+    runs, prime = hashing.ByteRuns(buffer), (1 << 61) - 1
+    for start, width in ((0, 400), (65_530, 400), (131_000, 37), (199_600, 400), (5, 3)):
+        total = sum(int(buffer[start + k]) * pow(hashing._PRIME_BASE, k, prime) for k in range(width)) % prime
+        lead = int.from_bytes(buffer[start : start + min(width, 8)].tobytes(), "little")
+        want = hashing.mix(np.array([total], np.uint64) + hashing.mix(np.array([lead], np.uint64)))
+        assert (runs.hashes(np.array([start]), width) == want).all()
+
+
 @pytest.mark.parametrize(("order", "min_count", "others"), [(3, 2, False), (1, 1, False), (4, 1, False), (2, 3, False), (3, 1, True), (4, 2, True), (1, 1, True)])
 def test_lm_scores_agree_with_brute_force(spark, order, min_count, others):
     rows = corpus(3)
