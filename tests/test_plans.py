@@ -230,6 +230,19 @@ def test_baseline_reads_each_table_once_per_purpose(spark):
     assert X.baseline_pass(without).filter("metric = 'score' and section = 'index_health'").count() > 0
 
 
+def test_baseline_plan_before_it_runs(spark):
+    """A plan that ran prints its first form as well, so scans and shuffles are counted before."""
+    from fleetgauge.queries.plans_layout import _telemetry
+
+    t, root = _telemetry(Telemetry(spark, SF)), _new_dir(spark)
+    for name, df in t.items():
+        df.limit(0).write.parquet(f"{root}/{name}")
+    stored = {name: spark.read.parquet(f"{root}/{name}") for name in t}
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (X.baseline_pass(stored), X.baseline_metrics(X.baseline_report(stored)))]
+    scans, moves = [p.count("FileScan") for p in plans], [p.count("Exchange hashpartitioning") for p in plans]
+    assert scans[0] <= 16 and scans[0] < 0.6 * scans[1] and moves[0] <= 10 and moves[0] < 0.4 * moves[1]
+
+
 @pytest.mark.parametrize("name", ["x1_baseline_metrics", "x1_baseline_report", "h7_index_findings"])
 def test_reports_do_not_aggregate_the_lines_for_each_reader(spark, name):
     """Tables and indexes are stored once; the lines are read again at most for index definitions and for one joined side."""
