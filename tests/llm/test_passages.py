@@ -85,9 +85,20 @@ def test_byte_runs_are_sums_modulo_a_prime():
     runs, prime = hashing.ByteRuns(buffer), (1 << 61) - 1
     for start, width in ((0, 400), (65_530, 400), (131_000, 37), (199_600, 400), (5, 3)):
         total = sum(int(buffer[start + k]) * pow(hashing._PRIME_BASE, k, prime) for k in range(width)) % prime
-        lead = int.from_bytes(buffer[start : start + min(width, 8)].tobytes(), "little")
+        lead = int.from_bytes(bytes(8 - min(width, 8)) + buffer[start : start + min(width, 8)].tobytes(), "little")
         want = hashing.mix(np.array([total], np.uint64) + hashing.mix(np.array([lead], np.uint64)))
-        assert (runs.hashes(np.array([start]), width) == want).all()
+        assert (runs.hashes(np.array([start]), np.array([start + width])) == want).all()
+
+
+def test_long_words_that_differ_are_not_equal(spark):
+    """As above, for words: substring dedup and language-model scores tell them apart."""
+    one, other, rest = alternating("qR", "sA", 8), alternating("sA", "qR", 8), " a b c d e f g h i j k l"
+    rows = [(1, one + rest), (2, other + rest), (3, one + rest + " m"), (4, other)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = substring_dedup.remove_repeated_passages(docs)
+    assert tuples(out, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeated_passages(rows), key=repr)
+    scores = {r.doc_id: r.log10_score for r in lm_scoring.score_documents(docs, 3, 0.4, 1).collect()}
+    assert scores == {d: pytest.approx(x, abs=1e-9) for d, _, x in brute.lm_scores(rows, min_count=1)}
 
 
 @pytest.mark.parametrize(("order", "min_count", "others"), [(3, 2, False), (1, 1, False), (4, 1, False), (2, 3, False), (3, 1, True), (4, 2, True), (1, 1, True)])
